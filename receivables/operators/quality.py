@@ -86,20 +86,28 @@ def _checks(df: DataFrame, required: Sequence[str]) -> list[_Check]:
     ]
 
 
-def _expand(df: DataFrame, table_name: str, checks: Sequence[_Check]) -> DataFrame:
+def _per_row(counted: DataFrame, row_type: str, rows: Sequence[Sequence[Column]]) -> DataFrame:
+    """The single row of ``counted`` as ``rows``, whose fields ``row_type`` names and types."""
+    structs = (
+        F.struct(*(value.alias(f"f{i}") for i, value in enumerate(values))) for values in rows
+    )
+    return counted.select(F.inline(F.array(*structs).cast(f"array<struct<{row_type}>>")))
+
+
+def _findings(df: DataFrame, table_name: str, checks: Sequence[_Check]) -> DataFrame:
     """One aggregation over ``df``, its single row spread to a finding per check."""
-    counted = df.agg(*(check.violations.alias(f"_{i}") for i, check in enumerate(checks)))
-    findings = (
-        F.struct(
-            F.lit(table_name).alias("table_name"),
-            F.lit(check.check_name).alias("check_name"),
-            F.lit(check.column_name).alias("column_name"),
-            F.lit(check.severity).alias("severity"),
-            F.col(f"_{i}").alias("violations"),
-        )
-        for i, check in enumerate(checks)
+    counted = df.agg(
+        _rows().alias("_rows"),
+        *(check.violations.alias(f"_{i}") for i, check in enumerate(checks)),
+    )
+    return _per_row(
+        counted,
+        "table_name:string,check_name:string,column_name:string,severity:string,violations:bigint",
+        [
+            (*(F.lit(value) for value in (table_name, *check[:3])), F.col(f"_{i}"))
+            for i, check in enumerate(checks)
+        ],
     )
-    return counted.select(F.inline(F.array(*findings)))
 
 
 def null_profile(df: DataFrame, table_name: str, columns: Sequence[str]) -> DataFrame:
@@ -107,16 +115,14 @@ def null_profile(df: DataFrame, table_name: str, columns: Sequence[str]) -> Data
     counted = df.agg(
         _rows().alias("_rows"), *(_nulls(name).alias(f"_{i}") for i, name in enumerate(columns))
     )
-    profile = (
-        F.struct(
-            F.lit(table_name).alias("table_name"),
-            F.lit(name).alias("column_name"),
-            F.col("_rows").alias("row_count"),
-            F.col(f"_{i}").alias("null_count"),
-        )
-        for i, name in enumerate(columns)
+    return _per_row(
+        counted,
+        "table_name:string,column_name:string,row_count:bigint,null_count:bigint",
+        [
+            (F.lit(table_name), F.lit(name), F.col("_rows"), F.col(f"_{i}"))
+            for i, name in enumerate(columns)
+        ],
     )
-    return counted.select(F.inline(F.array(*profile)))
 
 
 def type_findings(df: DataFrame, table_name: str) -> DataFrame:
@@ -125,7 +131,7 @@ def type_findings(df: DataFrame, table_name: str) -> DataFrame:
     ``violations`` is the number of rows if the type does not keep the promise,
     else 0. The count reads no column.
     """
-    return _expand(df, table_name, _type_checks(df.schema))
+    return _findings(df, table_name, _type_checks(df.schema))
 
 
 def require_columns(df: DataFrame, table_name: str, required: Iterable[str]) -> None:
@@ -137,7 +143,7 @@ def require_columns(df: DataFrame, table_name: str, required: Iterable[str]) ->
 
 def check_table(df: DataFrame, table_name: str, required: Sequence[str]) -> DataFrame:
     """Findings of one table: empty, missing columns, NULLs, types."""
-    return _expand(df, table_name, _checks(df, required))
+    return _findings(df, table_name, _checks(df, required))
 
 
 def validate_inputs(

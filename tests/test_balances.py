@@ -1,0 +1,111 @@
+from decimal import Decimal
+
+import pytest
+from helpers import credit_notes, invoices, payments
+from pyspark.sql import functions as F
+
+from receivables.operators import (
+    join_payments,
+    outstanding_documents,
+    payment_totals,
+    unify_documents,
+    with_payments,
+)
+
+DAY = "2025-01-01"
+
+
+def owed(spark, invoice_rows, payment_rows, credit_note_rows=()):
+    documents = unify_documents(
+        invoices(spark, *invoice_rows), credit_notes(spark, *credit_note_rows)
+    )
+    result = outstanding_documents(documents, payments(spark, *payment_rows))
+    return sorted(
+        (row.document_id or "", row.document_type, str(row.outstanding_amount))
+        for row in result.collect()
+    )
+
+
+def test_unpaid_document_is_owed_in_full(spark):
+    assert owed(spark, [("a", DAY, 7)], []) == [("a", "invoice", "7.00")]
+
+
+def test_several_payments_are_summed_before_the_join(spark):
+    paid = [("a", "invoice", 1), ("a", "invoice", 2), ("a", "invoice", "0.5")]
+    assert owed(spark, [("a", DAY, 10)], paid) == [("a", "invoice", "6.50")]
+
+
+def test_payment_after_any_as_at_date_counts(spark):
+    late = [("p", "a", "invoice", 4, "2999-12-31"), ("p", "a", "invoice", 1, None)]
+    assert owed(spark, [("a", DAY, 10)], late) == [("a", "invoice", "5.00")]
+
+
+@pytest.mark.parametrize("paid", [10, 11])
+def test_settled_and_overpaid_documents_are_dropped(spark, paid):
+    assert owed(spark, [("a", DAY, 10)], [("a", "invoice", paid)]) == []
+
+
+def test_settled_to_the_cent(spark):
+    paid = [("a", "invoice", "0.10"), ("a", "invoice", "0.20")]
+    assert owed(spark, [("a", DAY, "0.30")], paid) == []
+
+
+def test_settled_to_the_cent_from_binary_amounts(spark):
+    documents = unify_documents(
+        invoices(spark, ("a", DAY, "0.30")).withColumn(
+            "total_amount", F.col("total_amount").cast("float")
+        ),
+        credit_notes(spark),
+    )
+    paid = payments(spark, ("a", "invoice", "0.10"), ("a", "invoice", "0.20"))
+    paid = paid.withColumn("amount_paid", F.col("amount_paid").cast("float"))
+    assert outstanding_documents(documents, paid).count() == 0
+
+
+def test_refund_raises_the_balance(spark):
+    assert owed(spark, [("a", DAY, -1)], [("a", "invoice", -5)]) == [("a", "invoice", "4.00")]
+
+
+def test_document_without_amount_is_dropped(spark):
+    assert owed(spark, [("a", DAY, None)], [("a", "invoice", -5)]) == []
+
+
+def test_null_payments_are_ignored(spark):
+    rows = [("a", DAY, 10), ("b", DAY, 10)]
+    paid = [("a", "invoice", None), ("b", "invoice", None), ("b", "invoice", 3)]
+    assert owed(spark, rows, paid) == [("a", "invoice", "10.00"), ("b", "invoice", "7.00")]
+
+
+def test_payment_for_unknown_document_is_ignored(spark):
+    assert owed(spark, [("a", DAY, 10)], [("x", "invoice", 3)]) == [("a", "invoice", "10.00")]
+
+
+def test_type_is_part_of_the_key(spark):
+    assert owed(spark, [("a", DAY, 10)], [("a", "credit_note", 3)], [("a", DAY, 10)]) == [
+        ("a", "credit_note", "7.00"),
+        ("a", "invoice", "10.00"),
+    ]
+
+
+def test_null_keys_match_nothing(spark):
+    paid = [(None, "invoice", 3), ("a", None, 3), (None, None, 3)]
+    rows = [(None, DAY, 10), ("a", DAY, 10)]
+    assert owed(spark, rows, paid) == [("", "invoice", "10.00"), ("a", "invoice", "10.00")]
+
+
+def test_each_copy_is_reduced_by_the_whole_total(spark):
+    rows = [("a", DAY, 10), ("a", DAY, 10), ("a", DAY, 3)]
+    assert owed(spark, rows, [("a", "invoice", 4)]) == [("a", "invoice", "6.00")] * 2
+
+
+def test_totals_and_join_columns(spark):
+    documents = unify_documents(
+        invoices(spark, ("a", DAY, 10), ("b", DAY, 1)), credit_notes(spark)
+    )
+    totals = payment_totals(payments(spark, ("a", "invoice", 1), ("a", "invoice", 2)))
+    assert totals.columns == ["document_id", "document_type", "total_paid"]
+    joined = join_payments(documents, totals)
+    assert joined.columns == [*documents.columns, "total_paid"]
+    assert {r.document_id: r.total_paid for r in joined.collect()} == {"a": Decimal(3), "b": None}
+    filled = with_payments(documents, totals)
+    assert {r.document_id: r.total_paid for r in filled.collect()} == {"a": Decimal(3), "b": 0}

@@ -1,0 +1,232 @@
+"""Plans and skew: what must hold on a cluster, checked on small data.
+
+Broadcasts are switched off and Spark's thresholds lowered, so that the plans are
+those of large tables.
+"""
+
+import re
+from contextlib import contextmanager
+from decimal import Decimal
+
+import pytest
+from helpers import AS_AT, in_any_order
+from pyspark.sql import functions as F
+
+from receivables.operators import (
+    check_table,
+    observe_checks,
+    payment_totals,
+    report_columns,
+    sort_report,
+    unify_documents,
+    with_payments,
+)
+from receivables.plans import ageing_report
+from receivables.schemas import INVOICES, PAYMENTS
+from receivables.sinks import write_partitioned
+from receivables.sources import read_table
+
+ROWS = 60_000
+LARGE = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+    "spark.sql.files.maxPartitionBytes": "64k",
+    "spark.sql.maxMetadataStringLength": "2000",
+}
+
+
+@contextmanager
+def settings(spark, values):
+    before = {key: spark.conf.get(key, None) for key in values}
+    for key, value in values.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    """Tables in Parquet. A third of the invoices has one id, a tenth has none;
+    a third of the payments is for one document."""
+    base = str(tmp_path_factory.mktemp("skewed"))
+    n = F.col("n")
+    numbers = spark.range(0, ROWS, 1, 8).withColumnRenamed("id", "n")
+
+    def document_id(prefix):
+        return (
+            F.when(n % 3 == 0, f"{prefix}hot")
+            .when(n % 10 == 1, None)
+            .otherwise(F.concat(F.lit(prefix), n.cast("string")))
+        )
+
+    def documents(prefix, date):
+        return numbers.select(
+            document_id(prefix).alias("id"),
+            F.concat(F.lit("c"), (n % 5).cast("string")).alias("centre_id"),
+            F.lit("k").alias("class_id"),
+            F.sha2(n.cast("string"), 256).alias("student_id"),
+            F.date_sub(F.lit(AS_AT), (n % 200).cast("int")).alias(date),
+            ((n % 1000) * 100 + 5).cast("decimal(18,2)").alias("total_amount"),
+        )
+
+    documents("i", "invoice_date").write.parquet(f"{base}/invoices")
+    documents("c", "credit_note_date").limit(2000).write.parquet(f"{base}/credit_notes")
+    numbers.select(
+        F.concat(F.lit("p"), n.cast("string")).alias("id"),
+        document_id("i").alias("document_id"),
+        F.lit("invoice").alias("document_type"),
+        F.lit("1.01").cast("decimal(18,2)").alias("amount_paid"),
+        F.lit(AS_AT).alias("payment_date"),
+    ).write.parquet(f"{base}/payments")
+    return base
+
+
+@pytest.fixture
+def tables(spark, stored):
+    with settings(spark, LARGE):
+        yield {
+            name: spark.read.parquet(f"{stored}/{name}")
+            for name in ("invoices", "credit_notes", "payments")
+        }
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def final_plan_of(df):
+    """The plan that adaptive execution ended up with."""
+    df.collect()
+    return plan_of(df).split("== Initial Plan ==")[0]
+
+
+def test_hot_and_null_keys_are_split_in_the_join(spark, tables):
+    report = ageing_report(**tables, as_at_date=AS_AT)
+    plan = final_plan_of(report)
+    assert "SortMergeJoin(skew=true)" in plan
+    assert re.search(r"AQEShuffleRead .*skewed", plan)
+
+
+def test_plain_keys_would_not_be_split(spark, tables):
+    """Why the join has a hash among its keys."""
+    documents = unify_documents(tables["invoices"], tables["credit_notes"])
+    totals = payment_totals(tables["payments"])
+    plan = final_plan_of(documents.join(totals, ["document_id", "document_type"], "left"))
+    assert "SortMergeJoin" in plan
+    assert "skew=true" not in plan
+
+
+def test_skewed_report_is_whole(spark, tables):
+    report = ageing_report(**tables, as_at_date=AS_AT).collect()
+    documents = tables["invoices"].withColumnsRenamed({"id": "document_id"})
+    hot_paid = Decimal("1.01") * (ROWS // 3)
+    hot = documents.filter("document_id = 'ihot'").filter(F.col("total_amount") > hot_paid)
+    unpaid = documents.filter("document_id IS NULL")
+    paid = documents.filter("document_id <> 'ihot'")
+    assert len([r for r in report if r.document_id == "ihot"]) == hot.count() > 0
+    assert len([r for r in report if r.document_id is None and r.document_type == "invoice"]) == (
+        unpaid.count()
+    )
+    assert len([r for r in report if r.document_id and r.document_id.startswith("i")]) == (
+        hot.count() + paid.count()
+    )
+    assert len([r for r in report if r.document_type == "credit_note"]) == 2000
+
+
+def test_payments_are_summed_before_each_shuffle(spark, tables):
+    plan = plan_of(payment_totals(tables["payments"]))
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert "partial_sum(amount_paid" in plan
+
+
+def test_shuffles_of_the_report(spark, tables):
+    report = ageing_report(**tables, as_at_date=AS_AT)
+    plan = plan_of(report)
+    # Payments, their totals, documents.
+    assert plan.count("Exchange hashpartitioning") == 3
+    assert plan.count("Exchange") == 3
+    assert plan.count("Sort [") == 2
+    assert "BroadcastExchange" not in plan
+    assert "Python" not in plan
+
+
+def test_report_scans_only_what_it_needs(spark, tables):
+    plan = plan_of(ageing_report(**tables, as_at_date=AS_AT))
+    payments = "struct<document_id:string,document_type:string,amount_paid:decimal(18,2)>"
+    assert f"ReadSchema: {payments}" in plan
+    assert "IsNotNull(document_id)" in plan
+    assert plan.count("PushedFilters: [IsNotNull(total_amount)]") == 2
+
+
+def test_type_filter_prunes_a_whole_table(spark, tables):
+    report = ageing_report(**tables, as_at_date=AS_AT).filter("document_type = 'credit_note'")
+    plan = plan_of(report)
+    assert plan.count("FileScan parquet") == 2
+    assert "invoice_date" not in plan
+
+
+def test_small_totals_are_broadcast_after_measuring(spark, tables):
+    small = with_payments(
+        tables["invoices"].selectExpr("id AS document_id", "'invoice' AS document_type"),
+        payment_totals(tables["payments"].filter("document_id IN ('ihot', 'i1', 'i2')")),
+    )
+    assert "SortMergeJoin" in plan_of(small)
+    with settings(spark, {"spark.sql.adaptive.autoBroadcastJoinThreshold": "1m"}):
+        assert "BroadcastHashJoin" in final_plan_of(small)
+
+
+def test_checks_take_one_pass_and_no_row_shuffle(spark, tables):
+    plan = plan_of(check_table(tables["invoices"], "invoices", INVOICES.names))
+    assert plan.count("FileScan") == 1
+    assert "Exchange hashpartitioning" not in plan
+    assert "partial_count" in plan
+
+
+def test_sort_spreads_copies_over_tasks(spark, tables):
+    copies = ageing_report(**tables, as_at_date=AS_AT).withColumn("document_id", F.lit("same"))
+    copies = copies.withColumn("centre_id", F.lit("c")).repartition(16, "student_id")
+    with settings(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        ordered = sort_report(copies)
+        sizes = [
+            row["count"]
+            for row in ordered.filter("document_type = 'invoice'")
+            .groupBy(F.spark_partition_id())
+            .count()
+            .collect()
+        ]
+    assert sum(sizes) == copies.filter("document_type = 'invoice'").count()
+    assert max(sizes) < sum(sizes) / 3
+
+
+def test_sorted_skewed_report_is_in_order(spark, tables):
+    rows = sort_report(ageing_report(**tables, as_at_date=AS_AT)).collect()
+    keys = [(r.centre_id, r.class_id, r.document_id or "", r.document_type) for r in rows]
+    assert keys == sorted(keys)
+    assert in_any_order(rows) == in_any_order(ageing_report(**tables, as_at_date=AS_AT).collect())
+
+
+def test_publishing_writes_from_many_tasks(spark, tables, tmp_path):
+    report, findings = observe_checks(
+        ageing_report(**tables, as_at_date=AS_AT), "ageing_report", report_columns()
+    )
+    write_partitioned(report, str(tmp_path / "store"))
+    files = list((tmp_path / "store" / f"as_at_date={AS_AT}").glob("part-*.parquet"))
+    assert len(files) > 4
+    rows = spark.read.parquet(str(tmp_path / "store")).count()
+    nulls = {f.column_name: f.violations for f in findings() if f.check_name == "nulls"}
+    assert rows == report.count()
+    assert nulls["document_id"] > 0
+
+
+def test_csv_scan_of_many_splits(spark, tables, tmp_path):
+    path = str(tmp_path / "payments")
+    tables["payments"].write.option("header", True).csv(path)
+    scanned = read_table(spark, path, "csv", PAYMENTS)
+    assert scanned.rdd.getNumPartitions() > 8
+    assert scanned.count() == ROWS

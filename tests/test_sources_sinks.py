@@ -1,0 +1,165 @@
+import datetime
+from decimal import Decimal
+
+import golden
+import pytest
+from helpers import AS_AT, credit_notes, day, in_any_order, invoices, payments
+
+from receivables.operators import sort_report
+from receivables.plans import ageing_report
+from receivables.schemas import INVOICES, PAYMENTS, REPORT
+from receivables.scratch import new_folder
+from receivables.sinks import write_csv, write_partitioned
+from receivables.sources import (
+    csv_path,
+    read_csv_report,
+    read_inputs,
+    read_report,
+    read_table,
+)
+
+HEADER = "id,centre_id,class_id,student_id,invoice_date,total_amount\n"
+
+
+def scan(spark, tmp_path, text, schema=INVOICES):
+    path = tmp_path / "table.csv"
+    path.write_text(text)
+    return [tuple(row) for row in read_table(spark, str(path), "csv", schema).collect()]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_csv_scan(spark, tmp_path):
+    assert scan(spark, tmp_path, HEADER + "a,c,k,s,2025-01-31,12.30\n") == [
+        ("a", "c", "k", "s", day("2025-01-31"), Decimal("12.30"))
+    ]
+
+
+@pytest.mark.parametrize(
+    "line, expected",
+    [
+        ("a,c,k", ("a", "c", "k", None, None, None)),
+        ("a,c,k,s,2025-01-31,1,more,fields", ("a", "c", "k", "s", day("2025-01-31"), Decimal(1))),
+        ("a,c,k,s,2025-01-31,many", ("a", "c", "k", "s", day("2025-01-31"), None)),
+        ("a,c,k,s,someday,1", ("a", "c", "k", "s", None, Decimal(1))),
+        ("a,,k,s,,1", ("a", None, "k", "s", None, Decimal(1))),
+        ("a,c,k,s,2025-01-31,1.005", ("a", "c", "k", "s", day("2025-01-31"), Decimal("1.01"))),
+        (f"a,c,k,s,2025-01-31,1{'0' * 17}", ("a", "c", "k", "s", day("2025-01-31"), None)),
+    ],
+)
+def test_csv_scan_of_odd_lines(spark, tmp_path, line, expected):
+    assert scan(spark, tmp_path, f"{HEADER}{line}\n") == [expected]
+
+
+def test_csv_scan_skips_blank_lines_and_ignores_header_names(spark, tmp_path):
+    text = "x,y,z,u,v,w\na,c,k,s,2025-01-31,1\n\nb,c,k,s,2025-01-31,2\n"
+    assert [row[0] for row in scan(spark, tmp_path, text)] == ["a", "b"]
+
+
+def test_parquet_scan_reads_only_what_is_used(spark, tmp_path):
+    path = str(tmp_path / "payments")
+    payments(spark, ("a", "invoice", 1)).write.parquet(path)
+    table = read_table(spark, path, "parquet", PAYMENTS)
+    assert table.schema == PAYMENTS
+    assert "ReadSchema: struct<amount_paid:decimal(18,2)>" in plan_of(table.select("amount_paid"))
+
+
+def test_unknown_format(spark):
+    with pytest.raises(ValueError, match="xml"):
+        read_table(spark, "/nowhere", "xml", INVOICES)
+
+
+def test_read_inputs(spark, tmp_path):
+    tables, paths = golden.tables(spark, golden.LARGER), {}
+    for name, table in tables.items():
+        paths[name] = str(tmp_path / name)
+        table.write.option("header", True).csv(paths[name])
+    read = read_inputs(spark, paths)
+    assert list(read) == list(tables)
+    for name, table in tables.items():
+        assert in_any_order(read[name].collect()) == in_any_order(table.collect())
+
+
+def report(spark, *invoice_rows, as_at_date=AS_AT):
+    return ageing_report(
+        invoices(spark, *invoice_rows), credit_notes(spark), payments(spark), as_at_date
+    )
+
+
+def test_partitioned_write_replaces_only_its_date(spark, tmp_path):
+    path, later = str(tmp_path / "store"), AS_AT + datetime.timedelta(1)
+    write_partitioned(report(spark, ("a", "2025-01-01", 1)), path)
+    write_partitioned(report(spark, ("b", "2025-01-01", 2), as_at_date=later), path)
+    write_partitioned(report(spark, ("c", "2025-01-01", 3)), path)
+    stored = read_report(spark, path)
+    # A file scan makes every column nullable; names and types are the declared ones.
+    assert [(f.name, f.dataType) for f in stored.schema] == [
+        (f.name, f.dataType) for f in REPORT
+    ]
+    assert {(r.document_id, r.as_at_date) for r in stored.collect()} == {("c", AS_AT), ("b", later)}
+    one = read_report(spark, path, later)
+    assert [row.document_id for row in one.collect()] == ["b"]
+    plan = plan_of(one)
+    assert "PartitionFilters: [isnotnull(as_at_date" in plan
+    assert "DataFilters: []" in plan
+
+
+def test_empty_write_replaces_nothing(spark, tmp_path):
+    path = str(tmp_path / "store")
+    write_partitioned(report(spark, ("a", "2025-01-01", 1)), path)
+    write_partitioned(report(spark), path)
+    assert read_report(spark, path).count() == 1
+
+
+def test_read_report_wants_a_date(spark, tmp_path):
+    path = str(tmp_path / "store")
+    write_partitioned(report(spark, ("a", "2025-01-01", 1)), path)
+    with pytest.raises(TypeError):
+        read_report(spark, path, "2025-04-07")
+
+
+def test_csv_path():
+    assert csv_path("out/report", datetime.date(2025, 4, 7)) == "out/report_2025-04-07.csv"
+
+
+@pytest.mark.parametrize("case", [golden.SMALL, golden.LARGER])
+def test_csv_text(spark, tmp_path, case):
+    date, base = case["as_at_date"], str(tmp_path / "report")
+    result = sort_report(ageing_report(**golden.tables(spark, case), as_at_date=date))
+    write_csv(result.coalesce(1), base, date)
+    (part,) = (tmp_path / f"report_{date}.csv").glob("part-*.csv")
+    assert part.read_text().splitlines() == golden.report_csv(case)
+
+
+def test_csv_keeps_amounts_and_text(spark, tmp_path):
+    # Amounts and how they are written.
+    amounts = {
+        "0.01": "0.01",
+        "0.10": "0.1",
+        "9999999.99": "9999999.99",
+        "10000000.00": "10000000.0",
+        "12345678.90": "12345678.9",
+        "1234567890123456.78": "1234567890123456.8",
+        "9999999999999999.99": "10000000000000000.0",
+    }
+    odd = [" lead", "trail ", "com,ma", None, "ünï"]
+    rows = [(f"d{i}", c, "k", "s", "2025-04-01", a) for i, (a, c) in enumerate(zip(amounts, odd * 2))]
+    result, base = report(spark, *rows), str(tmp_path / "report")
+    write_csv(result, base, AS_AT)
+    written = {}
+    for part in (tmp_path / f"report_{AS_AT}.csv").glob("part-*.csv"):
+        for line in part.read_text().splitlines()[1:]:
+            fields = line.replace("com,ma", "comma").split(",")
+            written[fields[2]] = fields[5]
+    assert list(amounts.values()) == [written[row[0]] for row in rows]
+    back = read_csv_report(spark, base, AS_AT)
+    assert in_any_order(back.collect()) == in_any_order(result.collect())
+
+
+def test_scratch_folders_lie_in_the_shared_folder(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    first, second = new_folder(spark, "scan"), new_folder(spark, "scan")
+    assert first != second
+    assert first.startswith(f"{shared}/scan-")
