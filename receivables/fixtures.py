@@ -19,8 +19,22 @@ from receivables.schemas import CREDIT_NOTE, INVOICE, MONEY
 AS_AT_DATE = datetime.date(2001, 6, 30)
 
 
+# The columns used. Declared, so that no job has to look into the files first.
+_TABLES = {
+    "nation": "n_nationkey INT, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_nationkey INT, c_mktsegment STRING",
+    "orders": (
+        "o_orderkey BIGINT, o_custkey BIGINT, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ"
+    ),
+    "lineitem": (
+        "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_extendedprice DOUBLE, "
+        "l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ"
+    ),
+}
+
+
 def _load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spark.read.schema(_TABLES[table]).parquet(f"{sf_dir}/{table}.parquet")
 
 
 def _id(prefix: str, column: str, *more: str) -> Column:

@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from receivables.functions import AGE_BUCKETS, AgeBucket
+from receivables.functions.ageing import as_date
 from receivables.operators import (
     Finding,
     age_documents,
@@ -72,7 +73,9 @@ def publish_ageing_report(
     report, findings = observe_checks(
         ageing_report(*tables, as_at_date), "ageing_report", report_columns()
     )
-    write_partitioned(report, store)
+    # Stamped again above the checks, the date is a constant to the writer, which
+    # then has no need to sort the rows by it.
+    write_partitioned(report.withColumn("as_at_date", as_date(as_at_date)), store)
     warnings += enforce(findings())
 
     if csv_base is not None:
