@@ -30,11 +30,21 @@ def age_buckets(limits: Sequence[int] = (30, 60, 90, 120, 150, 180)) -> tuple[Ag
 AGE_BUCKETS = age_buckets()
 
 
-def as_date(value: datetime.date) -> Column:
-    """A DATE literal. Text and date-times are refused instead of being guessed at."""
+def _checked(value: datetime.date) -> datetime.date:
+    """Text and date-times are refused instead of being guessed at."""
     if not isinstance(value, datetime.date) or isinstance(value, datetime.datetime):
         raise TypeError(f"expected a datetime.date, got {value!r}")
-    return F.lit(value)
+    return value
+
+
+def as_date(value: datetime.date) -> Column:
+    """A DATE literal."""
+    return F.lit(_checked(value))
+
+
+def as_date_text(value: datetime.date) -> str:
+    """``YYYY-MM-DD``, as dates occur in paths."""
+    return _checked(value).isoformat()
 
 
 def days_between(as_at_date: datetime.date, document_date: Column) -> Column:

@@ -5,9 +5,8 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from receivables.functions.ageing import as_date
+from receivables.functions.ageing import as_date_text
 from receivables.schemas import REPORT
 from receivables.sources.tables import read_table
 
@@ -15,16 +14,20 @@ from receivables.sources.tables import read_table
 def read_report(
     spark: SparkSession, path: str, as_at_date: datetime.date | None = None
 ) -> DataFrame:
-    """A report table; with a date, only that date's partition is listed and read."""
-    report = read_table(spark, path, "parquet", REPORT)
+    """A report table, all dates or one.
+
+    For one date only its own folder is listed; a filter on the whole table
+    would read no more, but would first list the folders of all dates.
+    """
     if as_at_date is None:
-        return report
-    return report.filter(F.col("as_at_date") == as_date(as_at_date))
+        return read_table(spark, path, "parquet", REPORT)
+    folder = f"{path}/as_at_date={as_date_text(as_at_date)}"
+    return spark.read.schema(REPORT).option("basePath", path).parquet(folder)
 
 
 def csv_path(base: str, as_at_date: datetime.date) -> str:
     """Where the CSV report of a date lies: ``{base}_YYYY-MM-DD.csv``, a directory."""
-    return f"{base}_{as_at_date.isoformat()}.csv"
+    return f"{base}_{as_date_text(as_at_date)}.csv"
 
 
 def read_csv_report(spark: SparkSession, base: str, as_at_date: datetime.date) -> DataFrame:

@@ -4,7 +4,10 @@ from decimal import Decimal
 import golden
 import pytest
 from helpers import AS_AT, credit_notes, day, in_any_order, invoices, payments
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
+from receivables.functions import plain_number
 from receivables.operators import sort_report
 from receivables.plans import ageing_report
 from receivables.schemas import INVOICES, PAYMENTS, REPORT
@@ -100,12 +103,26 @@ def test_partitioned_write_replaces_only_its_date(spark, tmp_path):
     ]
     assert {(r.document_id, r.as_at_date) for r in stored.collect()} == {("c", AS_AT), ("b", later)}
     one = read_report(spark, path, later)
-    assert [row.document_id for row in one.collect()] == ["b"]
-    plan = plan_of(one)
+    assert one.schema == stored.schema
+    assert one.collect() == [row for row in stored.collect() if row.as_at_date == later]
+    assert {file.rsplit("/", 2)[1] for file in one.inputFiles()} == {f"as_at_date={later}"}
+
+
+def test_date_filter_prunes_partitions(spark, tmp_path):
+    path = str(tmp_path / "store")
+    write_partitioned(report(spark, ("a", "2025-01-01", 1)), path)
+    plan = plan_of(read_report(spark, path).filter(F.col("as_at_date") == AS_AT))
     assert "PartitionFilters: [isnotnull(as_at_date" in plan
     assert "DataFilters: []" in plan
 
 
+def test_reading_a_date_that_is_not_stored(spark, tmp_path):
+    path = str(tmp_path / "store")
+    write_partitioned(report(spark, ("a", "2025-01-01", 1)), path)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        read_report(spark, path, datetime.date(1999, 1, 1))
+
+
 def test_empty_write_replaces_nothing(spark, tmp_path):
     path = str(tmp_path / "store")
     write_partitioned(report(spark, ("a", "2025-01-01", 1)), path)
@@ -158,6 +175,41 @@ def test_csv_keeps_amounts_and_text(spark, tmp_path):
     assert in_any_order(back.collect()) == in_any_order(result.collect())
 
 
+@pytest.mark.parametrize(
+    "amount, text",
+    [
+        (0.0, "0.0"),
+        (None, None),
+        (-12345678.9, "-12345678.9"),
+        (1e7, "10000000.0"),
+        (100200300.0, "100200300.0"),
+        (123456789.125, "123456789.125"),
+        (1.5e20, "150000000000000000000.0"),
+    ],
+)
+def test_plain_number(spark, amount, text):
+    value = F.lit(amount).cast("double")
+    assert spark.range(1).select(plain_number(value)).first()[0] == text
+
+
+class FakeSession:
+    """Only what ``new_folder`` asks a session for."""
+
+    def __init__(self, **settings):
+        self.settings = {key.replace("_", "."): value for key, value in settings.items()}
+        self.conf = self
+
+    def get(self, key, default):
+        return self.settings.get(key, default)
+
+
+def test_scratch_folder_on_a_cluster():
+    shared = FakeSession(spark_master="yarn", spark_checkpoint_dir="hdfs://shared/tmp/")
+    assert new_folder(shared, "scan").startswith("hdfs://shared/tmp/scan-")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        new_folder(FakeSession(spark_master="yarn"), "scan")
+
+
 def test_scratch_folders_lie_in_the_shared_folder(spark):
     shared = spark.conf.get("spark.checkpoint.dir")
     first, second = new_folder(spark, "scan"), new_folder(spark, "scan")
