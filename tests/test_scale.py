@@ -19,12 +19,13 @@ from receivables.operators import (
     report_columns,
     sort_report,
     unify_documents,
+    validate_inputs,
     with_payments,
 )
-from receivables.plans import ageing_report
-from receivables.schemas import INVOICES, PAYMENTS
+from receivables.plans import ageing_report, publish_ageing_report
+from receivables.schemas import INPUT_SCHEMAS, INVOICES, PAYMENTS
 from receivables.sinks import write_partitioned
-from receivables.sources import read_table
+from receivables.sources import read_inputs, read_report, read_table
 
 ROWS = 60_000
 LARGE = {
@@ -188,6 +189,26 @@ def test_checks_take_one_pass_and_no_row_shuffle(spark, tables):
     assert "partial_count" in plan
 
 
+def test_checks_can_be_answered_from_file_footers(spark, stored, tmp_path):
+    by_scan = validate_inputs(
+        **{name: spark.read.parquet(f"{stored}/{name}") for name in INPUT_SCHEMAS}
+    ).collect()
+    footers = {
+        "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,text",
+        "spark.sql.parquet.aggregatePushdown": "true",
+        "spark.sql.maxMetadataStringLength": "2000",
+    }
+    with settings(spark, footers):
+        paths = {name: f"{stored}/{name}" for name in INPUT_SCHEMAS}
+        inputs = read_inputs(spark, paths, "parquet")
+        findings = validate_inputs(**inputs)
+        assert plan_of(findings).count("PushedAggregation: [COUNT(*), COUNT(id)") == 3
+        assert findings.collect() == by_scan
+        publish_ageing_report(inputs, AS_AT, str(tmp_path / "store"))
+        report = read_report(spark, str(tmp_path / "store"), AS_AT)
+        assert report.count() == ageing_report(**inputs, as_at_date=AS_AT).count() > 0
+
+
 def test_sort_spreads_copies_over_tasks(spark, tables):
     copies = ageing_report(**tables, as_at_date=AS_AT).withColumn("document_id", F.lit("same"))
     copies = copies.withColumn("centre_id", F.lit("c")).repartition(16, "student_id")
