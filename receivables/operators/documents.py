@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from receivables.functions import as_money
-from receivables.schemas import CREDIT_NOTE, DOCUMENT_COLUMNS, INVOICE
+from receivables.schemas import CREDIT_NOTE, INVOICE
 
 
 def _documents(table: DataFrame, date_column: str, document_type: str) -> DataFrame:
@@ -18,7 +18,7 @@ def _documents(table: DataFrame, date_column: str, document_type: str) -> DataFr
         F.col(date_column).alias("document_date"),
         as_money(table, "total_amount").alias("total_amount"),
         F.lit(document_type).alias("document_type"),
-    ).select(*DOCUMENT_COLUMNS)
+    )
 
 
 def invoice_documents(invoices: DataFrame) -> DataFrame:
