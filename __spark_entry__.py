@@ -15,11 +15,17 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType, StructType
-
-from receivables import fixtures, operators, plans, sinks, sources
-from receivables.fixtures import AS_AT_DATE
-from receivables.schemas import CREDIT_NOTES, INVOICES, PAYMENTS
+from pyspark.sql.types import DecimalType
+
+from receivables import operators, plans, sinks, sources
+from receivables.fixtures import AS_AT_DATE, load_inputs
+from receivables.schemas import (
+    CREDIT_NOTES,
+    DOCUMENT_COLUMNS,
+    INPUT_SCHEMAS,
+    INVOICES,
+    PAYMENTS,
+)
 from receivables.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,71 +43,64 @@ def _plain(df: DataFrame) -> DataFrame:
     )
 
 
-def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.unify_documents(
-        fixtures.invoices(spark, sf_dir), fixtures.credit_notes(spark, sf_dir)
-    )
+def _documents(inputs: dict[str, DataFrame]) -> DataFrame:
+    return operators.unify_documents(inputs["invoices"], inputs["credit_notes"])
 
 
-def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.payment_totals(fixtures.payments(spark, sf_dir))
-
-
-def _outstanding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.outstanding_documents(
-        _documents(spark, sf_dir), fixtures.payments(spark, sf_dir)
-    )
+def _outstanding(inputs: dict[str, DataFrame]) -> DataFrame:
+    return operators.outstanding_documents(_documents(inputs), inputs["payments"])
 
 
 def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plans.ageing_report(**fixtures.load_inputs(spark, sf_dir), as_at_date=AS_AT_DATE)
+    return plans.ageing_report(**load_inputs(spark, sf_dir), as_at_date=AS_AT_DATE)
 
 
-def _csv_scan(table: Callable[[SparkSession, str], DataFrame], schema: StructType) -> Query:
+def _csv_scan(table: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = new_folder(spark, "scan")
-        table(spark, sf_dir).write.option("header", True).csv(path)
-        return _plain(sources.read_table(spark, path, "csv", schema))
+        load_inputs(spark, sf_dir)[table].write.option("header", True).csv(path)
+        return _plain(sources.read_table(spark, path, "csv", INPUT_SCHEMAS[table]))
 
     return query
 
 
 def invoice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(operators.invoice_documents(fixtures.invoices(spark, sf_dir)))
+    return _plain(operators.invoice_documents(load_inputs(spark, sf_dir)["invoices"]))
 
 
 def credit_note_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(operators.credit_note_documents(fixtures.credit_notes(spark, sf_dir)))
+    return _plain(operators.credit_note_documents(load_inputs(spark, sf_dir)["credit_notes"]))
 
 
 def all_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_documents(spark, sf_dir))
+    return _plain(_documents(load_inputs(spark, sf_dir)))
 
 
 def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.document_types(_documents(spark, sf_dir))
+    return operators.document_types(_documents(load_inputs(spark, sf_dir)))
 
 
 def payments_by_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_totals(spark, sf_dir))
+    return _plain(operators.payment_totals(load_inputs(spark, sf_dir)["payments"]))
 
 
 def documents_with_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(operators.with_payments(_documents(spark, sf_dir), _totals(spark, sf_dir)))
+    inputs = load_inputs(spark, sf_dir)
+    totals = operators.payment_totals(inputs["payments"])
+    return _plain(operators.with_payments(_documents(inputs), totals))
 
 
 def outstanding_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(_outstanding(spark, sf_dir))
+    return _plain(_outstanding(load_inputs(spark, sf_dir)))
 
 
 def days_outstanding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(operators.with_days(_outstanding(spark, sf_dir), AS_AT_DATE))
+    return _plain(operators.with_days(_outstanding(load_inputs(spark, sf_dir)), AS_AT_DATE))
 
 
 def ageing_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plain(
-        operators.bucketize(operators.with_days(_outstanding(spark, sf_dir), AS_AT_DATE))
-    )
+    aged = operators.with_days(_outstanding(load_inputs(spark, sf_dir)), AS_AT_DATE)
+    return _plain(operators.bucketize(aged))
 
 
 def ageing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,12 +108,14 @@ def ageing_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_via_views(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sources.register_views(fixtures.load_inputs(spark, sf_dir))
+    sources.register_views(load_inputs(spark, sf_dir))
     return plans.ageing_report_from_views(spark, AS_AT_DATE)
 
 
 def null_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = operators.join_payments(_documents(spark, sf_dir), _totals(spark, sf_dir))
+    inputs = load_inputs(spark, sf_dir)
+    totals = operators.payment_totals(inputs["payments"])
+    joined = operators.join_payments(_documents(inputs), totals)
     return operators.null_profile(joined, "documents_with_payments", joined.columns)
 
 
@@ -123,7 +124,7 @@ def type_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def input_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.validate_inputs(**fixtures.load_inputs(spark, sf_dir))
+    return operators.validate_inputs(**load_inputs(spark, sf_dir))
 
 
 def output_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,9 +149,9 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
-        "scan_invoices": _csv_scan(fixtures.invoices, INVOICES),
-        "scan_credit_notes": _csv_scan(fixtures.credit_notes, CREDIT_NOTES),
-        "scan_payments": _csv_scan(fixtures.payments, PAYMENTS),
+        "scan_invoices": _csv_scan("invoices"),
+        "scan_credit_notes": _csv_scan("credit_notes"),
+        "scan_payments": _csv_scan("payments"),
         "invoice_documents": invoice_documents,
         "credit_note_documents": credit_note_documents,
         "all_documents": all_documents,
@@ -335,7 +336,7 @@ SELECT {_DOCUMENT_FIELDS}, CAST(coalesce(total_paid, 0) AS DOUBLE) AS total_paid
         "ageing_buckets": f"{_OWED}\nSELECT {_OWED_FIELDS}, {_DAYS}, {_BUCKETS} FROM owed",
         "null_profile": f"{_DOCUMENTS}\n"
         + _null_counts(
-            "documents_with_payments", [*operators.documents.DOCUMENT_COLUMNS, "total_paid"]
+            "documents_with_payments", [*DOCUMENT_COLUMNS, "total_paid"]
         ),
         "type_findings": """
 SELECT 'orders' AS table_name, 'date_type' AS check_name, 'o_orderdate' AS column_name,

@@ -62,8 +62,8 @@ def _billed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _billed_orders(spark, sf_dir).select(
+def _invoices(billed_orders: DataFrame) -> DataFrame:
+    return billed_orders.select(
         _id("inv_", "o_orderkey").alias("id"),
         "centre_id",
         "class_id",
@@ -73,52 +73,49 @@ def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def credit_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _credit_notes(billed_orders: DataFrame, lines: DataFrame) -> DataFrame:
+    order = key_hash(["o_orderkey"])
     returned = (
-        _load(spark, sf_dir, "lineitem")
-        .filter(F.col("l_returnflag") == "R")
+        lines.filter(F.col("l_returnflag") == "R")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(
             F.min(F.col("l_shipdate").cast("date")).alias("credit_note_date"),
             F.sum(F.col("l_extendedprice").cast(MONEY)).cast(MONEY).alias("total_amount"),
         )
-        .withColumn(KEY_HASH, key_hash(["o_orderkey"]))
     )
-    orders = (
-        _billed_orders(spark, sf_dir)
-        .drop("o_orderdate", "o_totalprice")
-        .withColumn(KEY_HASH, key_hash(["o_orderkey"]))
-    )
-    return orders.join(returned, [KEY_HASH, "o_orderkey"]).select(
-        _id("cr_", "o_orderkey").alias("id"),
-        "centre_id",
-        "class_id",
-        "student_id",
-        "credit_note_date",
-        "total_amount",
+    return (
+        billed_orders.select("o_orderkey", "centre_id", "class_id", "student_id", order)
+        .join(returned.select("*", order), [KEY_HASH, "o_orderkey"])
+        .select(
+            _id("cr_", "o_orderkey").alias("id"),
+            "centre_id",
+            "class_id",
+            "student_id",
+            "credit_note_date",
+            "total_amount",
+        )
     )
 
 
-def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _payments(lines: DataFrame) -> DataFrame:
     returned = F.col("l_returnflag") == "R"
-    return (
-        _load(spark, sf_dir, "lineitem")
-        .filter(F.col("l_linestatus") == "F")
-        .select(
-            _id("pay_", "l_orderkey", "l_linenumber", "l_partkey").alias("id"),
-            F.when(returned, _id("cr_", "l_orderkey"))
-            .otherwise(_id("inv_", "l_orderkey"))
-            .alias("document_id"),
-            F.when(returned, CREDIT_NOTE).otherwise(INVOICE).alias("document_type"),
-            F.col("l_extendedprice").cast(MONEY).alias("amount_paid"),
-            F.col("l_shipdate").cast("date").alias("payment_date"),
-        )
+    return lines.filter(F.col("l_linestatus") == "F").select(
+        _id("pay_", "l_orderkey", "l_linenumber", "l_partkey").alias("id"),
+        F.when(returned, _id("cr_", "l_orderkey"))
+        .otherwise(_id("inv_", "l_orderkey"))
+        .alias("document_id"),
+        F.when(returned, CREDIT_NOTE).otherwise(INVOICE).alias("document_type"),
+        F.col("l_extendedprice").cast(MONEY).alias("amount_paid"),
+        F.col("l_shipdate").cast("date").alias("payment_date"),
     )
 
 
 def load_inputs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Invoices, credit notes and payments from the tables in ``sf_dir``."""
+    billed_orders = _billed_orders(spark, sf_dir)
+    lines = _load(spark, sf_dir, "lineitem")
     return {
-        "invoices": invoices(spark, sf_dir),
-        "credit_notes": credit_notes(spark, sf_dir),
-        "payments": payments(spark, sf_dir),
+        "invoices": _invoices(billed_orders),
+        "credit_notes": _credit_notes(billed_orders, lines),
+        "payments": _payments(lines),
     }

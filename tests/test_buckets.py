@@ -2,6 +2,8 @@ import datetime
 
 import pytest
 from helpers import AS_AT, REPORT_COLUMNS, credit_notes, invoices, payments
+from hypothesis import given
+from hypothesis import strategies as st
 
 from receivables.functions import AGE_BUCKETS, age_buckets
 from receivables.operators import (
@@ -76,6 +78,17 @@ def test_other_limits(spark):
     assert (row.day_7, row.day_14, row.day_14_and_above) == (0.0, 5.0, 0.0)
 
 
+@given(
+    st.sets(st.integers(0, 400), min_size=1, max_size=9).map(sorted),
+    st.integers(0, 500),
+)
+def test_buckets_cover_every_day_once(limits, day):
+    buckets = age_buckets(limits)
+    holding = [b for b in buckets if b.low <= day and (b.high is None or day <= b.high)]
+    assert len(holding) == 1
+    assert len({b.column for b in buckets}) == len(buckets) == len(limits) + 1
+
+
 @pytest.mark.parametrize("limits", [(), (30, 30), (60, 30), (-1, 5)])
 def test_bad_limits(limits):
     with pytest.raises(ValueError):
