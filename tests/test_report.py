@@ -135,6 +135,13 @@ def test_publish_returns_warnings_of_inputs_and_report(spark, tmp_path):
     ]
 
 
+def test_publish_refuses_a_date_as_text_before_any_job(spark, tmp_path):
+    # A job would find the empty table first.
+    inputs = {**golden.tables(spark, golden.SMALL), "invoices": invoices(spark)}
+    with pytest.raises(TypeError, match="2025-04-07"):
+        publish_ageing_report(inputs, "2025-04-07", str(tmp_path / "store"))
+
+
 def test_publish_leaves_the_store_alone_on_errors(spark, tmp_path):
     case, store = golden.SMALL, str(tmp_path / "store")
     date, good = case["as_at_date"], golden.tables(spark, case)
