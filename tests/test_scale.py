@@ -165,6 +165,23 @@ def test_report_scans_only_what_it_needs(spark, tables):
     assert plan.count("PushedFilters: [IsNotNull(total_amount)]") == 2
 
 
+def test_filters_on_the_report_reach_the_scans(spark, tables):
+    report = ageing_report(**tables, as_at_date=AS_AT)
+    centre = plan_of(report.filter("centre_id = 'c1'"))
+    assert len(re.findall(r"PushedFilters: \[[^]]*EqualTo\(centre_id,c1\)", centre)) == 2
+    one = plan_of(report.filter("document_id = 'i7'"))
+    assert len(re.findall(r"PushedFilters: \[[^]]*EqualTo\(id,i7\)", one)) == 2
+    assert len(re.findall(r"PushedFilters: \[[^]]*EqualTo\(document_id,i7\)", one)) == 1
+
+
+def test_unused_report_columns_are_not_read(spark, tables):
+    plan = plan_of(
+        ageing_report(**tables, as_at_date=AS_AT).groupBy("centre_id").agg(F.sum("day_30"))
+    )
+    assert "student_id" not in plan
+    assert "class_id" not in plan
+
+
 def test_type_filter_prunes_a_whole_table(spark, tables):
     report = ageing_report(**tables, as_at_date=AS_AT).filter("document_type = 'credit_note'")
     plan = plan_of(report)
