@@ -27,8 +27,8 @@ def join_payments(documents: DataFrame, totals: DataFrame) -> DataFrame:
     ``totals`` holds one row per document key, so no document is multiplied;
     copies of a document each get the whole total, and a NULL key finds none.
     ``key_hash`` explains why the join has a hash among its keys. No side is
-    marked for broadcast: Spark broadcasts the totals by itself when it has
-    measured them to be under its threshold.
+    marked for broadcast: Spark broadcasts the totals by itself when they are
+    under its thresholds.
     """
     left = documents.withColumn(KEY_HASH, key_hash(DOCUMENT_KEY))
     right = totals.withColumn(KEY_HASH, key_hash(DOCUMENT_KEY))
