@@ -7,6 +7,7 @@ is exact throughout and becomes DOUBLE in the last projection.
 
 from __future__ import annotations
 
+import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -30,6 +31,12 @@ from receivables.scratch import new_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# The operators on texts come and go as a whole with their folder.
+if importlib.util.find_spec("receivables.llm") and importlib.util.find_spec("receivables.llm.queries"):
+    from receivables.llm import queries as llm
+else:
+    llm = None
+
 
 def _plain(df: DataFrame) -> DataFrame:
     """Decimals as DOUBLE, for comparison across engines."""
@@ -148,7 +155,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {
+    own = {
         "scan_invoices": _csv_scan("invoices"),
         "scan_credit_notes": _csv_scan("credit_notes"),
         "scan_payments": _csv_scan("payments"),
@@ -170,6 +177,7 @@ def queries() -> dict[str, Query]:
         "report_roundtrip": report_roundtrip,
         "report_csv_roundtrip": report_csv_roundtrip,
     }
+    return own | (llm.queries() if llm else {})
 
 
 # The input tables and the stages after them, each a chain of named subqueries.
@@ -357,4 +365,4 @@ FROM orders""",
     }
     for key in ("ageing_report", "report_via_views", "report_roundtrip", "report_csv_roundtrip"):
         sql[key] = report
-    return sql
+    return sql | (llm.oracle_sql() if llm else {})

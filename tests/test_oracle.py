@@ -26,11 +26,14 @@ def oracle():
     return connection
 
 
+OWN = sorted(driver.queries().keys() - (driver.llm.queries().keys() if driver.llm else ()))
+
+
 def test_every_query_has_an_oracle():
-    assert driver.queries().keys() == driver.oracle_sql().keys()
+    assert set(OWN) <= driver.oracle_sql().keys() <= driver.queries().keys()
 
 
-@pytest.mark.parametrize("key", sorted(driver.queries()))
+@pytest.mark.parametrize("key", OWN)
 def test_query_equals_oracle(spark, oracle, key):
     result = driver.queries()[key](spark, SF_DIR)
     cursor = oracle.execute(driver.oracle_sql()[key])
