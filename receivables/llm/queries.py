@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from receivables.llm import language_id, packing, quality_classifier, simhash
+from receivables.llm import (
+    bit_sliced_search,
+    language_id,
+    packing,
+    quality_classifier,
+    simhash,
+    warc,
+)
 from receivables.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +36,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read_back(table(spark, sf_dir, "pages"))
+
+
+def op7_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_sliced_search.search_top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = language_id.train(docs.filter(~held_out(F.col("doc_id"))))
@@ -49,9 +64,44 @@ def queries() -> dict[str, Query]:
         "op1_packing": op1_packing,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op5_warc": op5_warc,
+        "op7_bit_sliced_search": op7_bit_sliced_search,
         "op9_language_id": op9_language_id,
     }
 
 
+# DuckDB has no base32: five bits of the digest's hexadecimal digits at a time.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda k:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+      1 + ((('0x' || substr(hex_digest, 1 + CAST(5 * (k // 4) AS INTEGER), 5))::INTEGER
+        >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31), 1)), '')"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_warc": f"""
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex_digest FROM pages
+),
+first AS (SELECT payload AS p, min(page_id) AS first_id FROM hashed GROUP BY payload)
+SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM hashed JOIN first ON payload = p""",
+        "op7_bit_sliced_search": """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored
+)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5""",
+    }
