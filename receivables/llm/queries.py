@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from receivables.llm import (
     bit_sliced_search,
+    html_extraction,
     language_id,
     packing,
     quality_classifier,
@@ -44,6 +45,10 @@ def op7_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced_search.search_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     trees = language_id.train(docs.filter(~held_out(F.col("doc_id"))))
@@ -66,6 +71,7 @@ def queries() -> dict[str, Query]:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op5_warc": op5_warc,
         "op7_bit_sliced_search": op7_bit_sliced_search,
+        "op8_html_extraction": op8_html_extraction,
         "op9_language_id": op9_language_id,
     }
 
