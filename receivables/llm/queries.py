@@ -13,6 +13,7 @@ from receivables.llm import (
     language_id,
     packing,
     quality_classifier,
+    quality_rules,
     simhash,
     warc,
 )
@@ -37,6 +38,12 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc_id", *quality_rules.COUNTS[:5], "base_failed", "kept"
+    )
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read_back(table(spark, sf_dir, "pages"))
 
@@ -69,6 +76,7 @@ def queries() -> dict[str, Query]:
         "op1_packing": op1_packing,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
+        "op4_quality_rules": op4_quality_rules,
         "op5_warc": op5_warc,
         "op7_bit_sliced_search": op7_bit_sliced_search,
         "op8_html_extraction": op8_html_extraction,
