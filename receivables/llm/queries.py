@@ -11,9 +11,11 @@ from receivables.llm import (
     bit_sliced_search,
     html_extraction,
     language_id,
+    license_scan,
     packing,
     quality_classifier,
     quality_rules,
+    sentencepiece_sampling,
     simhash,
     warc,
 )
@@ -48,6 +50,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read_back(table(spark, sf_dir, "pages"))
 
 
+def op6_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_sampling.sample_segmentations(table(spark, sf_dir, "documents"))
+
+
 def op7_bit_sliced_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bit_sliced_search.search_top_k(table(spark, sf_dir, "embeddings"))
 
@@ -64,6 +70,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -78,9 +88,11 @@ def queries() -> dict[str, Query]:
         "op3_simhash_near_dedup": op3_simhash_near_dedup,
         "op4_quality_rules": op4_quality_rules,
         "op5_warc": op5_warc,
+        "op6_sentencepiece_sampling": op6_sentencepiece_sampling,
         "op7_bit_sliced_search": op7_bit_sliced_search,
         "op8_html_extraction": op8_html_extraction,
         "op9_language_id": op9_language_id,
+        "op10_license_scan": op10_license_scan,
     }
 
 
