@@ -19,7 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
 from receivables import operators, plans, sinks, sources
-from receivables.fixtures import AS_AT_DATE, load_inputs
+from receivables.fixtures import (
+    AS_AT_DATE,
+    load_faulty_inputs,
+    load_inputs,
+    load_undated_inputs,
+)
+from receivables.functions import age_buckets
+from receivables.layout import report_columns
 from receivables.schemas import (
     CREDIT_NOTES,
     DOCUMENT_COLUMNS,
@@ -27,10 +34,14 @@ from receivables.schemas import (
     INVOICES,
     PAYMENTS,
 )
-from receivables.scratch import new_folder
+from receivables.scratch import new_folder, staged
+from receivables.sources.reports import CSV_TEXT
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+OTHER_LIMITS = (7, 14, 28)
+_ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
+
 # The operators on texts come and go as a whole with their folder.
 if importlib.util.find_spec("receivables.llm") and importlib.util.find_spec("receivables.llm.queries"):
     from receivables.llm import queries as llm
@@ -64,9 +75,11 @@ def _report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _csv_scan(table: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        path = new_folder(spark, "scan")
-        load_inputs(spark, sf_dir)[table].write.option("header", True).csv(path)
-        return _plain(sources.read_table(spark, path, "csv", INPUT_SCHEMAS[table]))
+        def write(path: str) -> None:
+            load_inputs(spark, sf_dir)[table].write.options(**CSV_TEXT).csv(path)
+
+        path = staged(spark, f"csv-{table}", sf_dir, write)
+        return _plain(sources.read_table(spark, path, "csv", INPUT_SCHEMAS[table], escape='"'))
 
     return query
 
@@ -131,11 +144,52 @@ def type_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def input_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.validate_inputs(**load_inputs(spark, sf_dir))
+    return operators.validate_inputs(**load_faulty_inputs(spark, sf_dir))
 
 
 def output_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return operators.validate_report(_report(spark, sf_dir))
+    inputs = load_undated_inputs(spark, sf_dir)
+    return operators.validate_report(plans.ageing_report(**inputs, as_at_date=AS_AT_DATE))
+
+
+def missing_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    lacking = orders.drop("o_orderdate", "o_totalprice")
+    return operators.check_table(lacking, "orders", [*_ORDER_COLUMNS, "o_comment_date"])
+
+
+def report_other_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, base = new_folder(spark, "report"), new_folder(spark, "report")
+    buckets = age_buckets(OTHER_LIMITS)
+    inputs = load_inputs(spark, sf_dir)
+    plans.publish_ageing_report(inputs, AS_AT_DATE, path, base, buckets)
+    stored = sources.read_report(spark, path, AS_AT_DATE, buckets)
+    as_csv = sources.read_csv_report(spark, base, AS_AT_DATE, buckets)
+    return stored.withColumn("kept_as", F.lit("parquet")).unionByName(
+        as_csv.withColumn("kept_as", F.lit("csv"))
+    )
+
+
+def csv_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of documents, with their line breaks, as a report's class ids."""
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    values = {
+        "centre_id": F.col("lang"),
+        "class_id": F.col("text"),
+        "document_id": F.col("doc_id").cast("string"),
+        "document_date": F.lit(AS_AT_DATE),
+        "student_id": F.col("source"),
+        "document_type": F.lit("invoice"),
+        "as_at_date": F.lit(AS_AT_DATE),
+    }
+    report = documents.select(
+        *(values.get(name, F.lit(0.0)).alias(name) for name in report_columns())
+    )
+    base = new_folder(spark, "texts")
+    sinks.write_csv(report, base, AS_AT_DATE)
+    return sources.read_csv_report(spark, base, AS_AT_DATE).select(
+        "centre_id", "class_id", "document_id", "student_id"
+    )
 
 
 def report_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,6 +228,9 @@ def queries() -> dict[str, Query]:
         "type_findings": type_findings,
         "input_findings": input_findings,
         "output_findings": output_findings,
+        "missing_findings": missing_findings,
+        "report_other_limits": report_other_limits,
+        "csv_text_roundtrip": csv_text_roundtrip,
         "report_roundtrip": report_roundtrip,
         "report_csv_roundtrip": report_csv_roundtrip,
     }
@@ -188,8 +245,8 @@ WITH billed AS (
          c_mktsegment AS class_id,
          'stu_' || o_custkey AS student_id
   FROM orders
-  JOIN customer ON c_custkey = o_custkey
-  JOIN nation ON n_nationkey = c_nationkey
+  LEFT JOIN customer ON c_custkey = o_custkey
+  LEFT JOIN nation ON n_nationkey = c_nationkey
 ),
 returned AS (
   SELECT l_orderkey,
@@ -289,8 +346,11 @@ def _null_counts(relation: str, columns: list[str]) -> str:
     )
 
 
-def _finding_counts(relation: str, table: str, columns: list[str]) -> str:
-    """Every check of a table; the types of these tables are all as they should be."""
+def _finding_counts(
+    relation: str, table: str, columns: list[str], **amounts: tuple[str, str]
+) -> str:
+    """Every check of a table, worked out from its values and types. ``amounts`` gives for
+    an amount column when it is unfit and when it is rounded."""
 
     def row(check: str, column: str, severity: str, violations: str) -> str:
         return (
@@ -299,6 +359,11 @@ def _finding_counts(relation: str, table: str, columns: list[str]) -> str:
             f"CAST({violations} AS BIGINT) AS violations FROM {relation}"
         )
 
+    def wrong_type(column: str, part: str) -> str:
+        kind = f"(SELECT any_value(typeof({column})) FROM {relation})"
+        fits = {"date": f"{kind} = 'DATE'", "amount": f"{kind} SIMILAR TO 'DECIMAL.*|DOUBLE|FLOAT'"}
+        return f"CASE WHEN {fits[part]} THEN 0 ELSE count(*) END"
+
     return "\nUNION ALL\n".join(
         [
             row("empty", "*", "error", "count(*) = 0"),
@@ -307,15 +372,69 @@ def _finding_counts(relation: str, table: str, columns: list[str]) -> str:
                 for c in columns
             ),
             *(
-                row(f"{part}_type", c, "warning", "0 * count(*)")
+                row(f"{part}_type", c, "warning", wrong_type(c, part))
                 for c in columns
                 for part in ("amount", "date")
                 if part in c
             ),
+            *(
+                row(check, c, severity, f"count(*) FILTER (WHERE {when})")
+                for c, whens in amounts.items()
+                for check, severity, when in zip(
+                    ("amount_range", "amount_rounding"), ("error", "warning"), whens
+                )
+            ),
         ]
     )
 
 
+# Tables that break the rules, see ``receivables.fixtures``.
+_FAULTY = (
+    _INPUTS
+    + """,
+faulty_invoices AS (
+  SELECT 'inv_' || o_orderkey AS id, centre_id, class_id, student_id,
+         CAST(credit_note_date AS TIMESTAMP) AS invoice_date,
+         coalesce(CAST(total_amount AS VARCHAR), class_id) AS total_amount
+  FROM billed LEFT JOIN returned ON l_orderkey = o_orderkey
+),
+faulty_credit_notes AS (
+  SELECT 'cr_' || o_orderkey AS id, centre_id, class_id, student_id,
+         CAST(o_orderdate AS DATE) AS credit_note_date, o_totalprice * 1e11 AS total_amount
+  FROM billed
+),
+faulty_payments AS (
+  SELECT 'pay_' || l_orderkey || '_' || l_linenumber || '_' || l_partkey AS id,
+         CASE WHEN l_returnflag = 'R' THEN 'cr_' || l_orderkey END AS document_id,
+         'credit_note' AS document_type,
+         l_extendedprice / 3 AS amount_paid,
+         CASE WHEN l_linestatus = 'F' THEN CAST(l_shipdate AS DATE) END AS payment_date,
+         CAST(round(l_extendedprice * 100) AS BIGINT) AS cents
+  FROM lineitem
+)"""
+)
+
+# The report over invoices dated as their credit notes.
+_UNDATED = _REPORT.replace(
+    "CAST(o_orderdate AS DATE) AS invoice_date,\n         CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount\n  FROM billed",
+    "credit_note_date AS invoice_date,\n         CAST(o_totalprice AS DECIMAL(18,2)) AS total_amount\n  FROM billed LEFT JOIN returned ON l_orderkey = o_orderkey",
+)
+
+
+def _other_limits() -> str:
+    amount = "THEN outstanding_amount ELSE 0 END AS DOUBLE)"
+    # Bucket edges, spelled out as fixed values.
+    columns = f"""
+  CAST(CASE WHEN days_outstanding BETWEEN 0 AND 7 {amount} AS day_7,
+  CAST(CASE WHEN days_outstanding BETWEEN 8 AND 14 {amount} AS day_14,
+  CAST(CASE WHEN days_outstanding BETWEEN 15 AND 28 {amount} AS day_28,
+  CAST(CASE WHEN days_outstanding > 28 {amount} AS day_28_and_above"""
+    return f"""{_OWED}
+SELECT centre_id, class_id, document_id, document_date, student_id, {columns},
+       document_type, DATE '2001-06-30' AS as_at_date, kept_as
+FROM owed, (VALUES ('parquet'), ('csv')) AS kept(kept_as)"""
+
+
 def oracle_sql() -> dict[str, str]:
     report = f"{_REPORT}\nSELECT * FROM report"
     sql = {
@@ -352,16 +471,42 @@ SELECT 'orders' AS table_name, 'date_type' AS check_name, 'o_orderdate' AS colum
        CASE WHEN (SELECT any_value(typeof(o_orderdate)) FROM orders) = 'DATE'
             THEN 0 ELSE count(*) END AS violations
 FROM orders""",
-        "input_findings": f"{_INPUTS}\n"
+        "input_findings": f"{_FAULTY}\n"
         + "\nUNION ALL\n".join(
             [
-                _finding_counts("src_invoices", "invoices", INVOICES.names),
-                _finding_counts("src_credit_notes", "credit_notes", CREDIT_NOTES.names),
-                _finding_counts("src_payments", "payments", PAYMENTS.names),
+                _finding_counts(
+                    "faulty_invoices",
+                    "invoices",
+                    INVOICES.names,
+                    total_amount=("NOT regexp_full_match(total_amount, '[0-9.]+')", "FALSE"),
+                ),
+                _finding_counts(
+                    "faulty_credit_notes",
+                    "credit_notes",
+                    CREDIT_NOTES.names,
+                    total_amount=("total_amount >= 1e16", "FALSE"),
+                ),
+                _finding_counts(
+                    "faulty_payments",
+                    "payments",
+                    PAYMENTS.names,
+                    amount_paid=("amount_paid >= 1e16", "cents % 3 <> 0"),
+                ),
             ]
         ),
-        "output_findings": f"{_REPORT}\n"
-        + _finding_counts("report", "ageing_report", operators.report_columns()),
+        "output_findings": f"{_UNDATED}\n"
+        + _finding_counts("report", "ageing_report", report_columns()),
+        "missing_findings": f"""
+{_finding_counts("orders", "orders", ["o_orderkey", "o_custkey"])}
+UNION ALL
+SELECT 'orders', 'missing', column_name, 'error', greatest(n, 1)
+FROM (SELECT count(*) AS n FROM orders),
+     (VALUES ('o_orderdate'), ('o_totalprice'), ('o_comment_date')) AS lacking(column_name)""",
+        "report_other_limits": _other_limits(),
+        "csv_text_roundtrip": """
+SELECT lang AS centre_id, text AS class_id, CAST(doc_id AS VARCHAR) AS document_id,
+       source AS student_id
+FROM documents""",
     }
     for key in ("ageing_report", "report_via_views", "report_roundtrip", "report_csv_roundtrip"):
         sql[key] = report

@@ -8,7 +8,12 @@ from receivables.functions.ageing import (
     days_between,
 )
 from receivables.functions.keys import key_hash
-from receivables.functions.money import as_money, plain_number
+from receivables.functions.money import (
+    as_money,
+    plain_number,
+    rounded_amounts,
+    unfit_amounts,
+)
 
 __all__ = [
     "AGE_BUCKETS",
@@ -19,4 +24,6 @@ __all__ = [
     "days_between",
     "key_hash",
     "plain_number",
+    "rounded_amounts",
+    "unfit_amounts",
 ]

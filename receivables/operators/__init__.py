@@ -1,5 +1,6 @@
 """Functions from DataFrames to DataFrames; lazy, except ``enforce``."""
 
+from receivables.layout import report_columns
 from receivables.operators.balances import (
     join_payments,
     outstanding,
@@ -10,7 +11,6 @@ from receivables.operators.balances import (
 from receivables.operators.buckets import (
     age_documents,
     bucketize,
-    report_columns,
     sort_report,
     to_report,
     with_days,

@@ -4,20 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from receivables.functions import as_money, key_hash
 from receivables.functions.keys import KEY_HASH
-from receivables.schemas import DOCUMENT_KEY
+from receivables.schemas import DOCUMENT_KEY, MONEY
 
 
-def payment_totals(payments: DataFrame) -> DataFrame:
+def payment_totals(payments: DataFrame, money: DecimalType = MONEY) -> DataFrame:
     """Amount paid per document.
 
     All payments count, whatever their date. The sum is partial before the
     shuffle, so a document with very many payments sends one row per task.
     """
     return payments.groupBy(*DOCUMENT_KEY).agg(
-        F.sum(as_money(payments, "amount_paid")).alias("total_paid")
+        F.sum(as_money(payments, "amount_paid", money)).alias("total_paid")
     )
 
 
@@ -54,6 +55,8 @@ def outstanding(paid_documents: DataFrame) -> DataFrame:
     ).filter(F.col("outstanding_amount") > 0)
 
 
-def outstanding_documents(documents: DataFrame, payments: DataFrame) -> DataFrame:
+def outstanding_documents(
+    documents: DataFrame, payments: DataFrame, money: DecimalType = MONEY
+) -> DataFrame:
     """Documents still owed after all payments; independent of any as-at date."""
-    return outstanding(with_payments(documents, payment_totals(payments)))
+    return outstanding(with_payments(documents, payment_totals(payments, money)))

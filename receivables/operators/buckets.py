@@ -10,24 +10,11 @@ from pyspark.sql import functions as F
 
 from receivables.functions import AGE_BUCKETS, AgeBucket, bucket_amount, days_between
 from receivables.functions.ageing import as_date
+from receivables.layout import report_columns
 
 SORT_SPREAD = "_sort_spread"
 
 
-def report_columns(buckets: Sequence[AgeBucket] = AGE_BUCKETS) -> list[str]:
-    """The report's columns in order; the as-at date last, as partitioned storage keeps it."""
-    return [
-        "centre_id",
-        "class_id",
-        "document_id",
-        "document_date",
-        "student_id",
-        *(bucket.column for bucket in buckets),
-        "document_type",
-        "as_at_date",
-    ]
-
-
 def with_days(outstanding: DataFrame, as_at_date: datetime.date) -> DataFrame:
     """Adds ``days_outstanding``; negative for future documents, NULL without a date."""
     return outstanding.withColumn(
@@ -61,16 +48,21 @@ def age_documents(
     return to_report(bucketize(with_days(outstanding, as_at_date), buckets), as_at_date, buckets)
 
 
+SORT_KEYS = ("centre_id", "class_id", "document_id", "document_type")
+
+
 def sort_report(report: DataFrame) -> DataFrame:
     """The report ordered by centre, class and document, for presentation.
 
     Stored tables need no global order, so the plans sort only where a person
-    reads the result. The id of the task a row comes from is the last tie-break:
-    without it all copies of one document would have to lie in one sorted
-    partition. Unlike a random number it stays the same when a task is repeated.
+    reads the result. A hash of the other columns is the last tie-break: without it all
+    copies of one document would have to lie in one sorted partition. Rows that agree in
+    every column stay together. Unlike a random number or a task's id a hash lets filters
+    on the result pass through to the scans.
     """
+    rest = [name for name in report.columns if name not in SORT_KEYS]
     return (
-        report.withColumn(SORT_SPREAD, F.spark_partition_id())
-        .orderBy("centre_id", "class_id", "document_id", "document_type", SORT_SPREAD)
+        report.withColumn(SORT_SPREAD, F.xxhash64(*rest))
+        .orderBy(*SORT_KEYS, SORT_SPREAD)
         .drop(SORT_SPREAD)
     )

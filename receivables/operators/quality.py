@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, DoubleType, FloatType, StructType
 
-from receivables.operators.buckets import report_columns
-from receivables.schemas import CREDIT_NOTES, INVOICES, PAYMENTS
+from receivables.functions import AGE_BUCKETS, AgeBucket, rounded_amounts, unfit_amounts
+from receivables.layout import report_columns
+from receivables.schemas import AMOUNTS, CREDIT_NOTES, INVOICES, MONEY, PAYMENTS
 
 logger = logging.getLogger(__name__)
 
@@ -74,17 +75,33 @@ def _type_checks(schema: StructType) -> list[_Check]:
     ]
 
 
-def _checks(df: DataFrame, required: Sequence[str]) -> list[_Check]:
+def _amount_checks(df: DataFrame, required: Sequence[str], money: DecimalType) -> list[_Check]:
+    """What becomes of the amounts when they are made exact."""
+    return [
+        check
+        for name in required
+        if name in AMOUNTS and name in df.columns
+        for check in (
+            _Check("amount_range", name, ERROR, unfit_amounts(df, name, money)),
+            _Check("amount_rounding", name, WARNING, rounded_amounts(df, name, money)),
+        )
+    ]
+
+
+def _checks(
+    df: DataFrame, required: Sequence[str], money: DecimalType = MONEY
+) -> list[_Check]:
     present = set(df.columns)
     return [
         _Check("empty", "*", ERROR, (_rows() == 0).cast("long")),
         *(
             _Check("nulls", name, WARNING, _nulls(name))
             if name in present
-            else _Check("missing", name, ERROR, _rows())
+            else _Check("missing", name, ERROR, F.greatest(_rows(), F.lit(1)))
             for name in required
         ),
         *_type_checks(df.schema),
+        *_amount_checks(df, required, money),
     ]
 
 
@@ -143,25 +160,33 @@ def require_columns(df: DataFrame, table_name: str, required: Iterable[str]) ->
         raise ValueError(f"{table_name} lacks required columns: {', '.join(missing)}")
 
 
-def check_table(df: DataFrame, table_name: str, required: Sequence[str]) -> DataFrame:
-    """Findings of one table: empty, missing columns, NULLs, types."""
-    return _findings(df, table_name, _checks(df, required))
+def check_table(
+    df: DataFrame, table_name: str, required: Sequence[str], money: DecimalType = MONEY
+) -> DataFrame:
+    """Findings of one table: empty, missing columns, NULLs, types, and for the input
+    tables' amounts those that ``money`` cannot hold or rounds."""
+    return _findings(df, table_name, _checks(df, required, money))
 
 
 def validate_inputs(
-    invoices: DataFrame, credit_notes: DataFrame, payments: DataFrame
+    invoices: DataFrame,
+    credit_notes: DataFrame,
+    payments: DataFrame,
+    money: DecimalType = MONEY,
 ) -> DataFrame:
     """Findings of the three input tables, computed in one job."""
     return (
-        check_table(invoices, "invoices", INVOICES.names)
-        .unionByName(check_table(credit_notes, "credit_notes", CREDIT_NOTES.names))
-        .unionByName(check_table(payments, "payments", PAYMENTS.names))
+        check_table(invoices, "invoices", INVOICES.names, money)
+        .unionByName(check_table(credit_notes, "credit_notes", CREDIT_NOTES.names, money))
+        .unionByName(check_table(payments, "payments", PAYMENTS.names, money))
     )
 
 
-def validate_report(report: DataFrame) -> DataFrame:
-    """Findings of a report."""
-    return check_table(report, "ageing_report", report_columns())
+def validate_report(
+    report: DataFrame, buckets: Sequence[AgeBucket] = AGE_BUCKETS
+) -> DataFrame:
+    """Findings of a report with these buckets."""
+    return check_table(report, "ageing_report", report_columns(buckets))
 
 
 def observe_checks(
@@ -193,6 +218,11 @@ def observe_checks(
 def _describe(error: Finding) -> str:
     if error.check_name == "empty":
         return f"{error.table_name} is empty"
+    if error.check_name == "amount_range":
+        return (
+            f"{error.table_name}.{error.column_name} holds {error.violations} amounts that are "
+            "no money or too large"
+        )
     return f"{error.table_name} lacks required column {error.column_name}"
 
 

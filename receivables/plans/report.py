@@ -6,6 +6,7 @@ import datetime
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DecimalType
 
 from receivables.functions import AGE_BUCKETS, AgeBucket
 from receivables.functions.ageing import as_date
@@ -21,7 +22,7 @@ from receivables.operators import (
     unify_documents,
     validate_inputs,
 )
-from receivables.schemas import INPUT_SCHEMAS
+from receivables.schemas import INPUT_SCHEMAS, MONEY
 from receivables.sinks import write_csv, write_partitioned
 from receivables.sources import read_report, register_views
 
@@ -32,23 +33,32 @@ def ageing_report(
     payments: DataFrame,
     as_at_date: datetime.date,
     buckets: Sequence[AgeBucket] = AGE_BUCKETS,
+    money: DecimalType = MONEY,
 ) -> DataFrame:
-    """The report, lazy and in no particular order."""
-    documents = unify_documents(invoices, credit_notes)
-    return age_documents(outstanding_documents(documents, payments), as_at_date, buckets)
+    """The report, lazy and in no particular order.
+
+    It fails when it is computed if an amount is one that ``money`` cannot hold.
+    """
+    documents = unify_documents(invoices, credit_notes, money)
+    return age_documents(outstanding_documents(documents, payments, money), as_at_date, buckets)
 
 
-def ageing_report_from_views(spark: SparkSession, as_at_date: datetime.date) -> DataFrame:
+def ageing_report_from_views(
+    spark: SparkSession,
+    as_at_date: datetime.date,
+    buckets: Sequence[AgeBucket] = AGE_BUCKETS,
+    money: DecimalType = MONEY,
+) -> DataFrame:
     """The report from the views ``invoices``, ``credit_notes`` and ``payments``.
 
     Leaves the stages between as the views ``all_documents`` and
     ``outstanding_documents``, for queries in Spark SQL.
     """
-    documents = unify_documents(spark.table("invoices"), spark.table("credit_notes"))
+    documents = unify_documents(spark.table("invoices"), spark.table("credit_notes"), money)
     register_views({"all_documents": documents})
-    owed = outstanding_documents(spark.table("all_documents"), spark.table("payments"))
+    owed = outstanding_documents(spark.table("all_documents"), spark.table("payments"), money)
     register_views({"outstanding_documents": owed})
-    return age_documents(spark.table("outstanding_documents"), as_at_date)
+    return age_documents(spark.table("outstanding_documents"), as_at_date, buckets)
 
 
 def publish_ageing_report(
@@ -56,12 +66,16 @@ def publish_ageing_report(
     as_at_date: datetime.date,
     store: str,
     csv_base: str | None = None,
+    buckets: Sequence[AgeBucket] = AGE_BUCKETS,
+    money: DecimalType = MONEY,
 ) -> list[Finding]:
     """Checks the inputs, then computes, checks and stores the report of a date.
 
     The report is computed once: its checks ride on the write to the table
-    ``store``. Nothing stored is touched if the inputs are empty or lack columns,
-    nor if the report turns out empty; these raise ``ValueError``. With
+    ``store``. Nothing stored is touched if the inputs are empty, lack columns or hold
+    amounts that ``money`` cannot, nor if the report turns out empty; these raise
+    ``ValueError``. The inputs are read twice, for the checks and for the report; of
+    Parquet inputs with exact amounts the checks can read the file footers alone. With
     ``csv_base`` the stored date is then written as sorted CSV too. Returns the
     warnings.
     """
@@ -69,15 +83,17 @@ def publish_ageing_report(
         require_columns(inputs[name], name, schema.names)
     tables = [inputs[name] for name in INPUT_SCHEMAS]
     report, findings = observe_checks(
-        ageing_report(*tables, as_at_date), "ageing_report", report_columns()
+        ageing_report(*tables, as_at_date, buckets, money),
+        "ageing_report",
+        report_columns(buckets),
     )
-    warnings = enforce(validate_inputs(*tables))
+    warnings = enforce(validate_inputs(*tables, money))
     # Stamped again above the checks, the date is a constant to the writer, which
     # then has no need to sort the rows by it.
     write_partitioned(report.withColumn("as_at_date", as_date(as_at_date)), store)
     warnings += enforce(findings())
 
     if csv_base is not None:
-        stored = read_report(report.sparkSession, store, as_at_date)
+        stored = read_report(report.sparkSession, store, as_at_date, buckets)
         write_csv(sort_report(stored), csv_base, as_at_date)
     return warnings

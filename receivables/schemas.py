@@ -1,4 +1,4 @@
-"""Declared schemas of the input tables and the report.
+"""Declared schemas of the input tables; ``receivables.layout`` has that of the report.
 
 Column names and column order are fixed values: they are the data model that
 files and callers rely on. Money is exact decimal in the inputs and turns into
@@ -9,7 +9,6 @@ from pyspark.sql.types import (
     DataType,
     DateType,
     DecimalType,
-    DoubleType,
     StringType,
     StructField,
     StructType,
@@ -17,13 +16,11 @@ from pyspark.sql.types import (
 
 MONEY = DecimalType(18, 2)
 
-TEXT, DATE, DOUBLE = StringType(), DateType(), DoubleType()
+TEXT, DATE = StringType(), DateType()
 
 
-def _schema(required: tuple[str, ...] = (), **columns: DataType) -> StructType:
-    return StructType(
-        [StructField(name, kind, name not in required) for name, kind in columns.items()]
-    )
+def _schema(**columns: DataType) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in columns.items()])
 
 
 INVOICES = _schema(
@@ -40,23 +37,21 @@ CREDIT_NOTES = _schema(
 PAYMENTS = _schema(
     id=TEXT, document_id=TEXT, document_type=TEXT, amount_paid=MONEY, payment_date=DATE
 )
-REPORT = _schema(
-    required=("document_type", "as_at_date"),
-    centre_id=TEXT,
-    class_id=TEXT,
-    document_id=TEXT,
-    document_date=DATE,
-    student_id=TEXT,
-    day_30=DOUBLE,
-    day_60=DOUBLE,
-    day_90=DOUBLE,
-    day_120=DOUBLE,
-    day_150=DOUBLE,
-    day_180=DOUBLE,
-    day_180_and_above=DOUBLE,
-    document_type=TEXT,
-    as_at_date=DATE,
-)
+AMOUNTS = ("total_amount", "amount_paid")
+
+
+def input_schemas(money: DecimalType = MONEY) -> dict[str, StructType]:
+    """The input tables' schemas, with amounts of another money type if wanted."""
+    return {
+        name: StructType(
+            [
+                StructField(field.name, money if field.name in AMOUNTS else field.dataType)
+                for field in schema.fields
+            ]
+        )
+        for name, schema in INPUT_SCHEMAS.items()
+    }
+
 
 INPUT_SCHEMAS = {"invoices": INVOICES, "credit_notes": CREDIT_NOTES, "payments": PAYMENTS}
 

@@ -2,22 +2,57 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import SparkSession
 
+_own: dict[str, str] = {}  # application -> its temporary folder
+_staged: dict[tuple[str, str], str] = {}
+
+
+def _one_machine(master: str) -> bool:
+    return master == "local" or master.startswith(("local[", "local-cluster["))
 
-def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A path not used before, inside the session's ``spark.checkpoint.dir``.
 
-    Where that is unset, a local session gets a temporary folder; on a cluster a
-    machine-local folder would be lost with its machine, so this raises instead.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where that is unset, a ``local`` session gets a temporary folder, removed when the
+    program ends. On a cluster a machine-local folder would be lost with its machine, so
+    both a missing setting and one that names a local path raise instead.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.conf.get("spark.master", "")
     if not base:
-        master = spark.conf.get("spark.master", "")
-        if not master.startswith("local"):
+        if not _one_machine(master) or master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="receivables-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        application = spark.sparkContext.applicationId
+        if application not in _own:
+            _own[application] = tempfile.mkdtemp(prefix="receivables-")
+            atexit.register(shutil.rmtree, _own[application], ignore_errors=True)
+        base = _own[application]
+    elif base.startswith("file:") and not _one_machine(master):
+        raise RuntimeError(f"spark.checkpoint.dir names a local folder on a cluster: {base}")
+    return base.rstrip("/")
+
+
+def new_folder(spark: SparkSession, purpose: str) -> str:
+    """A path not used before, inside the shared folder."""
+    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def staged(spark: SparkSession, purpose: str, source: str, write: Callable[[str], None]) -> str:
+    """The path of what ``write`` makes of ``source``; made once per application.
+
+    ``write`` gets a new path. It is removed with the shared folder, or by the caller.
+    """
+    key = (spark.sparkContext.applicationId, f"{purpose}:{source}")
+    if key not in _staged:
+        path = new_folder(spark, purpose)
+        write(path)
+        _staged[key] = path
+    return _staged[key]

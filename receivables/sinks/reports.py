@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from receivables.functions import plain_number
-from receivables.sources.reports import csv_path
+from receivables.sources.reports import CSV_TEXT, csv_path
 
 
 def write_partitioned(report: DataFrame, path: str) -> None:
@@ -30,7 +30,8 @@ def write_partitioned(report: DataFrame, path: str) -> None:
 def write_csv(report: DataFrame, base: str, as_at_date: datetime.date) -> None:
     """Writes CSV with a header to ``{base}_YYYY-MM-DD.csv``, one file per task.
 
-    Amounts are written in plain digits, text exactly as it is.
+    Amounts are written in plain digits, text exactly as it is: a field with a comma, a
+    quote or a line break is quoted, and a quote within it doubled.
     """
     (
         report.select(
@@ -42,8 +43,6 @@ def write_csv(report: DataFrame, base: str, as_at_date: datetime.date) -> None:
             )
         )
         .write.mode("overwrite")
-        .option("header", True)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
+        .options(**CSV_TEXT)
         .csv(csv_path(base, as_at_date))
     )

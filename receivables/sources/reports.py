@@ -3,26 +3,51 @@
 from __future__ import annotations
 
 import datetime
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from receivables.functions import AGE_BUCKETS, AgeBucket
 from receivables.functions.ageing import as_date_text
-from receivables.schemas import REPORT
-from receivables.sources.tables import read_table
+from receivables.layout import report_schema
+
+# Text as ordinary CSV readers and writers have it: quotes doubled, blanks kept.
+CSV_TEXT = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def _checked(stored: Sequence[str], buckets: Sequence[AgeBucket], path: str) -> None:
+    """Other limits give other columns; reading them under this layout would lose them."""
+    wanted = report_schema(buckets).names
+    if sorted(stored) != sorted(wanted):
+        raise ValueError(
+            f"the report in {path} has columns {', '.join(stored)}; "
+            f"these buckets ask for {', '.join(wanted)}"
+        )
 
 
 def read_report(
-    spark: SparkSession, path: str, as_at_date: datetime.date | None = None
+    spark: SparkSession,
+    path: str,
+    as_at_date: datetime.date | None = None,
+    buckets: Sequence[AgeBucket] = AGE_BUCKETS,
 ) -> DataFrame:
-    """A report table, all dates or one.
+    """A report table, all dates or one; raises ``ValueError`` if its buckets are others.
 
     For one date only its own folder is listed; a filter on the whole table
     would read no more, but would first list the folders of all dates.
     """
-    if as_at_date is None:
-        return read_table(spark, path, "parquet", REPORT)
-    folder = f"{path}/as_at_date={as_date_text(as_at_date)}"
-    return spark.read.schema(REPORT).option("basePath", path).parquet(folder)
+    reader, folder = spark.read, path
+    if as_at_date is not None:
+        folder = f"{path}/as_at_date={as_date_text(as_at_date)}"
+        reader = reader.option("basePath", path)
+    _checked(reader.parquet(folder).columns, buckets, folder)  # from one file's footer
+    return reader.schema(report_schema(buckets)).parquet(folder)
 
 
 def csv_path(base: str, as_at_date: datetime.date) -> str:
@@ -30,5 +55,19 @@ def csv_path(base: str, as_at_date: datetime.date) -> str:
     return f"{base}_{as_date_text(as_at_date)}.csv"
 
 
-def read_csv_report(spark: SparkSession, base: str, as_at_date: datetime.date) -> DataFrame:
-    return read_table(spark, csv_path(base, as_at_date), "csv", REPORT)
+def read_csv_report(
+    spark: SparkSession,
+    base: str,
+    as_at_date: datetime.date,
+    buckets: Sequence[AgeBucket] = AGE_BUCKETS,
+) -> DataFrame:
+    """A CSV report; raises ``ValueError`` if its buckets are others.
+
+    Line breaks within a text are read as such, for which a file is read by one task; a
+    report has a file for each task that wrote it.
+    """
+    path = csv_path(base, as_at_date)
+    reader = spark.read.options(**CSV_TEXT, multiLine=True)
+    _checked(reader.csv(path).columns, buckets, path)  # from the header of one file
+    # A declared schema must be the header's in name and order.
+    return reader.schema(report_schema(buckets)).option("enforceSchema", False).csv(path)

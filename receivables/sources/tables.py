@@ -5,31 +5,48 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DecimalType, StructType
 
-from receivables.schemas import INPUT_SCHEMAS
+from receivables.schemas import MONEY, input_schemas
 
 
-def read_table(spark: SparkSession, path: str, fmt: str, schema: StructType) -> DataFrame:
+def read_table(
+    spark: SparkSession,
+    path: str,
+    fmt: str,
+    schema: StructType,
+    quote: str = '"',
+    escape: str = "\\",
+    multi_line: bool = False,
+) -> DataFrame:
     """Scans ``path`` with a declared schema; nothing is inferred.
 
     ``csv`` takes columns by position and skips the header line. A value that
     does not parse, and a field that is missing, become NULL; further fields are
-    dropped. ``parquet`` takes columns by name and must hold the declared types.
+    dropped. ``quote`` and ``escape`` are its quoting; with ``multi_line`` a quoted text may
+    hold line breaks, but then a file is not split among tasks. ``parquet`` takes columns by
+    name and must hold the declared types.
     """
     reader = spark.read.schema(schema)
     if fmt == "csv":
-        return reader.option("header", True).csv(path)
+        return reader.options(
+            header=True, quote=quote, escape=escape, multiLine=multi_line
+        ).csv(path)
     if fmt == "parquet":
         return reader.parquet(path)
     raise ValueError(f"unsupported input format: {fmt}")
 
 
 def read_inputs(
-    spark: SparkSession, paths: Mapping[str, str], fmt: str = "csv"
+    spark: SparkSession,
+    paths: Mapping[str, str],
+    fmt: str = "csv",
+    money: DecimalType = MONEY,
+    **csv: object,
 ) -> dict[str, DataFrame]:
-    """The three input tables by name; ``paths`` gives the path of each."""
+    """The three input tables by name; ``paths`` gives the path of each, ``csv`` the options
+    of ``read_table``."""
     return {
-        name: read_table(spark, paths[name], fmt, schema)
-        for name, schema in INPUT_SCHEMAS.items()
+        name: read_table(spark, paths[name], fmt, schema, **csv)
+        for name, schema in input_schemas(money).items()
     }

@@ -1,7 +1,7 @@
 import datetime
 
 import pytest
-from helpers import AS_AT, REPORT_COLUMNS, credit_notes, invoices, payments
+from helpers import AS_AT, REPORT, REPORT_COLUMNS, credit_notes, invoices, payments
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -14,7 +14,6 @@ from receivables.operators import (
     with_days,
 )
 from receivables.plans import ageing_report
-from receivables.schemas import REPORT
 
 NAMES = [bucket.column for bucket in AGE_BUCKETS]
 

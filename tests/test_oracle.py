@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as driver
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
-TABLES = ("nation", "customer", "orders", "lineitem")
+TABLES = ("nation", "customer", "orders", "lineitem", "documents")
 
 
 def rows(names, values):

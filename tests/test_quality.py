@@ -1,9 +1,10 @@
 import logging
 
 import pytest
-from helpers import AS_AT, credit_notes, invoices, payments
+from helpers import AS_AT, REPORT, credit_notes, invoices, payments
 from pyspark.sql import functions as F
 
+from receivables.functions import age_buckets
 from receivables.operators import (
     Finding,
     check_table,
@@ -16,7 +17,7 @@ from receivables.operators import (
     validate_report,
 )
 from receivables.plans import ageing_report
-from receivables.schemas import INVOICES, REPORT
+from receivables.schemas import INVOICES
 
 DAY = "2025-01-01"
 
@@ -46,6 +47,8 @@ def test_clean_table_has_only_zero_counts(spark):
         *(("nulls", name) for name in INVOICES.names),
         ("date_type", "invoice_date"),
         ("amount_type", "total_amount"),
+        ("amount_range", "total_amount"),
+        ("amount_rounding", "total_amount"),
     ]
     assert {row.violations for row in rows} == {0}
     assert enforce(findings) == []
@@ -68,6 +71,13 @@ def test_missing_columns_are_an_error(spark):
         require_columns(table, "invoices", INVOICES.names)
 
 
+def test_columns_missing_from_an_empty_table(spark):
+    findings = check_table(invoices(spark).drop("class_id"), "invoices", INVOICES.names)
+    assert found(findings) == {("empty", "*"): 1, ("missing", "class_id"): 1}
+    with pytest.raises(ValueError, match="invoices is empty; .*class_id"):
+        enforce(findings)
+
+
 def test_column_names_are_case_sensitive(spark):
     table = invoices(spark, ("a", DAY, 1)).withColumnRenamed("class_id", "Class_Id")
     assert found(check_table(table, "invoices", INVOICES.names)) == {("missing", "class_id"): 1}
@@ -132,6 +142,14 @@ def test_report_findings(spark):
     assert found(validate_report(report)) == {("nulls", "document_date"): 1}
 
 
+def test_report_findings_with_other_limits(spark):
+    limits = age_buckets((7, 14, 28))
+    inputs = invoices(spark, ("a", DAY, 1)), credit_notes(spark), payments(spark)
+    report = ageing_report(*inputs, AS_AT, limits)
+    assert found(validate_report(report, limits)) == {}
+    assert len(found(validate_report(report))) == 7
+
+
 def test_observed_checks_equal_computed_ones(spark, tmp_path):
     table = invoices(spark, ("a", DAY, None), (None, None, 1)).withColumn("due_date", F.lit("x"))
     required = [*INVOICES.names, "absent"]

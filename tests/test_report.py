@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import golden
 import pytest
-from helpers import credit_notes, expected_report, in_any_order, invoices, payments
+from helpers import REPORT, credit_notes, expected_report, in_any_order, invoices, payments
 from pyspark.sql import functions as F
 from pyspark.testing import assertDataFrameEqual
 
@@ -12,7 +12,7 @@ from receivables import fixtures
 from receivables.functions import AGE_BUCKETS
 from receivables.operators import outstanding_documents, sort_report, unify_documents, with_days
 from receivables.plans import ageing_report, ageing_report_from_views, publish_ageing_report
-from receivables.schemas import CREDIT_NOTES, INVOICES, PAYMENTS, REPORT
+from receivables.schemas import CREDIT_NOTES, INVOICES, PAYMENTS
 from receivables.sources import read_csv_report, read_report, register_views
 
 CASES = [golden.SMALL, golden.LARGER]

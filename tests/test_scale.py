@@ -174,6 +174,14 @@ def test_filters_on_the_report_reach_the_scans(spark, tables):
     assert len(re.findall(r"PushedFilters: \[[^]]*EqualTo\(document_id,i7\)", one)) == 1
 
 
+def test_filters_on_the_sorted_report_reach_the_scans(spark, tables):
+    report = sort_report(ageing_report(**tables, as_at_date=AS_AT))
+    one = plan_of(report.filter("centre_id = 'c1' AND document_id = 'i7'"))
+    assert len(re.findall(r"PushedFilters: \[[^]]*EqualTo\(centre_id,c1\)", one)) == 2
+    assert len(re.findall(r"PushedFilters: \[[^]]*EqualTo\(id,i7\)", one)) == 2
+    assert len(re.findall(r"PushedFilters: \[[^]]*EqualTo\(document_id,i7\)", one)) == 1
+
+
 def test_unused_report_columns_are_not_read(spark, tables):
     plan = plan_of(
         ageing_report(**tables, as_at_date=AS_AT).groupBy("centre_id").agg(F.sum("day_30"))

@@ -1,17 +1,18 @@
+import csv
 import datetime
 from decimal import Decimal
 
 import golden
 import pytest
-from helpers import AS_AT, credit_notes, day, in_any_order, invoices, payments
+from helpers import AS_AT, REPORT, credit_notes, day, in_any_order, invoices, payments
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from receivables.functions import plain_number
+from receivables.functions import age_buckets, plain_number
 from receivables.operators import sort_report
-from receivables.plans import ageing_report
-from receivables.schemas import INVOICES, PAYMENTS, REPORT
-from receivables.scratch import new_folder
+from receivables.plans import ageing_report, ageing_report_from_views, publish_ageing_report
+from receivables.schemas import INVOICES, PAYMENTS
+from receivables.scratch import new_folder, staged
 from receivables.sinks import write_csv, write_partitioned
 from receivables.sources import (
     csv_path,
@@ -19,6 +20,7 @@ from receivables.sources import (
     read_inputs,
     read_report,
     read_table,
+    register_views,
 )
 
 HEADER = "id,centre_id,class_id,student_id,invoice_date,total_amount\n"
@@ -175,6 +177,85 @@ def test_csv_keeps_amounts_and_text(spark, tmp_path):
     assert in_any_order(back.collect()) == in_any_order(result.collect())
 
 
+TEXTS = ['a"b', '"', "back\\slash", "com,ma", "line\nbreak", "car\r\nriage", " both ", "\t", "#x", "ünï"]
+
+
+def test_csv_round_trip_of_odd_texts(spark, tmp_path):
+    rows = [(f"d{i}", text, text, text, "2025-04-01", "1.00") for i, text in enumerate(TEXTS)]
+    result, base = report(spark, *rows), str(tmp_path / "report")
+    write_csv(result.coalesce(1), base, AS_AT)
+    back = read_csv_report(spark, base, AS_AT)
+    assert in_any_order(back.collect()) == in_any_order(result.collect())
+    # As an ordinary CSV reader has it.
+    (part,) = (tmp_path / f"report_{AS_AT}.csv").glob("part-*.csv")
+    with open(part, newline="") as file:
+        read = list(csv.reader(file))
+    assert {row[1] for row in read[1:]} == set(TEXTS)
+    assert '"a""b"' in part.read_text()
+
+
+def test_table_scan_with_other_quoting(spark, tmp_path):
+    path = tmp_path / "table.csv"
+    path.write_text(HEADER + "a,\"c\"\"1\n2\",k,s,2025-01-31,1\n")
+    table = read_table(spark, str(path), "csv", INVOICES, escape='"', multi_line=True)
+    assert [row.centre_id for row in table.collect()] == ['c"1\n2']
+
+
+def test_reports_with_other_limits(spark, tmp_path):
+    limits, store, base = age_buckets((7, 14, 28)), str(tmp_path / "store"), str(tmp_path / "r")
+    case = golden.LARGER
+    date, tables = case["as_at_date"], golden.tables(spark, case)
+    publish_ageing_report(tables, date, store, base, limits)
+    expected = ageing_report(**tables, as_at_date=date, buckets=limits).collect()
+    assert expected[0].asDict().keys() >= {"day_7", "day_28_and_above"}
+    for back in (
+        read_report(spark, store, date, limits),
+        read_report(spark, store, buckets=limits),
+        read_csv_report(spark, base, date, limits),
+    ):
+        assert in_any_order(back.collect()) == in_any_order(expected)
+    register_views(tables)
+    viewed = ageing_report_from_views(spark, date, limits)
+    assert in_any_order(viewed.collect()) == in_any_order(expected)
+    for read in (
+        lambda: read_report(spark, store, date),
+        lambda: read_report(spark, store),
+        lambda: read_csv_report(spark, base, date),
+    ):
+        with pytest.raises(ValueError, match="day_7.*day_30"):
+            read()
+
+
+def test_unfit_amounts_are_not_published(spark, tmp_path):
+    """Of binary amounts none vanishes: publishing refuses, and names them."""
+    bills = spark.createDataFrame(
+        [(n, "c", "k", "s", day("2025-01-01"), v) for n, v in
+         [("a", 1e17), ("b", float("inf")), ("c", float("nan")), ("d", 0.004), ("e", 5.0)]],
+        "id string, centre_id string, class_id string, student_id string, invoice_date date, "
+        "total_amount double",
+    )
+    notes = credit_notes(spark, ("n", "2025-01-01", 1))
+    paid = payments(spark, ("e", "invoice", 1)).withColumn("amount_paid", F.lit(1e17))
+    store = str(tmp_path / "store")
+    for inputs, message in (
+        ((bills, payments(spark, ("e", "invoice", 1))), "invoices.total_amount holds 3 amounts"),
+        ((bills.filter("id = 'e'"), paid), "payments.amount_paid holds 1 amounts"),
+    ):
+        tables = {"invoices": inputs[0], "credit_notes": notes, "payments": inputs[1]}
+        with pytest.raises(ValueError, match=message):
+            publish_ageing_report(tables, AS_AT, store)
+        assert not (tmp_path / "store").exists()
+    small = {
+        "invoices": bills.filter("id IN ('d', 'e')"),
+        "credit_notes": notes,
+        "payments": payments(spark, ("e", "invoice", 1)),
+    }
+    warnings = publish_ageing_report(small, AS_AT, store)
+    assert [(w.check_name, w.column_name, w.violations) for w in warnings] == [
+        ("amount_rounding", "total_amount", 1)
+    ]
+
+
 @pytest.mark.parametrize(
     "amount, text",
     [
@@ -185,6 +266,8 @@ def test_csv_keeps_amounts_and_text(spark, tmp_path):
         (100200300.0, "100200300.0"),
         (123456789.125, "123456789.125"),
         (1.5e20, "150000000000000000000.0"),
+        (0.0004, "0.0004"),
+        (0.004, "0.004"),
     ],
 )
 def test_plain_number(spark, amount, text):
@@ -195,9 +278,11 @@ def test_plain_number(spark, amount, text):
 class FakeSession:
     """Only what ``new_folder`` asks a session for."""
 
+    applicationId = "app-1"
+
     def __init__(self, **settings):
         self.settings = {key.replace("_", "."): value for key, value in settings.items()}
-        self.conf = self
+        self.conf = self.sparkContext = self
 
     def get(self, key, default):
         return self.settings.get(key, default)
@@ -206,8 +291,21 @@ class FakeSession:
 def test_scratch_folder_on_a_cluster():
     shared = FakeSession(spark_master="yarn", spark_checkpoint_dir="hdfs://shared/tmp/")
     assert new_folder(shared, "scan").startswith("hdfs://shared/tmp/scan-")
-    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        new_folder(FakeSession(spark_master="yarn"), "scan")
+    for session in (
+        FakeSession(spark_master="yarn"),
+        FakeSession(spark_master="local-cluster[2,1,1024]"),
+        FakeSession(spark_master="yarn", spark_checkpoint_dir="file:///tmp/x"),
+    ):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            new_folder(session, "scan")
+    # On one machine every process sees its folders.
+    one = FakeSession(spark_master="local-cluster[2,1,1024]", spark_checkpoint_dir="file:///x")
+    assert new_folder(one, "scan").startswith("file:///x/scan-")
+
+
+def test_own_scratch_folder_is_one_per_application():
+    session = FakeSession(spark_master="local[2]")
+    assert new_folder(session, "a").rsplit("/", 1)[0] == new_folder(session, "b").rsplit("/", 1)[0]
 
 
 def test_scratch_folders_lie_in_the_shared_folder(spark):
@@ -215,3 +313,9 @@ def test_scratch_folders_lie_in_the_shared_folder(spark):
     first, second = new_folder(spark, "scan"), new_folder(spark, "scan")
     assert first != second
     assert first.startswith(f"{shared}/scan-")
+
+
+def test_tables_are_staged_once(spark):
+    made = []
+    paths = [staged(spark, "t", "source", made.append) for _ in range(2)]
+    assert paths[0] == paths[1] == made[0] and len(made) == 1
