@@ -239,7 +239,7 @@ class Sample(NamedTuple):
     ids: np.ndarray
     log_prob: float
     perturbed: float
-    inclusion: float
+    log_inclusion: float
 
 
 class _Path:
@@ -345,7 +345,9 @@ class Sampler:
 
     @staticmethod
     def _inclusion(log_prob: float, threshold: float) -> float:
-        return 1.0 if threshold == -inf else float(-np.expm1(-np.exp(min(log_prob - threshold, 700.0))))
+        """Log of 1 - exp(-exp(x)); of long texts the score itself would be too small."""
+        x = log_prob - threshold
+        return float(x if x < -40 else log(-np.expm1(-np.exp(min(x, 700.0)))))
 
     def _leave(self, path: _Path, key, step: int, out: tuple, draw: int, start, size, first):
         """Another edge at a node of a path, and the parts still to walk from there on."""
@@ -403,8 +405,8 @@ def sample_segmentations(
     seed: int = SEED,
 ) -> DataFrame:
     """Up to k rows for each row: ``sample`` (from 1, largest perturbed value first),
-    ``ids``, ``log_prob``, ``perturbed``, ``inclusion``, and ``round_trip``, whether the ids
-    decode to the text."""
+    ``ids``, ``log_prob``, ``perturbed``, ``log_inclusion``, the log of the inclusion score,
+    and ``round_trip``, whether the ids decode to the text."""
     shared = share(docs.sparkSession, (path or model_file(), seed))
 
     def work(batches: Iterator[dict[str, list]]) -> Iterator[list]:
@@ -423,7 +425,7 @@ def sample_segmentations(
                         one.ids,
                         one.log_prob,
                         one.perturbed,
-                        one.inclusion,
+                        one.log_inclusion,
                         sampler.vocabulary.decode(one.ids.tolist()) == texts[i],
                     )
                     for i, samples in zip(rows, found)
@@ -434,7 +436,7 @@ def sample_segmentations(
     return map_rows(
         docs.select(id_col, text_col),
         f"`{id_col}` {type_of(docs, id_col)}, sample int, ids array<int>, log_prob double, "
-        "perturbed double, inclusion double, round_trip boolean",
+        "perturbed double, log_inclusion double, round_trip boolean",
         work,
     )
 

@@ -1,0 +1,91 @@
+from collections import defaultdict
+from zlib import crc32
+
+import corpus_pipeline
+import pytest
+from odd_rows import DOCUMENTS, documents
+from pyspark.sql import functions as F
+from test_packing import check_packed
+from test_simhash import groups_by_hand, print_by_hand
+
+from receivables.llm import language_id, quality_classifier, queries
+
+SF_DIR = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def kept(spark):
+    """What each filtering stage kept, one after another."""
+    docs, found = spark.read.parquet(f"{SF_DIR}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = corpus_pipeline.stored(stage(spark, docs, SF_DIR), name)
+        assert docs.columns == columns
+        found.append({row.doc_id: row for row in docs.collect()})
+    return found
+
+
+def test_stages_and_order():
+    assert [name for name, _ in corpus_pipeline.STAGES] == [
+        "language_id",
+        "quality_classifier",
+        "simhash_near_dedup",
+        "packing",
+    ]
+    assert corpus_pipeline.ORACLE_SQL is None and "pipeline" in queries.queries()
+
+
+def test_every_stage_by_hand(spark, kept):
+    rows = {r.doc_id: r for r in spark.read.parquet(f"{SF_DIR}/documents.parquet").collect()}
+    first, second, third = kept
+    # Language: the model itself, row by row.
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    usable = [i for i in rows if crc32(str(i).encode()) % 4 != 2]
+    trees = language_id.train(docs.filter(F.col("doc_id").isin(usable)))
+    coder = language_id.Coder(trees, language_id.ORDER)
+    names, scores = coder.predict([r.text for r in rows.values()])
+    assert set(first) == {i for i, n, s in zip(rows, names, scores) if n != "und" and s >= 0.5}
+    # Quality: likewise over what is left.
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    left = spark.createDataFrame(list(first.values()))
+    model = quality_classifier.train(left, labels.filter(F.col("doc_id").isin(usable)))
+    scores = quality_classifier.Scorer(model).scores([r.text for r in first.values()])
+    assert set(second) == {i for i, s in zip(first, scores) if s >= quality_classifier.THRESHOLD}
+    # Near-duplicates: all pairs.
+    prints = {i: print_by_hand(row.text) for i, row in second.items()}
+    groups, members = groups_by_hand(prints.values()), defaultdict(list)
+    for i, p in prints.items():
+        members[min(groups[p])].append(i)
+    assert set(third) == {min(ids) for ids in members.values()}
+    assert len(first) >= len(second) >= len(third)
+    # Rows come through unchanged.
+    assert all(third[i] == rows[i] for i in third)
+
+
+def test_clean_documents_stay_and_junk_goes(spark, kept):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()}
+    clean = [i for i in kept[0] if labels.get(i) == 1]
+    junk = [i for i in kept[0] if labels.get(i) == 0]
+    assert sum(i in kept[1] for i in clean) >= 0.99 * len(clean)
+    assert sum(i in kept[1] for i in junk) <= 0.1 * len(junk)
+
+
+def test_run_packs_what_is_kept(spark, kept):
+    result = queries.pipeline(spark, SF_DIR).collect()
+    assert check_packed(result, {i: row.text for i, row in kept[-1].items()}) > 0.97
+
+
+def test_stages_on_odd_rows(spark):
+    docs = documents(spark).withColumns({"lang": F.lit("en"), "source": F.lit("s")})
+    for stage in (corpus_pipeline.identify_language, corpus_pipeline.filter_quality):
+        assert stage(spark, docs, SF_DIR).columns == docs.columns
+        assert stage(spark, docs.limit(0), SF_DIR).count() == 0
+    ids = [r.doc_id for r in corpus_pipeline.identify_language(spark, docs, SF_DIR).collect()]
+    assert {2, 3, 4, 10}.isdisjoint(ids)
+    deduped = corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR)
+    assert deduped.columns == docs.columns
+    ids = [r.doc_id for r in deduped.collect()]
+    # 2, 3 and 4 have no words, 7 is a copy of 1, row 11 is there twice.
+    assert {1, 2, None, 11} <= set(ids) and {3, 4, 7}.isdisjoint(ids)
+    assert len(ids) == len(set(ids)) < len(DOCUMENTS)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), SF_DIR).count() == 0

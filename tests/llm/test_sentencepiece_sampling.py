@@ -1,0 +1,120 @@
+from collections import Counter
+from itertools import permutations
+from math import exp, log
+
+import numpy as np
+import pytest
+from odd_rows import DOCUMENTS, documents, no_documents, tuples
+
+from receivables.llm import queries
+from receivables.llm import sentencepiece_sampling as S
+
+SAMPLER = S.Sampler(S.model_file())
+
+
+def all_segmentations(text):
+    """Every segmentation's ids with its log probability, by recursion."""
+    v, text = SAMPLER.vocabulary, S.normalised(text)
+    known = {piece: i for i, piece in enumerate(v.pieces) if v.weights[i]}
+
+    def rest(i):
+        if i == len(text):
+            yield (), 0.0
+            return
+        for j in range(i + 1, len(text) + 1):
+            if text[i:j] in known:
+                place = known[text[i:j]]
+                for ids, weight in rest(j):
+                    yield (place, *ids), weight + v.weights[place]
+            elif j == i + 1:
+                spelt = tuple(v.bytes[b] for b in text[i].encode())
+                for ids, weight in rest(j):
+                    yield (*spelt, *ids), weight + len(spelt) * v.byte_weight
+
+    found = list(rest(0))
+    total = log(sum(exp(weight) for _, weight in found))
+    return {ids: weight - total for ids, weight in found}
+
+
+@pytest.mark.parametrize("text", ["the cat", "a  b", "né\n日x", "\U0001f600in"])
+def test_draws_by_hand(text):
+    every = all_segmentations(text)
+    n = 6000
+    drawn = SAMPLER.sample([text] * n, range(n), 3)
+    for samples in drawn[:300]:
+        ids = [tuple(one.ids.tolist()) for one in samples]
+        assert len(set(ids)) == len(ids) == min(3, len(every))
+        assert all(one.log_prob == pytest.approx(every[i], abs=1e-6) for one, i in zip(samples, ids))
+        values = [one.perturbed for one in samples]
+        assert values == sorted(values, reverse=True)
+        assert all(SAMPLER.vocabulary.decode(i) == text for i in ids)
+        assert all(one.log_inclusion <= 0 for one in samples)
+    # The first by its probability, the second by its own among what the first leaves.
+    likely = sorted(every, key=every.get, reverse=True)[:3]
+    first = Counter(tuple(samples[0].ids.tolist()) for samples in drawn)
+    for ids in likely:
+        assert first[ids] / n == pytest.approx(exp(every[ids]), abs=0.03)
+    pairs = Counter(tuple(tuple(one.ids.tolist()) for one in samples[:2]) for samples in drawn)
+    for a, b in permutations(likely, 2):
+        chance = exp(every[a]) * exp(every[b]) / max(1 - exp(every[a]), 1e-12)
+        assert pairs[a, b] / n == pytest.approx(chance, abs=0.03)
+    # Inclusion scores weigh the samples to one whole.
+    whole = [sum(exp(one.log_prob - one.log_inclusion) for one in samples) for samples in drawn]
+    assert np.mean(whole) == pytest.approx(1, abs=0.03)
+
+
+def test_fewer_segmentations_than_asked_for():
+    for text in ("", "a", "\n"):
+        every = all_segmentations(text)
+        (samples,) = SAMPLER.sample([text], [5], 10)
+        assert {tuple(one.ids.tolist()) for one in samples} == set(every)
+        assert all(one.log_inclusion == 0 for one in samples)
+
+
+def test_draws_depend_on_key_and_seed_alone():
+    texts = ["some words to cut up", "others, not the same", "x"]
+    together = SAMPLER.sample(texts, [1, 2, 3], 2)
+    SAMPLER.lattices.start_over()
+    for i, text in enumerate(texts):
+        (alone,) = SAMPLER.sample([text], [i + 1], 2)
+        assert [(a.ids.tolist(), a.perturbed) for a in alone] == [
+            (a.ids.tolist(), a.perturbed) for a in together[i]
+        ]
+    (other,) = SAMPLER.sample(texts[:1], [9], 2)
+    assert other[0].perturbed != together[0][0].perturbed
+    (seeded,) = S.Sampler(S.model_file(), seed=2).sample(texts[:1], [1], 2)
+    assert seeded[0].perturbed != together[0][0].perturbed
+
+
+def test_decoding_equals_the_library():
+    from sentencepiece import SentencePieceProcessor
+
+    library = SentencePieceProcessor(model_file=S.model_file())
+    for text in ("Hello  world\n a b \t", "日本 ünï \U0001f600", " lead", "trail "):
+        ids = library.encode(text)
+        assert SAMPLER.vocabulary.decode(ids) == library.decode(ids) == text
+
+
+def test_odd_rows(spark):
+    rows = S.sample_segmentations(documents(spark)).collect()
+    assert all(row.round_trip for row in rows)
+    counts = Counter(row.doc_id for row in rows)
+    assert counts == {2: 1, 3: 1, 11: 4} | {i: 2 for i, _ in DOCUMENTS if i not in (2, 3, 11)}
+    assert S.sample_segmentations(no_documents(spark)).count() == 0
+
+
+def test_decode(spark):
+    rows = [(1, [264]), (2, None), (3, []), (1, [264])]
+    encoded = spark.createDataFrame(rows, "doc_id long, ids array<int>")
+    assert tuples(S.decode(encoded)) == [(1, "a"), (1, "a"), (2, None), (3, "")]
+    assert S.decode(encoded.limit(0)).count() == 0
+
+
+def test_whole_table(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    result = queries.op6_sentencepiece_sampling(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    back = S.decode(result.select("doc_id", "ids")).distinct()
+    assert tuples(back) == tuples(docs)
+    assert result.filter("NOT round_trip OR log_inclusion > 0 OR log_prob > 0 OR log_inclusion < log_prob - 100").count() == 0
+    assert result.groupBy("doc_id").count().filter("count > 2").count() == 0
