@@ -103,8 +103,99 @@ _BASE32 = """array_to_string(list_transform(range(0, 32), lambda k:
         >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31), 1)), '')"""
 
 
+# The rules' conditions over the counts, written out a second time.
+_RULES = [
+    ("bad", "100 * n_symbols > 10 * n_words"),
+    ("bad", "100 * n_dup_lines > 30 * n_lines"),
+    ("bad", "100 * n_repeat_words > 40 * n_words"),
+    ("bad", "100 * n_capitals > 40 * n_letters"),
+    ("bad", "10 * word_chars < 25 * n_words OR 10 * word_chars > 150 * n_words"),
+    ("bad", "100 * n_letters < 65 * word_chars"),
+    ("bad", "100 * n_bare_words > 15 * n_words"),
+    ("good", "10 * word_chars >= 35 * n_words AND 10 * word_chars <= 90 * n_words"),
+    ("good", "100 * n_letters >= 85 * word_chars"),
+    ("good", "n_words >= 100"),
+]
+
+
+def _rules_sql() -> str:
+    """The counts, the rounds of expectation-maximisation as a recursive query, the verdicts."""
+    r = quality_rules
+    space = r"[\x20\x09-\x0D]"
+    evidence = " + ".join(
+        f"CASE WHEN votes[{i}] THEN ln(on_good[{i}] / on_bad[{i}]) "
+        f"ELSE ln((1 - on_good[{i}]) / (1 - on_bad[{i}])) END"
+        for i in range(1, len(_RULES) + 1)
+    )
+    posterior = f"1 / (1 + exp(-(ln(share / (1 - share)) + {evidence})))"
+
+    def rates(weight: str, total: str, place: int) -> str:
+        each = []
+        for i, (kind, _) in enumerate(_RULES, 1):
+            guess, (low, high) = r.GUESS[kind][place], r.BOUNDS[kind][place]
+            seen = f"sum(CASE WHEN votes[{i}] THEN {weight} ELSE 0 END)"
+            each.append(
+                f"least(greatest(({seen} + {r.WEIGHT * guess}) / ({total} + {r.WEIGHT}), {low}), {high})"
+            )
+        return "[" + ", ".join(each) + "]"
+
+    first = [[r.GUESS[kind][place] for kind, _ in _RULES] for place in (0, 1)]
+    low, high = r.SHARE_BOUNDS
+    return f"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '{space}+'), lambda w: w <> '') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+),
+windows AS (
+  SELECT doc_id, i, words[i : i + 2] AS w
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM split)
+),
+repeated AS (
+  SELECT doc_id, i FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, w) > 1
+),
+covered AS (
+  SELECT doc_id, sum(least(3, coalesce(next - i, 3))) AS n
+  FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM repeated)
+  GROUP BY doc_id
+),
+counted AS (
+  SELECT split.doc_id, CAST(len(words) AS BIGINT) AS n_words,
+         CAST(coalesce(length(list_aggregate(words, 'string_agg', '')), 0) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(covered.n, 0) AS BIGINT) AS n_repeat_words,
+         len(lines) AS n_lines,
+         length(regexp_replace(text, '\P{{L}}+', '', 'g')) AS n_letters,
+         length(regexp_replace(text, '\P{{Lu}}+', '', 'g')) AS n_capitals,
+         len(list_filter(words, lambda w: NOT regexp_matches(w, '\p{{L}}'))) AS n_bare_words
+  FROM split LEFT JOIN covered ON covered.doc_id = split.doc_id
+),
+voted AS (SELECT *, [{", ".join(when for _, when in _RULES)}] AS votes FROM counted),
+seen AS (SELECT votes, CAST(count(*) AS DOUBLE) AS n FROM voted GROUP BY votes),
+rounds AS (
+  SELECT 0 AS round, CAST({r.SHARE} AS DOUBLE) AS share,
+         CAST({first[0]} AS DOUBLE[]) AS on_good, CAST({first[1]} AS DOUBLE[]) AS on_bad
+  UNION ALL
+  SELECT round + 1,
+         least(greatest((sum(good) + {r.WEIGHT * r.SHARE}) / (sum(n) + {r.WEIGHT}), {low}), {high}),
+         {rates("good", "sum(good)", 0)},
+         {rates("n - good", "sum(n - good)", 1)}
+  FROM (SELECT round, votes, n, n * ({posterior}) AS good FROM rounds, seen WHERE round < {r.ROUNDS})
+  GROUP BY round
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+         AND ({posterior}) >= {r.THRESHOLD} AS kept
+FROM voted, (SELECT * FROM rounds WHERE round = {r.ROUNDS})"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_quality_rules": _rules_sql(),
         "op5_warc": f"""
 WITH hashed AS (
   SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS hex_digest FROM pages
