@@ -98,7 +98,9 @@ def write_archive(
     addressed = pages.withColumn("address", F.sha2("payload", 256))
     # Copies fall away within each task first, so a page with a third of all rows is sent
     # once per task.
-    addressed.select("address", "payload").dropDuplicates(["address"]).write.parquet(
+    addressed.select("address", "payload").dropDuplicates(["address"]).write.option(
+        "compression", "zstd"
+    ).parquet(
         f"{path}/payloads"
     )
     keys = stored(
