@@ -16,7 +16,7 @@ are extracted alike; an empty table gives an empty one; further columns are igno
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -90,6 +90,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     found: list[tuple[tuple[str, ...], str]] = []
     paths: list[tuple[str, ...]] = [()]  # of the open block-level elements
     open_: list[tuple[str, bool, bool]] = []  # tag, whether a block, whether it is left out
+    names: Counter[str] = Counter()  # of the open elements
     out = 0  # how many open elements are left out
     text: list[str] = []
 
@@ -103,7 +104,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     def close(until: int) -> None:
         nonlocal out
         while len(open_) > until:
-            _, block, left_out = open_.pop()
+            name, block, left_out = open_.pop()
+            names[name] -= 1
             out -= left_out
             if block:
                 end_block()
@@ -124,10 +126,11 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             continue
         tag, attributes = token.group(2).lower(), token.group(3)
         if token.group(1):
-            for place in range(len(open_) - 1, -1, -1):
-                if open_[place][0] == tag:
-                    close(place)
-                    break
+            if names[tag]:
+                place = len(open_) - 1
+                while open_[place][0] != tag:
+                    place -= 1
+                close(place)
             continue
         block = tag not in INLINE
         if tag in VOID:
@@ -138,21 +141,24 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             continue
         if block:
             ended = ENDS.get(tag, frozenset()) | ({"p"} if tag not in RAW else frozenset())
-            for place in range(len(open_) - 1, -1, -1):
-                if open_[place][0] in ended:
-                    close(place)
-                    break
-                if open_[place][1]:
-                    break
+            if any(names[name] for name in ended):
+                for place in range(len(open_) - 1, -1, -1):
+                    if open_[place][0] in ended:
+                        close(place)
+                        break
+                    if open_[place][1]:
+                        break
             end_block()
-        in_article = any(name in ARTICLE for name, *_ in open_)
+        in_article = any(names[name] for name in ARTICLE)
         left_out = _around(tag, attributes, in_article)
-        if attributes.rstrip().endswith("/") and tag not in INLINE and tag in ("svg", "path"):
-            continue
         open_.append((tag, block, left_out))
+        names[tag] += 1
         out += left_out
         if block:
-            paths.append((*paths[-1][-MOST_DEPTH:], tag))
+            path = (*paths[-1], tag)
+            if len(path) > MOST_DEPTH:
+                path = ("article",) * in_article + path[-MOST_DEPTH + in_article :]
+            paths.append(path)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else n

@@ -16,7 +16,6 @@ scored alike; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Iterator
 from math import log2
@@ -37,7 +36,6 @@ from receivables.llm.common import (
 UNDETERMINED = "und"
 ORDER = 3
 ROWS_PER_LANGUAGE = 400
-LETTER = re.compile(r"[^\W\d_]")
 
 Contexts = dict[bytes, dict[int, int]]
 
@@ -112,7 +110,7 @@ class Coder:
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and posterior probability, all languages being as likely beforehand."""
         readable = [
-            bool(self.languages) and text is not None and LETTER.search(text) is not None
+            bool(self.languages) and text is not None and any(map(str.isalpha, text))
             for text in texts
         ]
         bits = self.words.sums([t.split() if ok else [] for t, ok in zip(texts, readable)])
