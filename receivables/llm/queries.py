@@ -141,7 +141,7 @@ def _rules_sql() -> str:
 
     first = [[r.GUESS[kind][place] for kind, _ in _RULES] for place in (0, 1)]
     low, high = r.SHARE_BOUNDS
-    return f"""
+    return rf"""
 WITH RECURSIVE split AS (
   SELECT doc_id, coalesce(text, '') AS text,
          list_filter(string_split_regex(coalesce(text, ''), '{space}+'), lambda w: w <> '') AS words,

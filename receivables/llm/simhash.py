@@ -110,13 +110,14 @@ def _groups(fps: np.ndarray, radius: int) -> np.ndarray:
 
 
 def links_within(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that connect what the radius connects within one tile."""
+    """Pairs that connect what the radius connects within one tile: each fingerprint with
+    the first one of its group, reached by way of others."""
     group = _groups(fps, radius)
     return [(int(fps[i]), int(fps[g])) for i, g in enumerate(group) if i != g]
 
 
 def links_across(one: np.ndarray, other: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links between two tiles that connect, with those within them, what the radius does."""
+    """Links between two tiles that connect, with the pairs within them, what the radius does."""
     group_one, group_other = _groups(one, radius), _groups(other, radius)
     leads = list(range(len(other))), {}
 

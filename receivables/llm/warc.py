@@ -170,48 +170,64 @@ def write_warc(records: DataFrame, path: str) -> None:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of the files ``write_warc`` made: their fields and their payloads.
 
-    A compressed file is not split, so its parts come in order; a record ends where its
-    ``Content-Length`` says, whatever its payload holds.
+    A compressed file is not split, so its parts come in order; put together again, they
+    are read as any WARC file: a record is as long as its ``Content-Length`` says, whatever
+    its payload holds.
     """
 
+    def record(data: bytes, at: int) -> tuple[int, tuple | None]:
+        """Where the record that starts at ``at`` ends, and it, if it is there as a whole."""
+        stop = data.find(b"\r\n\r\n", at)
+        if stop < 0:
+            return len(data) + 1, None
+        lines = data[at:stop].decode().split("\r\n")
+        if lines[0] != VERSION:
+            raise ValueError(f"not a WARC record: {lines[0][:80]!r}")
+        fields = dict(line.split(": ", 1) for line in lines[1:])
+        end = stop + 4 + int(fields["Content-Length"])
+        if end + len(END) > len(data):
+            return end + len(END), None
+        payload = data[stop + 4 + len(HTTP_HEAD) : end]
+        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+        revisit = fields["WARC-Type"] == "revisit"
+        claimed = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if data[end : end + len(END)] != END.encode() or not revisit and digest != claimed:
+            raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
+        return end + len(END), (
+            fields["WARC-Record-ID"],
+            fields["WARC-Type"],
+            fields.get("WARC-Target-URI"),
+            claimed,
+            fields.get("WARC-Refers-To"),
+            None if revisit else payload,
+        )
+
     def work(batches: Iterator[dict[str, list]]) -> Iterator[list]:
-        fields: dict[str, str] | None = None
-        parts: list[str] = []
-        open_bytes = 0
+        parts: list[bytes] = []
+        have, needed = 0, 1
         for batch in batches:
             out = []
             for part in batch["value"]:
-                if fields is None:
-                    lines = part.split("\r\n")
-                    if lines[0] != VERSION:
-                        raise ValueError(f"not a WARC record: {lines[0]!r}")
-                    fields = dict(line.split(": ", 1) for line in lines[1:])
-                    parts, open_bytes = [], int(fields["Content-Length"])
-                else:
-                    # Behind the first part come the two line ends that parted them.
-                    open_bytes -= len(part.encode()) + len(END) * bool(parts)
-                    parts.append(part)
-                if parts and open_bytes <= 0:
-                    payload = END.join(parts)[len(HTTP_HEAD) :].encode()
-                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                    revisit = fields["WARC-Type"] == "revisit"
-                    claimed = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if open_bytes or not revisit and digest != claimed:
-                        raise ValueError(f"damaged record {fields['WARC-Record-ID']}")
-                    out.append(
-                        (
-                            fields["WARC-Record-ID"],
-                            fields["WARC-Type"],
-                            fields.get("WARC-Target-URI"),
-                            claimed,
-                            fields.get("WARC-Refers-To"),
-                            None if revisit else payload,
-                        )
-                    )
-                    fields = None
+                parts.append(part.encode() + END.encode())
+                have += len(parts[-1])
+                if have < needed:
+                    continue
+                data, at = b"".join(parts), 0
+                while True:
+                    while data[at : at + 2] == b"\r\n":  # at a file's end some may be left
+                        at += 2
+                    if at == len(data):
+                        needed = at + 1
+                        break
+                    needed, found = record(data, at)
+                    if found is None:
+                        break
+                    out.append(found)
+                    at = needed
+                parts, have, needed = [data[at:]], len(data) - at, needed - at
             yield list(zip(*out)) if out else [[]] * 6
-        if fields is not None:
-            raise ValueError(f"cut off record {fields['WARC-Record-ID']}")
+        if have:
+            raise ValueError(f"cut off record: {parts[0][:80]!r}")
 
     parts = spark.read.option("lineSep", END).text(path)
     return map_rows(

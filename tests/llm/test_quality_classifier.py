@@ -37,7 +37,7 @@ def test_odd_rows(spark):
     model = small_model()
     rows = Q.score_quality(documents(spark), model, keep=("count",)).collect()
     assert len(rows) == len(DOCUMENTS)
-    assert rows[0]._fields == ("doc_id", "count", "score", "predicted")
+    assert rows[0].__fields__ == ["doc_id", "count", "score", "predicted"]
     assert all(0 <= row.score <= 1 and row.predicted == (row.score >= 0.7) for row in rows)
     found = {row.doc_id: row.score for row in rows}
     assert found[2] == found[3] == found[4] and found[1] == found[7]

@@ -111,7 +111,7 @@ def test_odd_rows(spark):
     assert len(rows) == len(DOCUMENTS)
     found = {row.doc_id: row for row in rows}
     assert all(found[i].base_failed and not found[i].kept for i in (2, 3, 4, 6))
-    assert found[1].count == CLASHING["count"]
+    assert found[1]["count"] == CLASHING["count"]
     assert found[5].n_words == 40_000 and found[5].n_repeat_words == 40_000
     assert R.judge(no_documents(spark)).count() == 0
 

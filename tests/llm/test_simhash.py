@@ -72,7 +72,7 @@ def test_tiles_connect_what_all_pairs_do(spread):
         + S.links_within(as_array[1::2], 4)
         + S.links_across(as_array[::2], as_array[1::2], 4),
     ):
-        assert all((a ^ b).bit_count() <= 4 for a, b in links)
+        assert all(b in whole[a] for a, b in links)
         assert len(links) < len(prints)  # a forest, not all pairs
         lead = {p: p for p in prints}
 
@@ -109,7 +109,7 @@ def test_long_chain_is_one_group(spark):
 def test_odd_rows(spark):
     rows = S.near_duplicate_groups(documents(spark), keep=("count",)).collect()
     assert len(rows) == len(DOCUMENTS)
-    assert rows[0]._fields == ("doc_id", "count", "fingerprint", "component_id")
+    assert rows[0].__fields__ == ["doc_id", "count", "fingerprint", "component_id"]
     found = {row.doc_id: row for row in rows}
     assert {i for i, row in found.items() if row.fingerprint == "0" * 16} == {2, 3, 4}
     assert {found[i].component_id for i in (2, 3, 4)} == {2}
