@@ -17,21 +17,30 @@ from receivables.llm.common import held_out, stored, table
 LANGUAGE_SCORE = 0.5
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, list[str], str, str]:
+    """``docs`` with its columns numbered, so that none clashes with an operator's results,
+    the numbered names, and those of the id and the text."""
+    names = [f"column_{i}" for i in range(len(docs.columns))]
+    own = dict(zip(docs.columns, names))
+    return docs.toDF(*names), names, own["doc_id"], own["text"]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a letter whose language is probable; operator 9."""
     trees = language_id.train(docs.filter(~held_out(F.col("doc_id"))))
-    found = language_id.predict_language(docs, trees, keep=tuple(docs.columns))
-    return found.filter(
-        (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)
-    ).select(*docs.columns)
+    plain, names, doc_id, text = _plain(docs)
+    found = language_id.predict_language(plain, trees, doc_id, text, keep=tuple(names))
+    known = (F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= LANGUAGE_SCORE)
+    return found.filter(known).select(*names).toDF(*docs.columns)
 
 
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that the classifier takes for good ones; operator 2."""
     labels = table(spark, sf_dir, "labels").filter(~held_out(F.col("doc_id")))
     model = quality_classifier.train(docs, labels)
-    found = quality_classifier.score_quality(docs, model, keep=tuple(docs.columns))
-    return found.filter("predicted = 1").select(*docs.columns)
+    plain, names, doc_id, text = _plain(docs)
+    found = quality_classifier.score_quality(plain, model, doc_id, text, keep=tuple(names))
+    return found.filter("predicted = 1").select(*names).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
