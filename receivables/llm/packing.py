@@ -1,7 +1,10 @@
 """Packing of tokenised documents into sequences, by cutting stock.
 
 A document's ids, ended by ``END_ID``, are cut into pieces of the capacity; the last
-piece is what is left. The histogram of piece lengths, at most one entry per length, is
+piece is what is left. It is cut further only where whole pieces would leave more than
+``MOST_PADDING`` of the sequences empty, say because a third of all pieces are a little
+longer than half a sequence: then pieces of the lengths that leave most are cut into
+powers of two, which fit without loss. The histogram of piece lengths, at most one entry per length, is
 all the driver sees. A linear program over patterns (how many pieces of each length share
 a sequence) is solved by column generation: a knapsack by dynamic programming prices the
 next pattern under the current duals, until no pattern can improve the bound by more than
@@ -38,6 +41,7 @@ END_ID = 1
 UNIT = 4
 FINENESS = 128
 GAP = 1e-3
+MOST_PADDING = 0.01
 
 # Both libraries read these characters alike and agree on every text of them; others go
 # to the slower one, whose ids are the ones wanted.
@@ -77,16 +81,23 @@ def vocabulary_files() -> tuple[str, str]:
     )
 
 
+def powers_of_two(n: int) -> list[int]:
+    """Powers of two that add up to ``n``, the largest first."""
+    return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
+
+
 def pieces(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     files: tuple[str, str] | None = None,
     capacity: int = CAPACITY,
+    cut: frozenset[int] = frozenset(),
 ) -> DataFrame:
     """A row for each piece: where it starts in its document, its length and checksum.
 
-    ``task`` and ``nth`` number the pieces of one length within the task that cut them.
+    Pieces of the lengths in ``cut`` are cut into powers of two. ``task`` and ``nth`` number
+    the pieces of one length within the task that cut them.
     """
     shared = share(docs.sparkSession, files or vocabulary_files())
 
@@ -98,11 +109,15 @@ def pieces(
             rows = []
             for doc_id, text in zip(batch[id_col], batch[text_col]):
                 ids = np.array([*ids_of(text or ""), END_ID], "<u4")
-                for start in range(0, len(ids), capacity):
-                    piece = ids[start : start + capacity]
-                    n = len(piece)
-                    rows.append((doc_id, start, n, zlib.crc32(piece), len(ids), task, seen[n]))
+                rest = len(ids) % capacity
+                lengths = [capacity] * (len(ids) // capacity)
+                lengths += powers_of_two(rest) if rest in cut else [rest] * bool(rest)
+                start = 0
+                for n in lengths:
+                    crc = zlib.crc32(ids[start : start + n])
+                    rows.append((doc_id, start, n, crc, len(ids), task, seen[n]))
                     seen[n] += 1
+                    start += n
             yield list(zip(*rows)) if rows else [[]] * 7
 
     return map_rows(
@@ -282,6 +297,45 @@ def _best_fit(
     return [(m, lengths) for m, lengths in zip(times, content) if m]
 
 
+def _padding(plans: list[tuple[int, list[int]]], capacity: int) -> int:
+    """Empty places, but for those of one sequence, which may just be the last."""
+    return max(0, sum(times * (capacity - sum(n)) for times, n in plans) - capacity)
+
+
+def cuts_and_plan(
+    histogram: dict[int, int], capacity: int = CAPACITY
+) -> tuple[frozenset[int], list[tuple[int, list[int]]]]:
+    """Lengths whose pieces to cut so that little is left empty, none if whole pieces do,
+    and the plan for what there is then."""
+    total = sum(n * count for n, count in histogram.items())
+    cut: frozenset[int] = frozenset()
+    plans = plan(histogram, capacity)
+    while _padding(plans, capacity) > MOST_PADDING * total:
+        waste: dict[int, int] = defaultdict(int)
+        for times, lengths in plans:
+            waste[max(lengths)] += times * (capacity - sum(lengths))
+        # The fewest lengths that account for half of what is empty.
+        worst, share = [], 0
+        for n in sorted(waste, key=lambda n: (-waste[n], n)):
+            if 2 * share >= sum(waste.values()):
+                break
+            if n not in cut and n < capacity:
+                worst.append(n)
+            share += waste[n]
+        if not worst:
+            break
+        trial = cut | frozenset(worst)
+        parts: dict[int, int] = defaultdict(int)
+        for n, count in histogram.items():
+            for part in powers_of_two(n) if n in trial else [n]:
+                parts[part] += count
+        better = plan(parts, capacity)
+        if _padding(better, capacity) > 0.95 * _padding(plans, capacity):
+            break
+        cut, plans = trial, better
+    return cut, plans
+
+
 class Places:
     """Sequence and offset of the piece of each length and rank."""
 
@@ -320,12 +374,16 @@ def pack(
     """A row for each piece with its ``sequence_id`` and its ``offset`` there."""
     cut = stored(pieces(docs, id_col, text_col, files, capacity), "pieces")
     counted = cut.groupBy("task", "length").count()
+    # At most ``capacity`` rows; a few plans per length, whatever the number of pieces.
+    histogram = dict(counted.groupBy("length").agg(F.sum("count")).collect())
+    to_cut, plans = cuts_and_plan(histogram, capacity)
+    if to_cut:
+        cut = stored(pieces(docs, id_col, text_col, files, capacity, to_cut), "pieces")
+        counted = cut.groupBy("task", "length").count()
     ranked = counted.withColumn(
         "before", F.sum("count").over(Window.partitionBy("length").orderBy("task")) - F.col("count")
     ).drop("count")  # a row for each task, not each piece
-    histogram = dict(counted.groupBy("length").agg(F.sum("count")).collect())  # ``capacity`` rows
-    # A few plans per length, whatever the number of pieces.
-    shared = share(docs.sparkSession, plan(histogram, capacity))
+    shared = share(docs.sparkSession, plans)
     names = [id_col, "start", "length", "ids_crc32", "doc_tokens"]
     rows = cut.join(ranked, ["task", "length"]).select(*names, (F.col("before") + F.col("nth")).alias("rank"))
 

@@ -73,6 +73,30 @@ def test_plan_with_a_hot_length():
     assert check_plan(histogram, 2048) <= 1.03 * long / 2
 
 
+def test_pieces_are_cut_where_whole_ones_leave_much_empty():
+    for histogram in ({n: 50 for n in range(1, 1000)}, {}, {7: 3}):
+        assert P.cuts_and_plan(histogram) == (frozenset(), P.plan(histogram))
+    hot = {1100: 30_000, **{n: 100 for n in range(1000, 1400)}}
+    cut, plans = P.cuts_and_plan(hot)
+    assert 1100 in cut
+    parts = Counter()
+    for n, count in hot.items():
+        for part in P.powers_of_two(n) if n in cut else [n]:
+            parts[part] += count
+    total = sum(n * c for n, c in hot.items())
+    assert check_plan(hot, 2048) * 2048 > 1.5 * total
+    assert check_plan(parts, 2048) * 2048 < 1.02 * total
+    assert plans == P.plan(parts)
+
+
+def test_packing_with_a_hot_length(spark):
+    text = "word " * 1100
+    rows = [(i, text) for i in range(60)] + [(100 + i, "some more words " * i) for i in range(9)]
+    packed = P.pack(documents(spark, rows)).collect()
+    assert check_packed(packed, dict(rows)) > 0.9
+    assert max(Counter(row.doc_id for row in packed).values()) > 1
+
+
 def test_linear_program_is_solved():
     sizes, demand = np.array([3, 5, 7]), np.array([30.0, 20.0, 10.0])
     _, used = P.fractional_patterns(sizes, demand, 15, gap=1e-9)
