@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType
 from receivables.scratch import new_folder
 
 
+BATCH_BYTES = 2_000_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,21 +36,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = max(1, batch.num_rows * BATCH_BYTES // max(batch.nbytes, 1))
+    return (batch.slice(first, rows) for first in range(0, batch.num_rows, rows))
+
+
 def map_rows(
     df: DataFrame, fields: str, work: Callable[[Iterator[dict[str, list]]], Iterator[Sequence]]
 ) -> DataFrame:
     """``df`` through Python, batch by batch.
 
     ``work`` gets an iterator of batches, each a list of values per column, and gives, for
-    each batch it makes, the output columns in the order of ``fields`` (a DDL text).
+    each batch it makes, the output columns in the order of ``fields`` (a DDL text). Python
+    objects take many times the space of a text, so a batch is no larger than about
+    ``BATCH_BYTES`` where rows are not larger themselves.
     """
     schema = StructType.fromDDL(fields)
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = (
-            {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+            {name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)}
             for batch in batches
+            for part in _parts(batch)
         )
         for out in work(columns):
             arrays = [pa.array(values, field.type) for values, field in zip(out, arrow)]
@@ -97,7 +108,7 @@ class WordRows(dict):
     ``rows_of`` gets a list of new words and returns one row of ``width`` numbers for each.
     """
 
-    def __init__(self, rows_of: Callable[[list[str]], np.ndarray], width: int, most: int = 400_000):
+    def __init__(self, rows_of: Callable[[list[str]], np.ndarray], width: int, most: int = 200_000):
         super().__init__()
         self.rows_of, self.width, self.most = rows_of, width, most
         self.rows, self.new, self.chars = np.zeros((1024, width)), [], 0

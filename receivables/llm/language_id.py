@@ -91,7 +91,7 @@ class Coder:
         self.words = WordRows(self.rows_of, len(self.languages))
 
     def rows_of(self, words: list[str]) -> np.ndarray:
-        if len(self.places) > 400_000:
+        if len(self.places) > 200_000:
             self.places = {}
         at: list[int] = []
         starts, fresh, known = [], [], len(self.places)

@@ -54,7 +54,7 @@ class Buckets(dict):
     """n-gram to bucket, hashed once; n-grams are few, words many."""
 
     def __missing__(self, part: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[part] = found = bucket(part)
         return found
