@@ -53,7 +53,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     grouped = simhash.near_duplicate_groups(docs.filter("doc_id IS NOT NULL"))
     leads = grouped.filter("doc_id = component_id")
     leads = stored(leads.groupBy("doc_id").agg(F.count("*").alias("_rows")), "leads")
-    unique = leads.filter("_rows = 1").select("doc_id")
+    # The ids grow with the documents, so they are not for broadcasting, however few they are.
+    unique = leads.filter("_rows = 1").select("doc_id").hint("merge")
     kept = docs.join(unique, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL"))
     repeated = leads.filter("_rows > 1").select("doc_id")
     if not repeated.isEmpty():
