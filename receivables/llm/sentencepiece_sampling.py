@@ -42,7 +42,7 @@ SEED = 1
 MARK = "▁"
 CHUNK = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
 AT_ONCE = 1 << 20  # characters sampled side by side
-MOST_CHUNKS = 100_000
+MOST_CHUNKS = 200_000  # about 170 MB
 
 
 def model_file() -> str:
@@ -108,9 +108,12 @@ class Vocabulary:
             at, state = at[inside], state[inside]
         return tuple(np.concatenate(x) for x in zip(*found))
 
+    def spell(self, ids: Sequence[int]) -> bytes:
+        return b"".join(map(self.spelt.__getitem__, ids))
+
     def decode(self, ids: Sequence[int]) -> str:
         """The text of the ids; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.spelt.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
+        return self.spell(ids).decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
 
 
 class Lattices(dict):
@@ -274,12 +277,16 @@ class Sampler:
             node = lattices.next[edge].astype(np.int64)
             going = node >= 0
             at, node, step = at[going], node[going], step + 1
-        if not steps:
-            empty = np.zeros(0, np.int64)
-            return empty, empty, empty
-        places, nodes, edges = (np.concatenate(x) for x in zip(*steps))
-        order = np.argsort(places, kind="stable")
-        return places[order], nodes[order], edges[order]
+        # A part has an entry in each step up to its last one.
+        counts = np.zeros(len(nodes), np.int64)
+        for at, _, _ in steps:
+            counts[at] += 1
+        before = np.cumsum(counts) - counts
+        all_nodes, all_edges = np.empty((2, counts.sum()), np.int64)
+        for step, (at, node, edge) in enumerate(steps):
+            places = before[at] + step
+            all_nodes[places], all_edges[places] = node, edge
+        return np.repeat(np.arange(len(nodes)), counts), all_nodes, all_edges
 
     def sample(self, texts: Sequence[str], keys: Sequence[int], k: int) -> list[list[Sample]]:
         """For each text its k samples, best first."""
@@ -418,19 +425,24 @@ def sample_segmentations(
                 rows = np.flatnonzero(sizes == group).tolist()
                 keys = [zlib.crc32(str(doc_ids[i]).encode()) for i in rows]
                 found = sampler.sample([texts[i] for i in rows], keys, k)
-                out = [
-                    (
-                        doc_ids[i],
-                        place,
-                        one.ids,
-                        one.log_prob,
-                        one.perturbed,
-                        one.log_inclusion,
-                        sampler.vocabulary.decode(one.ids.tolist()) == texts[i],
-                    )
-                    for i, samples in zip(rows, found)
-                    for place, one in enumerate(samples, 1)
-                ]
+                out = []
+                for i, samples in zip(rows, found):
+                    # What spells the text as the model wants it decodes to the text, unless
+                    # that has marks of its own.
+                    spelt = normalised(texts[i]).encode("utf-8", "replace")
+                    marked = MARK in texts[i]
+                    out += [
+                        (
+                            doc_ids[i],
+                            place,
+                            one.ids,
+                            one.log_prob,
+                            one.perturbed,
+                            one.log_inclusion,
+                            not marked and sampler.vocabulary.spell(one.ids.tolist()) == spelt,
+                        )
+                        for place, one in enumerate(samples, 1)
+                    ]
                 yield list(zip(*out)) if out else [[]] * 7
 
     return map_rows(

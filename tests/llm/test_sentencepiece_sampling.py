@@ -103,6 +103,12 @@ def test_odd_rows(spark):
     assert S.sample_segmentations(no_documents(spark)).count() == 0
 
 
+def test_marks_in_a_text_are_read_back_as_blanks(spark):
+    rows = S.sample_segmentations(documents(spark, [(1, "a▁b"), (2, "a b")])).collect()
+    assert {row.doc_id: row.round_trip for row in rows} == {1: False, 2: True}
+    assert SAMPLER.vocabulary.decode(rows[0].ids) == "a b"
+
+
 def test_decode(spark):
     rows = [(1, [264]), (2, None), (3, []), (1, [264])]
     encoded = spark.createDataFrame(rows, "doc_id long, ids array<int>")
