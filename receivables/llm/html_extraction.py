@@ -64,25 +64,47 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.DOTALL,
 )
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
 
 
-def _around(tag: str, attributes: str, in_article: bool) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Names in lower case with their values; the first of a repeated name counts."""
+    found: dict[str, str] = {}
+    for name, *values in ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), unescape("".join(values)))
+    return found
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    """Whether browsers show nothing of the element, or readers are told to skip it."""
+    if attributes.get("hidden", "until-found").strip().lower() != "until-found":
+        return True
+    if attributes.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for declaration in attributes.get("style", "").lower().split(";"):
+        name, _, value = declaration.partition(":")
+        value, important, _ = value.partition("!")
+        name, given = name.strip(), (bool(important), value.strip())
+        if given[0] or not style.get(name, given)[0]:
+            style[name] = given
+    return style.get("display", (False, ""))[1] == "none" or (
+        style.get("visibility", (False, ""))[1] == "hidden"
+    )
+
+
+def _around(tag: str, text: str, in_article: bool) -> bool:
     """Whether the element is a part around an article, with all it holds."""
     if tag in SKIPPED or tag == "header" and not in_article:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not text or tag in ("html", "body", "article", "main"):
         return False
-    if HIDDEN.search(attributes):
+    attributes = _attributes(text)
+    if _hidden(attributes) or attributes.get("role", "").strip().lower() in ROLES:
         return True
-    for name, *values in NAMES.findall(attributes):
-        value = "".join(values)
-        if AROUND.search(value) or name.lower() == "role" and value.lower() in ROLES:
-            return True
-    return False
+    return any(AROUND.search(attributes.get(name, "")) for name in ("class", "id", "role"))
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:

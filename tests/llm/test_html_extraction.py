@@ -60,6 +60,26 @@ def test_threshold_leaves_out_short_paths():
     assert {path for path, _ in H.blocks(page)} == {("div", "div", "p"), ("ul", "li")}
 
 
+SHOWN = [
+    'class="overflow-hidden post"', 'style="overflow: hidden"', 'aria-hidden="false"', 'title="A hidden valley"',
+    'data-id="menu"', 'hidden="until-found"', "data-hidden", 'style="display:none;display:block"', 'title="id=menu"',
+]
+HIDDEN = [
+    "hidden", "HIDDEN=''", 'hidden="hidden"', "aria-hidden=true", "aria-hidden='TRUE'", 'style="color:red; Display : NONE"',
+    'style="visibility:hidden!important;visibility:visible"', 'style="display:none',
+]
+
+
+def test_only_hidden_elements_are_left_out():
+    for attributes in SHOWN:
+        assert H.extract(f"<div {attributes}>{ARTICLE}</div><p>x</p>").startswith("First, a"), attributes
+        assert H.extract(f"<p>a <span {attributes}>b</span> c</p>") == "a b c", attributes
+    assert H.extract('<p>see <a href="/hidden-gems">the gems</a>.</p>') == "see the gems."
+    for attributes in HIDDEN[:-1]:
+        assert H.extract(f"<p>a <span {attributes}>b</span> c</p>") == "a c", attributes
+    assert H.extract(f"<p>a <span {HIDDEN[-1]}>b</span> c</p>") == "a"
+
+
 def test_query_against_the_marked_articles(spark):
     sf_dir = "/root/testdata/sf0.01"
     result = queries.op8_html_extraction(spark, sf_dir)
