@@ -2,8 +2,8 @@
 
 A page is read into blocks of text, each under a path of block-level tags from the root.
 Parts that are never content by what they are (scripts, forms, navigation, page headers
-and footers, parts named after adverts, notices, menus or comments) are left out while
-reading. Text length and punctuation are summed per path over the whole page, taken
+and footers) are left out while reading, and parts named after adverts, notices, menus or
+comments if they are small against the page (``_left_out``). Text length and punctuation are summed per path over the whole page, taken
 relative to the largest path, fused into one ratio and smoothed over the paths of the same
 parent or marked article; paths at or above ``THRESHOLD`` of the best are content.
 
@@ -17,8 +17,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 
@@ -53,12 +54,21 @@ ENDS = {
     "body": {"head"},
 }
 AROUND = re.compile(
-    r"(?:^|[\s_-])(?<!with-)(?<!has-)(?<!no-)(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|"
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|"
     r"popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|menu|nav|navbar|navigation|"
     r"breadcrumbs?|share|sharing|social|related|recommended|comments?|replies|reply|disqus|"
-    r"footer|masthead|toolbar|topbar|site-header|page-header|pagination|pager|widget)(?=$|[\s_-])",
+    r"footer|masthead|toolbar|topbar|site-header|page-header|pagination|pager|widget",
     re.IGNORECASE,
 )
+HEADERS = ("site-header", "page-header")
+# Words behind which a name still means what stands before them, and words that turn it round.
+PLACES = frozenset(
+    "area bar block box button buttons container content form group icon icons inner items left "
+    "link links list outer panel post posts right section title top bottom widgets wrap wrapper".split()
+)
+NOT_SELF = frozenset("with has no".split())
+MOST = 0.5  # of a page's text and punctuation; what holds more is not left out by its name
+LINKED = 0.5  # share of links in the text of a part whose name only holds a telling word
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
@@ -95,58 +105,108 @@ def _hidden(attributes: dict[str, str]) -> bool:
     )
 
 
-def _around(tag: str, text: str, in_article: bool) -> bool:
-    """Whether the element is a part around an article, with all it holds."""
+def _out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+    """Whether the element is never content by what it is, with all it holds."""
     if tag in SKIPPED or tag == "header" and not in_article:
         return True
-    if not text or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body", "article", "main"):
         return False
-    attributes = _attributes(text)
-    if _hidden(attributes) or attributes.get("role", "").strip().lower() in ROLES:
-        return True
-    return any(AROUND.search(attributes.get(name, "")) for name in ("class", "id", "role"))
+    return _hidden(attributes) or attributes.get("role", "").strip().lower() in ROLES
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
-    """The blocks of text in page order, each with its path of block-level tags."""
-    found: list[tuple[tuple[str, ...], str]] = []
+class Named(NamedTuple):
+    """What an element's class and id say of it."""
+
+    words: frozenset[str]  # that tell of parts around an article
+    sure: bool  # a name means such a part, instead of only holding its word
+    alone: bool  # no name says anything else
+
+
+def _named(tag: str, attributes: dict[str, str]) -> Named | None:
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return None
+    names = " ".join(attributes.get(name, "") for name in ("class", "id")).lower().split()
+    sure, held, alone = set(), set(), True
+    for name in names:
+        parts = re.split(r"[_-]+", name)
+        pairs = {f"{one}-{two}" for one, two in zip(parts, parts[1:])}
+        telling = {
+            part
+            for before, part in zip(["", *parts], parts)
+            if before not in NOT_SELF and AROUND.fullmatch(part)
+        } | (pairs & set(HEADERS))
+        held |= telling
+        while len(parts) > 1 and (parts[-1] in PLACES or not parts[-1]):
+            parts.pop()
+        last = next((p for p in (parts[-1], "-".join(parts[-2:])) if p in telling), None)
+        if last:
+            sure.add(last)
+        alone &= name == last
+    if not held:
+        return None
+    return Named(frozenset(sure or held), bool(sure), alone)
+
+
+class Element(NamedTuple):
+    parent: int  # its place among the elements
+    tag: str
+    marked: int  # the outermost article or main around it, or -1
+    linked: bool  # lies in a link
+    named: Named | None
+
+
+class Block(NamedTuple):
+    path: tuple[str, ...]  # of block-level tags
+    element: int
+    pieces: list[tuple[int, str]]  # the element that holds each, and its text
+
+
+def read(page: str) -> tuple[list[Element], list[Block]]:
+    """The elements in page order, after the page itself, and the blocks of text."""
+    elements = [Element(0, "", -1, False, None)]
+    found: list[Block] = []
     paths: list[tuple[str, ...]] = [()]  # of the open block-level elements
-    open_: list[tuple[str, bool, bool]] = []  # tag, whether a block, whether it is left out
+    places = [0]  # of the open block-level elements
+    open_: list[tuple[str, bool, bool, int]] = []  # tag, whether a block, whether left out, place
     names: Counter[str] = Counter()  # of the open elements
     out = 0  # how many open elements are left out
-    text: list[str] = []
+    pieces: list[tuple[int, str]] = []
+
+    def add(text: str) -> None:
+        pieces.append((open_[-1][3] if open_ else 0, text))
 
     def end_block() -> None:
-        if text:
-            words = unescape("".join(text)).split()
-            if words:
-                found.append((paths[-1], " ".join(words)))
-            text.clear()
+        if pieces:
+            if any(not text.isspace() for _, text in pieces):
+                found.append(Block(paths[-1], places[-1], pieces.copy()))
+            pieces.clear()
 
     def close(until: int) -> None:
         nonlocal out
         while len(open_) > until:
-            name, block, left_out = open_.pop()
+            name, block, left_out, _ = open_[-1]
             names[name] -= 1
             out -= left_out
             if block:
                 end_block()
                 paths.pop()
+                places.pop()
+            open_.pop()
 
     at, n = 0, len(page)
     while at < n:
         token = TOKEN.search(page, at)
         start = token.start() if token else n
         if start > at and not out:
-            text.append(page[at:start])
+            add(page[at:start])
         if token is None:
             break
         at = token.end()
         if token.group(2) is None:
             if not out and token.group().startswith("<![CDATA["):
-                text.append(token.group()[9:].removesuffix("]]>"))
+                add(token.group()[9:].removesuffix("]]>"))
             continue
-        tag, attributes = token.group(2).lower(), token.group(3)
+        tag = token.group(2).lower()
         if token.group(1):
             if names[tag]:
                 place = len(open_) - 1
@@ -157,7 +217,7 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
         block = tag not in INLINE
         if tag in VOID:
             if not out:
-                text.append("\n")
+                add("\n")
                 if tag == "hr":
                     end_block()
             continue
@@ -172,8 +232,18 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
                         break
             end_block()
         in_article = any(names[name] for name in ARTICLE)
-        left_out = _around(tag, attributes, in_article)
-        open_.append((tag, block, left_out))
+        attributes = _attributes(token.group(3)) if token.group(3) and not out else {}
+        left_out = _out(tag, attributes, in_article)
+        if out or left_out:
+            place = open_[-1][3] if open_ else 0  # holds no text
+        else:
+            place = len(elements)
+            parent = open_[-1][3] if open_ else 0
+            above = elements[parent]
+            marked = above.marked if above.marked >= 0 or tag not in ARTICLE else place
+            linked = above.linked or tag == "a"
+            elements.append(Element(parent, tag, marked, linked, _named(tag, attributes)))
+        open_.append((tag, block, left_out, place))
         names[tag] += 1
         out += left_out
         if block:
@@ -181,12 +251,90 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
             if len(path) > MOST_DEPTH:
                 path = ("article",) * in_article + path[-MOST_DEPTH + in_article :]
             paths.append(path)
+            places.append(place)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else n
     close(0)
     end_block()
-    return found
+    return elements, found
+
+
+def _text(pieces: Iterable[tuple[int, str]]) -> str:
+    return " ".join(unescape("".join(text for _, text in pieces)).split())
+
+
+def _left_out(elements: list[Element], found: list[Block]) -> list[bool]:
+    """For each element whether its name, or that of one around it, leaves it out.
+
+    A name is evidence for parts that are small against the page. What holds most of its
+    text and punctuation is not left out, be it one element or all those of a word together;
+    unless the page marks an article elsewhere and the name says nothing else. A name that
+    only holds a telling word ('social-impact') needs most of the text to be links as well.
+    """
+    if not any(element.named for element in elements):
+        return [False] * len(elements)
+    # Characters, punctuation, characters in links, and characters in marked articles.
+    sums = [[0, 0, 0, 0] for _ in elements]
+    for block in found:
+        for place, text in block.pieces:
+            n, own = len(" ".join(text.split())), sums[place]
+            own[0] += n
+            own[1] += len(PUNCTUATION.findall(text))
+            own[2] += n * elements[place].linked
+            own[3] += n * (elements[place].marked >= 0)
+    for place in range(len(elements) - 1, 0, -1):
+        above = sums[elements[place].parent]
+        for i, value in enumerate(sums[place]):
+            above[i] += value
+    page = sums[0]
+
+    def weight(place: int) -> float:
+        chars = sums[place][0] / max(page[0], 1)
+        return (chars + sums[place][1] / page[1]) / 2 if page[1] else chars
+
+    likely = [False] * len(elements)
+    counted: list[frozenset[str]] = [frozenset()] * len(elements)
+    together: dict[str, float] = defaultdict(float)
+    for place, element in enumerate(elements):
+        named, around = element.named, counted[element.parent]
+        if named:
+            small = weight(place) <= MOST
+            elsewhere = named.sure and named.alone and page[3] > sums[place][3]
+            if named.sure:
+                likely[place] = small or elsewhere
+            else:
+                likely[place] = small and sums[place][2] >= LINKED * max(sums[place][0], 1)
+            if likely[place] and not elsewhere:
+                for word in named.words - around:
+                    together[word] += weight(place)
+                around |= named.words
+        counted[place] = around
+    left_out = [False] * len(elements)
+    for place, element in enumerate(elements):
+        if likely[place]:
+            elsewhere = element.named.sure and element.named.alone and page[3] > sums[place][3]
+            likely[place] = elsewhere or any(together[word] <= MOST for word in element.named.words)
+        left_out[place] = likely[place] or place > 0 and left_out[element.parent]
+    return left_out
+
+
+def parts(page: str) -> tuple[list[Element], list[tuple[Block, str]]]:
+    """The elements, and the blocks that no name leaves out, with their texts."""
+    elements, found = read(page)
+    left_out = _left_out(elements, found)
+    kept = []
+    for block in found:
+        pieces = [piece for piece in block.pieces if not left_out[piece[0]]]
+        text = _text(pieces)
+        if text:
+            kept.append((block._replace(pieces=pieces), text))
+    return elements, kept
+
+
+def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
+    """The blocks of text in page order, each with its path of block-level tags."""
+    return [(block.path, text) for block, text in parts(page)[1]]
 
 
 def content(found: list[tuple[tuple[str, ...], str]]) -> list[str]:

@@ -80,6 +80,27 @@ def test_only_hidden_elements_are_left_out():
     assert H.extract(f"<p>a <span {HIDDEN[-1]}>b</span> c</p>") == "a"
 
 
+WRAPPERS = ["page sidebar-left", "layout sidebar-right", "has_sidebar", "menu-open", "content with-nav", "sidebar"]
+
+
+def test_names_do_not_leave_out_most_of_a_page():
+    text = H.extract(ARTICLE)
+    for name in WRAPPERS:
+        page = f"<div class='{name}'>{ARTICLE * 3}<div class=sidebar><p>s, s.</p></div></div><div id=ad>buy</div>"
+        assert H.extract(page) == " ".join([text] * 3), name
+    widgets = "".join(f"<div class='elementor-widget'><p>Part {i}, with a sentence.</p></div>" for i in range(9))
+    assert H.extract(f"<body>{widgets}</body>").count("sentence.") == 9
+
+
+def test_sections_named_after_their_subject_stay():
+    for name in ("social-impact", "related-work"):
+        page = f"<article>{ARTICLE * 3}<section class={name}><p>Of this, more.</p></section></article>"
+        assert H.extract(page).endswith("Of this, more."), name
+    for name in ("social-links", "related posts", "menu-1", "post-comments", "cookie_notice"):
+        page = f"<article>{ARTICLE * 3}<section class='{name}'><p><a href=x>Of this, more.</a></p></section></article>"
+        assert H.extract(page).endswith("or so."), name
+
+
 def test_query_against_the_marked_articles(spark):
     sf_dir = "/root/testdata/sf0.01"
     result = queries.op8_html_extraction(spark, sf_dir)
