@@ -4,8 +4,10 @@ A page is read into blocks of text, each under a path of block-level tags from t
 Parts that are never content by what they are (scripts, forms, navigation, page headers
 and footers) are left out while reading, and parts named after adverts, notices, menus or
 comments if they are small against the page (``_left_out``). Text length and punctuation are summed per path over the whole page, taken
-relative to the largest path, fused into one ratio and smoothed over the paths of the same
-parent or marked article; paths at or above ``THRESHOLD`` of the best are content.
+relative to the largest path and fused into one ratio, to which paths in marked articles
+(article, main) add their ratio among these. Ratios are smoothed over the paths of the same
+parent or marked article, but for lists of links; what is at or above ``THRESHOLD`` of the
+best is content.
 
 Results by case: a NULL page counts as empty; an empty page or one without content has
 the empty text and 0 characters; unclosed and wrongly nested tags are closed as browsers
@@ -42,6 +44,8 @@ INLINE = frozenset(
     "samp small span strike strong sub sup time tt u var wbr".split()
 )
 ARTICLE = frozenset("article main".split())
+LISTS = frozenset("ul ol dl table".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An opening tag on the left ends an open element on the right.
 ENDS = {
     "li": {"li"},
@@ -68,6 +72,7 @@ PLACES = frozenset(
 )
 NOT_SELF = frozenset("with has no".split())
 MOST = 0.5  # of a page's text and punctuation; what holds more is not left out by its name
+ONLY_LINKS = 0.8  # share of links in the text of a list that is one of links
 LINKED = 0.5  # share of links in the text of a part whose name only holds a telling word
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
@@ -151,7 +156,7 @@ class Element(NamedTuple):
     parent: int  # its place among the elements
     tag: str
     marked: int  # the outermost article or main around it, or -1
-    linked: bool  # lies in a link
+    link: int  # the link around it, or -1
     named: Named | None
 
 
@@ -163,7 +168,7 @@ class Block(NamedTuple):
 
 def read(page: str) -> tuple[list[Element], list[Block]]:
     """The elements in page order, after the page itself, and the blocks of text."""
-    elements = [Element(0, "", -1, False, None)]
+    elements = [Element(0, "", -1, -1, None)]
     found: list[Block] = []
     paths: list[tuple[str, ...]] = [()]  # of the open block-level elements
     places = [0]  # of the open block-level elements
@@ -241,8 +246,8 @@ def read(page: str) -> tuple[list[Element], list[Block]]:
             parent = open_[-1][3] if open_ else 0
             above = elements[parent]
             marked = above.marked if above.marked >= 0 or tag not in ARTICLE else place
-            linked = above.linked or tag == "a"
-            elements.append(Element(parent, tag, marked, linked, _named(tag, attributes)))
+            link = place if tag == "a" else above.link
+            elements.append(Element(parent, tag, marked, link, _named(tag, attributes)))
         open_.append((tag, block, left_out, place))
         names[tag] += 1
         out += left_out
@@ -281,7 +286,7 @@ def _left_out(elements: list[Element], found: list[Block]) -> list[bool]:
             n, own = len(" ".join(text.split())), sums[place]
             own[0] += n
             own[1] += len(PUNCTUATION.findall(text))
-            own[2] += n * elements[place].linked
+            own[2] += n * (elements[place].link >= 0)
             own[3] += n * (elements[place].marked >= 0)
     for place in range(len(elements) - 1, 0, -1):
         above = sums[elements[place].parent]
@@ -337,34 +342,69 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     return [(block.path, text) for block, text in parts(page)[1]]
 
 
-def content(found: list[tuple[tuple[str, ...], str]]) -> list[str]:
-    """The blocks whose paths are content."""
-    length: dict[tuple[str, ...], float] = defaultdict(float)
-    marks: dict[tuple[str, ...], float] = defaultdict(float)
-    for path, text in found:
-        length[path] += len(text)
-        marks[path] += len(PUNCTUATION.findall(text))
-    # A page that marks its article has its content there.
-    marked = {p for p in length if ARTICLE & set(p)}
-    paths = marked or set(length)
-    if not paths:
+def _link_lists(elements: list[Element], kept: list[tuple[Block, str]]) -> list[bool]:
+    """For each block whether it lies in a list, or is a run, of nothing much but links."""
+    lists = [0] * len(elements)  # the innermost list around each element
+    for place, element in enumerate(elements):
+        lists[place] = place if element.tag in LISTS else lists[element.parent]
+    chars: Counter[int] = Counter()
+    linked: Counter[int] = Counter()
+    links: dict[int, set[int]] = defaultdict(set)
+    groups = [lists[block.element] or block.element for block, _ in kept]
+    for group, (block, _) in zip(groups, kept):
+        for place, text in block.pieces:
+            n = len("".join(text.split()))
+            chars[group] += n
+            if n and elements[place].link >= 0:
+                linked[group] += n
+                links[group].add(elements[place].link)
+    return [
+        len(links[group]) > 1
+        and linked[group] >= ONLY_LINKS * chars[group]
+        and block.path[-1:] not in {(tag,) for tag in HEADINGS}
+        for group, (block, _) in zip(groups, kept)
+    ]
+
+
+def _ratios(sums: dict[tuple[str, ...], tuple[int, int]]) -> dict[tuple[str, ...], float]:
+    """For each path its characters and punctuation against the most of any, 1 at best."""
+    longest = max(n for n, _ in sums.values())
+    most = max(max(m for _, m in sums.values()), 1)
+    ratio = {path: n / longest + m / most for path, (n, m) in sums.items()}
+    best = max(ratio.values())
+    return {path: own / best for path, own in ratio.items()}
+
+
+def content(elements: list[Element], kept: list[tuple[Block, str]]) -> list[str]:
+    """The texts of the blocks that are content."""
+    if not kept:
         return []
-    longest = max(length[p] for p in paths)
-    most = max(max(marks[p] for p in paths), 1)
-    ratio = {p: (length[p] / longest + marks[p] / most) / 2 for p in paths}
+    length: Counter[tuple[str, ...]] = Counter()
+    marks: Counter[tuple[str, ...]] = Counter()
+    for block, text in kept:
+        length[block.path] += len(text)
+        marks[block.path] += len(PUNCTUATION.findall(text))
+    sums = {path: (length[path], marks[path]) for path in length}
+    ratio = _ratios(sums)
+    # What a page marks as its article counts once more, by its part of all that is marked.
+    marked = {path: own for path, own in sums.items() if ARTICLE & set(path)}
+    if marked:
+        for path, own in _ratios(marked).items():
+            ratio[path] += own
     # What belongs together shares its ratio: a heading with the paragraphs beside it, and
-    # lists and quotes with the marked article around them.
+    # lists and quotes with the marked article around them; lists of links stand alone.
     around: dict[tuple[str, ...], float] = defaultdict(float)
     for path, own in ratio.items():
         for near in {path, path[:-1], _article(path)}:
             around[near] = max(around[near], own)
-    best = max(ratio.values())
-    kept = {
-        p
-        for p, own in ratio.items()
-        if max(own, *(SHARED * around[near] for near in (p, p[:-1], _article(p)))) >= THRESHOLD * best
-    }
-    return [text for path, text in found if path in kept]
+    least = THRESHOLD * max(ratio.values())
+    texts = []
+    for (block, text), alone in zip(kept, _link_lists(elements, kept)):
+        path = block.path
+        shared = max(SHARED * around[near] for near in (path, path[:-1], _article(path)))
+        if ratio[path] >= least or not alone and shared >= least:
+            texts.append(text)
+    return texts
 
 
 def _article(path: tuple[str, ...]) -> tuple[str, ...]:
@@ -373,7 +413,7 @@ def _article(path: tuple[str, ...]) -> tuple[str, ...]:
 
 
 def extract(page: str | None) -> str:
-    return " ".join(content(blocks(page or "")))
+    return " ".join(content(*parts(page or "")))
 
 
 def main_text(

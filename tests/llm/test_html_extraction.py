@@ -101,6 +101,18 @@ def test_sections_named_after_their_subject_stay():
         assert H.extract(page).endswith("or so."), name
 
 
+def test_marked_articles_are_a_bonus():
+    cards = "".join(f"<article class=card><h2>Card {i}</h2><p>Teaser, short.</p></article>" for i in range(3))
+    text = H.extract(f"<body><div class=story>{ARTICLE * 5}</div>{cards}</body>")
+    assert H.extract(ARTICLE * 5) in text
+    links = "".join(f"<li><a href=/{i}>Other story {i}</a></li>" for i in range(3))
+    article = f"<h1><a href=/>T</a></h1>{ARTICLE * 5}<ol><li>kept <a href=x>one</a><li>kept two</ol>"
+    text = H.extract(f"<div>Outside.</div><article>{article}<ul>{links}</ul></article>")
+    assert text == "T " + H.extract(ARTICLE * 5) + " kept one kept two"
+    assert H.extract(f"<article><p>a</p></article><div>{'b ' * 900}</div>").startswith("a b")
+    assert H.extract(f"<ul>{links}</ul>").endswith("Other story 2")
+
+
 def test_query_against_the_marked_articles(spark):
     sf_dir = "/root/testdata/sf0.01"
     result = queries.op8_html_extraction(spark, sf_dir)
