@@ -6,8 +6,8 @@ and footers) are left out while reading, and parts named after adverts, notices,
 comments if they are small against the page (``_left_out``). Text length and punctuation are summed per path over the whole page, taken
 relative to the largest path and fused into one ratio, to which paths in marked articles
 (article, main) add their ratio among these. Ratios are smoothed over the paths of the same
-parent or marked article, but for lists of links; what is at or above ``THRESHOLD`` of the
-best is content.
+parent or marked article and over all that the element around the content holds, but for
+lists of links; what is at or above ``THRESHOLD`` of the best is content.
 
 Results by case: a NULL page counts as empty; an empty page or one without content has
 the empty text and 0 characters; unclosed and wrongly nested tags are closed as browsers
@@ -45,6 +45,8 @@ INLINE = frozenset(
 )
 ARTICLE = frozenset("article main".split())
 LISTS = frozenset("ul ol dl table".split())
+WHOLE = frozenset(["", "html", "body"])
+FLOW = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure details center".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # An opening tag on the left ends an open element on the right.
 ENDS = {
@@ -392,21 +394,57 @@ def content(elements: list[Element], kept: list[tuple[Block, str]]) -> list[str]
         for path, own in _ratios(marked).items():
             ratio[path] += own
     # What belongs together shares its ratio: a heading with the paragraphs beside it, and
-    # lists and quotes with the marked article around them; lists of links stand alone.
+    # lists, quotes and tables with what holds the content; lists of links stand alone.
     around: dict[tuple[str, ...], float] = defaultdict(float)
     for path, own in ratio.items():
         for near in {path, path[:-1], _article(path)}:
             around[near] = max(around[near], own)
+    beside = {path: max(around[near] for near in (path, path[:-1], _article(path))) for path in ratio}
+    inside = _inside(elements, kept, ratio)
     least = THRESHOLD * max(ratio.values())
     texts = []
-    for (block, text), alone in zip(kept, _link_lists(elements, kept)):
-        path = block.path
-        shared = max(SHARED * around[near] for near in (path, path[:-1], _article(path)))
-        if ratio[path] >= least or not alone and shared >= least:
+    for (block, text), within, alone in zip(kept, inside, _link_lists(elements, kept)):
+        shared = SHARED * max(beside[block.path], within)
+        if ratio[block.path] >= least or not alone and shared >= least:
             texts.append(text)
     return texts
 
 
+def _inside(
+    elements: list[Element], kept: list[tuple[Block, str]], ratio: dict[tuple[str, ...], float]
+) -> list[float]:
+    """For each block the best ratio of what lies right in an element around it; between the
+    first and the last block of the best path, also that of the element around these two.
+
+    The body holds all there is and not only content, so of its parts only lists, quotes and
+    the like have its ratio, not divisions.
+    """
+    holds = [0.0] * len(elements)
+    for block, _ in kept:
+        place = block.element
+        holds[place] = max(holds[place], ratio[block.path])
+        place = elements[place].parent
+        while elements[place].tag in INLINE:
+            place = elements[place].parent
+        holds[place] = max(holds[place], ratio[block.path])
+    shared = [0.0] * len(elements)
+    for place, element in enumerate(elements):
+        if element.tag in WHOLE:
+            continue
+        above = element.parent
+        given = shared[above]
+        if elements[above].tag in WHOLE and (element.tag in FLOW or element.tag in INLINE):
+            given = holds[above]
+        shared[place] = max(holds[place], given)
+    best = max(ratio.values())
+    won = [i for i, (block, _) in enumerate(kept) if ratio[block.path] == best]
+    one, other = (kept[i][0].element for i in (won[0], won[-1]))
+    while one != other:  # parents come first
+        one, other = min(one, other), elements[max(one, other)].parent
+    between = range(won[0], won[-1]) if elements[one].tag not in WHOLE else range(0)
+    return [best if i in between else shared[block.element] for i, (block, _) in enumerate(kept)]
+
+
 def _article(path: tuple[str, ...]) -> tuple[str, ...]:
     """The path down to the outermost marked article, or the path itself."""
     return next((path[: i + 1] for i, tag in enumerate(path) if tag in ARTICLE), path)

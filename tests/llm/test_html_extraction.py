@@ -113,6 +113,31 @@ def test_marked_articles_are_a_bonus():
     assert H.extract(f"<ul>{links}</ul>").endswith("Other story 2")
 
 
+PARTS = [
+    "<ul><li>A list of forty characters, or so</ul>", "<blockquote><p>Quoted.</p></blockquote>",
+    "<table><tr><td>a<td>1</table>", "<section><h3>More</h3><div>words</div></section>", "<pre>code</pre>",
+]
+
+
+@pytest.mark.parametrize("part", PARTS)
+def test_lists_quotes_and_tables_beside_content(part):
+    main, words = H.extract(ARTICLE * 15), H.extract(part)
+    for page in (
+        f"<div>{ARTICLE * 15}{part}</div>",
+        f"<body><div id=a><div>{ARTICLE * 15}{part}</div></div><div><ul><li>x</ul></div></body>",
+        f"<article><div>{ARTICLE * 15}</div>{part}</article>",
+    ):
+        assert H.extract(page) == f"{main} {words}", page
+    half = H.extract(ARTICLE * 8)
+    page = f"<body><div><div>{ARTICLE * 8}</div><div>{part}</div><div>{ARTICLE * 8}</div></div><ul><li>x</ul></body>"
+    assert H.extract(page).startswith(f"{half} {words} {half}")
+
+
+def test_lists_beside_content_in_the_body():
+    page = f"<body>{ARTICLE * 15}<ul><li>kept</ul><div><ul><li>not kept</ul></div></body>"
+    assert H.extract(page) == H.extract(ARTICLE * 15) + " kept"
+
+
 def test_query_against_the_marked_articles(spark):
     sf_dir = "/root/testdata/sf0.01"
     result = queries.op8_html_extraction(spark, sf_dir)
