@@ -8,7 +8,8 @@ subsequence. Coverage is the share of the template's words that are matched.
 
 A copy is looked for wherever ``SPAN`` times the template's length of words holds enough of
 its words to be covered by ``LEAST_COVERAGE``; a stretch is left out only if no copy of at
-most that length can lie in it.
+most that length can lie in it. Elsewhere the stretch grows, as long as between any two
+words matched there are at most ``GAP`` words more than in the template.
 
 Results by case: a NULL or empty text has no notice and gives no row; a document gives one
 row for each template it covers, with every copy's place, so repeated notices are counted;
@@ -30,6 +31,7 @@ from receivables.llm.common import map_rows, per_worker, share, type_of
 
 LEAST_COVERAGE = 0.8
 SPAN = 1.25
+GAP = 6
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
 # The usual short forms of license notices, and the MIT and BSD grants.
@@ -189,21 +191,72 @@ class Scanner:
     def _copies(
         words: list[str], hits: np.ndarray, template: list[str], needed: int
     ) -> tuple[list[tuple[int, int]], int]:
-        span = max(int(SPAN * len(template)), len(template) + 1)
-        before = np.concatenate([[0], np.cumsum(hits)])
-        ends = np.minimum(np.arange(len(words)) + span, len(words))
-        starts = np.flatnonzero(hits & (before[ends] - before[:-1] >= needed))
-        copies, best, behind, own = [], 0, 0, Counter(template)
-        for start in starts.tolist():
+        n = len(template)
+        own = Counter(template)
+        if (own & Counter(words)).total() < needed:
+            return [], 0
+        span = max(int(SPAN * n), n + 1)
+        longest = max(span, n + GAP * (n - 1))
+        found = []  # first word, the one behind the last, words matched
+
+        def starts(span: int) -> list[int]:
+            before = np.concatenate([[0], np.cumsum(hits)])
+            ends = np.minimum(np.arange(len(words)) + span, len(words))
+            return np.flatnonzero(hits & (before[ends] - before[:-1] >= needed)).tolist()
+
+        def chain(start: int, length: int) -> list[tuple[int, int]]:
+            """The pairs from ``start`` on, up to too wide a gap."""
+            pairs = align(words[start : start + length], template)
+            for at, ((i, j), (k, m)) in enumerate(zip(pairs, pairs[1:]), 1):
+                if k - i - (m - j) > GAP:
+                    return pairs[:at]
+            return pairs
+
+        def settled(start: int, pairs: list[tuple[int, int]], length: int, room: int) -> int:
+            """Adds the copy found, from a later word or with further words if more match."""
+            best, lead = pairs, start
+            if len(pairs) < n:
+                for i, _ in [(0, 0), *pairs[1 : n - len(pairs) + 1]]:
+                    more = chain(start + i, min(length + GAP, room - i))
+                    if len(more) > len(best) and more[0][0] == 0:
+                        best, lead = more, start + i
+            found.append((lead, lead + best[-1][0] + 1, len(best)))
+            return found[-1][1]
+
+        behind = 0
+        for start in starts(span):
             stretch = words[start : start + span]
             if start < behind or (own & Counter(stretch)).total() < needed:
                 continue
             pairs = align(stretch, template)
             if len(pairs) >= needed and pairs[0][0] == 0:
-                behind = start + pairs[-1][0] + 1
-                copies.append((start, behind))
-                best = max(best, len(pairs))
-        return copies, best
+                behind = settled(start, pairs, span, len(words) - start)
+        # Copies with more words inserted, in what is left.
+        hits = hits.copy()
+        for first, last, _ in found:
+            hits[first:last] = False
+        firsts = set(template[: n - needed + 1])
+        taken = [first for first, _, _ in found]
+        behind = 0
+        for start in starts(longest):
+            if start < behind or words[start] not in firsts:
+                continue
+            k = bisect_left(taken, start)
+            room = min(longest, (taken[k] if k < len(taken) else len(words)) - start)
+            if (own & Counter(words[start : start + room])).total() < needed:
+                continue
+            length = min(span, room)
+            while True:
+                if (own & Counter(words[start : start + length])).total() >= needed:
+                    pairs = chain(start, length)
+                    if len(pairs) >= needed and pairs[0][0] == 0:
+                        behind = settled(start, pairs, length, room)
+                        break
+                if length == room:
+                    break
+                length = min(length + max(GAP, length // 2), room)
+        found.sort()
+        return [(first, last) for first, last, _ in found], max((m for _, _, m in found), default=0)
 
 
 def scan_licenses(

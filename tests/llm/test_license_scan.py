@@ -71,6 +71,25 @@ def test_no_notice():
         assert scanner.scan(text) == []
 
 
+def test_copies_with_words_between():
+    scanner = L.Scanner(L.TEMPLATES)
+    around = " ".join(f"w{i}" for i in range(10))
+    for line, name in (
+        ("Released under the terms of the MIT License", "MIT"),
+        ("Licensed under the terms of the Apache License, Version 2.0", "Apache-2.0"),
+    ):
+        n = len(L.words_of(line))
+        found = {name: (c, s) for name, c, s in scanner.scan(f"{around} {line}. {around} {line}")}
+        assert found[name] == (1.0, [(10, 10 + n), (20 + n, 20 + 2 * n)])
+    for name in ("MIT-grant", "Apache-2.0-notice", "GPL-3.0-notice"):
+        words = L.words_of(L.TEMPLATES[name])
+        text = " ".join(f"{word} x y z" if i % 4 == 0 else word for i, word in enumerate(words))
+        found = {name: (c, len(s)) for name, c, s in scanner.scan(f"{around} {text} {around} {' '.join(words)}")}
+        assert found[name] == (1.0, 2)
+    far = " ".join(f"{word} {around}" for word in L.words_of(L.TEMPLATES["MIT"]))
+    assert scanner.scan(far) == []
+
+
 def test_odd_rows(spark):
     assert L.scan_licenses(documents(spark)).count() == 0
     rows = [(1, "All rights reserved."), (None, "ALL RIGHTS, RESERVED!"), (1, "All rights reserved.")]
