@@ -11,9 +11,13 @@ its words to be covered by ``LEAST_COVERAGE``; a stretch is left out only if no
 most that length can lie in it. Elsewhere the stretch grows, as long as between any two
 words matched there are at most ``GAP`` words more than in the template.
 
+The words of a short form that tell its license from others (``NEEDED``: name, terms,
+version) must all be matched, and none that makes another license of it (``OTHERWISE``) may
+stand between. Where templates share a stretch, the one that matches most words is given.
+
 Results by case: a NULL or empty text has no notice and gives no row; a document gives one
-row for each template it covers, with every copy's place, so repeated notices are counted;
-of overlapping copies the first is taken; copies and repeated rows are scanned alike; an
+row for each template it covers best somewhere, with the place of every such copy, so
+repeated notices are counted; of overlapping copies of one template the first is taken; copies and repeated rows are scanned alike; an
 empty table gives an empty one; further columns of the input are ignored.
 """
 
@@ -34,7 +38,7 @@ SPAN = 1.25
 GAP = 6
 WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 
-# The usual short forms of license notices, and the MIT and BSD grants.
+# The usual short forms of license notices, their usual notices and grants.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0-notice": (
@@ -72,7 +76,78 @@ TEMPLATES = {
     ),
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "all-rights-reserved": "All rights reserved.",
+    "MPL-2.0": "Licensed under the Mozilla Public License, Version 2.0.",
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a "
+        "copy of the MPL was not distributed with this file, You can obtain one at "
+        "https://mozilla.org/MPL/2.0/."
+    ),
+    "ISC": "Released under the ISC License.",
+    "ISC-grant": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or "
+        "without fee is hereby granted, provided that the above copyright notice and this "
+        "permission notice appear in all copies."
+    ),
+    "BSD": "Released under the BSD License.",
+    "BSD-2-Clause": "Released under the BSD 2-Clause License.",
+    "BSD-3-Clause": "Released under the BSD 3-Clause License.",
+    "Unlicense": "Released under the Unlicense.",
+    "Unlicense-notice": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to "
+        "copy, modify, publish, use, compile, sell, or distribute this software, either in source "
+        "code form or as a compiled binary, for any purpose, commercial or non-commercial, and by "
+        "any means."
+    ),
+    "CC0-1.0": "Released under CC0 1.0 Universal.",
+}
+# The words of a short form that must all be matched: what tells a license from others.
+NEEDED = {
+    "Apache-2.0": "apache 2.0",
+    "MIT": "mit",
+    "GPL-3.0": "general 3",
+    "MPL-2.0": "mozilla 2.0",
+    "ISC": "isc",
+    "BSD": "bsd",
+    "BSD-2-Clause": "bsd 2 clause",
+    "BSD-3-Clause": "bsd 3 clause",
+    "Unlicense": "unlicense",
+    "CC0-1.0": "cc0",
+    "all-rights-reserved": "all rights reserved",
 }
+for _name, _kind, _version, _number in (
+    ("GPL-2.0", "", "2", "2"),
+    ("GPL-3.0", "", "3", "3"),
+    ("LGPL-2.1", "Lesser", "2.1", "2.1"),
+    ("LGPL-3.0", "Lesser", "3", "3"),
+    ("AGPL-3.0", "Affero", "3", "3"),
+):
+    _license = " ".join(f"GNU {_kind} General Public License".split())
+    _what = "library" if _kind == "Lesser" else "program"
+    _short = f"{_name}-short" if _name in TEMPLATES else _name
+    TEMPLATES[_short] = f"Licensed under the {_license}, version {_version}."
+    NEEDED[_short] = f"{_kind} general {_version}".lower().strip()
+    TEMPLATES.setdefault(
+        f"{_name}-notice",
+        f"This {_what} is free software: you can redistribute it and/or modify it under the terms of "
+        f"the {_license} as published by the Free Software Foundation, either version {_version} of "
+        "the License, or (at your option) any later version.",
+    )
+for _terms in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND"):
+    _long = _terms.replace("BY", "Attribution").replace("NC", "NonCommercial")
+    _long = _long.replace("SA", "ShareAlike").replace("ND", "NoDerivatives")
+    for _version in ("2.0", "2.5", "3.0", "4.0"):
+        _name = f"CC-{_terms}-{_version}"
+        TEMPLATES[_name] = f"Licensed under CC {_terms} {_version}."
+        NEEDED[_name] = f"cc {_terms} {_version}".lower().replace("-", " ")
+        TEMPLATES[f"{_name}-notice"] = (
+            f"This work is licensed under a Creative Commons {_long} {_version} License."
+        )
+        NEEDED[f"{_name}-notice"] = f"{_long} {_version}".lower().replace("-", " ")
+# Words that make another license of a short form if they stand within it.
+OTHERWISE = frozenset(
+    "lesser library affero nc sa nd noncommercial sharealike noderivatives noderivs commercial "
+    "derivatives alike clause".split()
+)
 
 
 def words_of(text: str) -> list[str]:
@@ -147,6 +222,12 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float = LEAST_COVERAGE):
         self.least = least
+        # Given templates have no words of their own that must be matched.
+        self.must = {
+            name: frozenset(words.split())
+            for name, words in NEEDED.items()
+            if templates.get(name) == TEMPLATES[name]
+        }
         self.templates = {name: words_of(text) for name, text in templates.items()}
         self.templates = {name: words for name, words in self.templates.items() if words}
         vocabulary = sorted({word for words in self.templates.values() for word in words})
@@ -171,33 +252,66 @@ class Scanner:
         """For each template found: its best coverage, and each copy's first word and the
         word behind its last."""
         lower = (text or "").lower()
-        likely = [n for n, needles in self.needles.items() if any(w in lower for w in needles)]
+        likely = [
+            n
+            for n, needles in self.needles.items()
+            if all(w in lower for w in self.must.get(n, ())) and any(w in lower for w in needles)
+        ]
         if not likely:
             return []
         words = WORD.findall(lower)
         numbers = np.fromiter((self.numbers.get(w, -1) for w in words), np.int64, len(words))
-        found = []
+        copies = []
         for name in likely:
             template = self.templates[name]
             own = np.zeros(len(self.numbers) + 1, bool)
             own[[self.numbers[w] for w in template]] = True
             hits = own[numbers]  # -1 is the last place, which is of no template
-            copies, best = self._copies(words, hits, template, self.needed(name))
-            if copies:
-                found.append((name, best / len(template), copies))
-        return found
+            must = self.must.get(name, frozenset())
+            for places in self._copies(words, hits, template, self.needed(name), must):
+                copies.append((name, len(places) / len(template), places))
+        found: dict[str, tuple[float, list[tuple[int, int]]]] = {}
+        for name, coverage, places in self._best(words, copies):
+            best, spans = found.get(name, (0.0, []))
+            found[name] = max(best, coverage), [*spans, (places[0], places[-1] + 1)]
+        return [(name, *found[name]) for name in likely if name in found]
+
+    def _best(
+        self, words: list[str], copies: list[tuple[str, float, list[int]]]
+    ) -> list[tuple[str, float, list[int]]]:
+        """The copies whose telling words (or most words, if none are) no better one has
+        matched; better is what matches more words, or the same number of a shorter
+        template. In order of their places."""
+        taken: dict[int, set[int]] = {}  # for each word the better copies that match it
+        kept = []
+        for copy in sorted(copies, key=lambda c: (-len(c[2]), -c[1], c[2][0])):
+            name, _, places = copy
+            telling = [i for i in places if words[i] in self.must[name]] if name in self.must else places
+            shared = Counter(k for i in telling for k in taken.get(i, ()))
+            if shared and max(shared.values()) >= LEAST_COVERAGE * len(telling):
+                continue
+            for i in places:
+                taken.setdefault(i, set()).add(len(kept))
+            kept.append(copy)
+        return sorted(kept, key=lambda c: c[2][0])
 
     @staticmethod
     def _copies(
-        words: list[str], hits: np.ndarray, template: list[str], needed: int
-    ) -> tuple[list[tuple[int, int]], int]:
+        words: list[str],
+        hits: np.ndarray,
+        template: list[str],
+        needed: int,
+        must: frozenset[str] = frozenset(),
+    ) -> list[list[int]]:
+        """The places of the words matched, for each copy."""
         n = len(template)
         own = Counter(template)
         if (own & Counter(words)).total() < needed:
-            return [], 0
+            return []
         span = max(int(SPAN * n), n + 1)
         longest = max(span, n + GAP * (n - 1))
-        found = []  # first word, the one behind the last, words matched
+        otherwise = OTHERWISE - own.keys() if must else frozenset()
+        found: list[list[int]] = []
 
         def starts(span: int) -> list[int]:
             before = np.concatenate([[0], np.cumsum(hits)])
@@ -212,16 +326,24 @@ class Scanner:
                     return pairs[:at]
             return pairs
 
+        def covers(start: int, pairs: list[tuple[int, int]]) -> bool:
+            if len(pairs) < needed or pairs[0][0]:
+                return False
+            if not must:
+                return True
+            inside = words[start : start + pairs[-1][0] + 1]
+            return must <= {template[j] for _, j in pairs} and otherwise.isdisjoint(inside)
+
         def settled(start: int, pairs: list[tuple[int, int]], length: int, room: int) -> int:
             """Adds the copy found, from a later word or with further words if more match."""
             best, lead = pairs, start
             if len(pairs) < n:
                 for i, _ in [(0, 0), *pairs[1 : n - len(pairs) + 1]]:
                     more = chain(start + i, min(length + GAP, room - i))
-                    if len(more) > len(best) and more[0][0] == 0:
+                    if len(more) > len(best) and covers(start + i, more):
                         best, lead = more, start + i
-            found.append((lead, lead + best[-1][0] + 1, len(best)))
-            return found[-1][1]
+            found.append([lead + i for i, _ in best])
+            return found[-1][-1] + 1
 
         behind = 0
         for start in starts(span):
@@ -229,14 +351,14 @@ class Scanner:
             if start < behind or (own & Counter(stretch)).total() < needed:
                 continue
             pairs = align(stretch, template)
-            if len(pairs) >= needed and pairs[0][0] == 0:
+            if covers(start, pairs):
                 behind = settled(start, pairs, span, len(words) - start)
         # Copies with more words inserted, in what is left.
         hits = hits.copy()
-        for first, last, _ in found:
-            hits[first:last] = False
+        for places in found:
+            hits[places[0] : places[-1] + 1] = False
         firsts = set(template[: n - needed + 1])
-        taken = [first for first, _, _ in found]
+        taken = [places[0] for places in found]
         behind = 0
         for start in starts(longest):
             if start < behind or words[start] not in firsts:
@@ -249,14 +371,13 @@ class Scanner:
             while True:
                 if (own & Counter(words[start : start + length])).total() >= needed:
                     pairs = chain(start, length)
-                    if len(pairs) >= needed and pairs[0][0] == 0:
+                    if covers(start, pairs):
                         behind = settled(start, pairs, length, room)
                         break
                 if length == room:
                     break
                 length = min(length + max(GAP, length // 2), room)
-        found.sort()
-        return [(first, last) for first, last, _ in found], max((m for _, _, m in found), default=0)
+        return sorted(found)
 
 
 def scan_licenses(

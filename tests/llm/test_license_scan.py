@@ -90,6 +90,45 @@ def test_copies_with_words_between():
     assert scanner.scan(far) == []
 
 
+NEAR = {
+    "Released under the BSD License": {"BSD"},
+    "Released under the BSD 3-Clause License": {"BSD-3-Clause"},
+    "Released under the ISC License": {"ISC"},
+    "Licensed under the Mozilla Public License, Version 2.0": {"MPL-2.0"},
+    "Licensed under the Apache License, Version 1.1": set(),
+    "Licensed under CC BY 4.0": {"CC-BY-4.0"},
+    "Licensed under CC BY-SA 4.0": {"CC-BY-SA-4.0"},
+    "Licensed under CC BY-NC-SA 3.0": {"CC-BY-NC-SA-3.0"},
+    "Licensed under CC BY-NC 4.0": {"CC-BY-NC-4.0"},
+    "Licensed under CC BY-NC 1.0": set(),
+    "This work is licensed under the GNU General Public License, version 2": {"GPL-2.0"},
+    "This work is licensed under the GNU General Public License, version 3": {"GPL-3.0"},
+    "Licensed under the GNU General Public License, version 3": {"GPL-3.0-short"},
+    "This work is licensed under the GNU Lesser General Public License, version 3": {"LGPL-3.0"},
+    "This work is licensed under the GNU Library General Public License, version 2": set(),
+    "This work is licensed under the GNU Affero General Public License, version 3": {"AGPL-3.0"},
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": {
+        "CC-BY-SA-4.0-notice"
+    },
+    "Released under CC0 1.0 Universal": {"CC0-1.0"},
+    "Released under the Unlicense": {"Unlicense"},
+    "Released under the X License": set(),
+    "Licensed under the MIT License or the Apache License, Version 2.0": {"MIT", "Apache-2.0"},
+}
+
+
+@pytest.mark.parametrize("line", sorted(NEAR))
+def test_near_misses(line):
+    found = {name for name, _, _ in L.Scanner(L.TEMPLATES).scan(f"Some words. {line}. And more words.")}
+    assert found == NEAR[line]
+
+
+def test_the_best_notice_is_given():
+    scanner = L.Scanner(L.TEMPLATES)
+    for name in sorted(L.TEMPLATES):
+        assert [(n, c) for n, c, _ in scanner.scan(L.TEMPLATES[name])] == [(name, 1.0)]
+
+
 def test_odd_rows(spark):
     assert L.scan_licenses(documents(spark)).count() == 0
     rows = [(1, "All rights reserved."), (None, "ALL RIGHTS, RESERVED!"), (1, "All rights reserved.")]
