@@ -44,22 +44,20 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group; operator 3.
+    """Keeps one row of each group, that with the smallest id; operator 3.
 
-    Groups come from narrow rows. If an id occurs in several rows, one of them stays; that
-    needs whole rows side by side and is done for such ids alone. Documents without an id
-    cannot be told from one another and stay.
+    Rows are numbered and stored, so that they can be told apart where an id occurs in several
+    of them or there is none: of equal ids the smallest number leads, and a row without an id
+    only where no row of its group has one. Groups come from narrow rows.
     """
-    grouped = simhash.near_duplicate_groups(docs.filter("doc_id IS NOT NULL"))
-    leads = grouped.filter("doc_id = component_id")
-    leads = stored(leads.groupBy("doc_id").agg(F.count("*").alias("_rows")), "leads")
-    # The ids grow with the documents, so they are not for broadcasting, however few they are.
-    unique = leads.filter("_rows = 1").select("doc_id").hint("merge")
-    kept = docs.join(unique, "doc_id", "left_semi").union(docs.filter("doc_id IS NULL"))
-    repeated = leads.filter("_rows > 1").select("doc_id")
-    if not repeated.isEmpty():
-        kept = kept.union(docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    plain, names, doc_id, text = _plain(docs)
+    rows = stored(plain.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    grouped = simhash.near_duplicate_groups(rows, "_row", text, keep=(doc_id,))
+    first = F.min(F.struct(F.col(doc_id).isNull(), doc_id, "_row")).alias("first")
+    leads = grouped.groupBy("component_id").agg(first).select("first._row")
+    # The leads grow with the documents, so they are not for broadcasting, however few they are.
+    kept = rows.join(leads.hint("merge"), "_row", "left_semi")
+    return kept.select(*names).toDF(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

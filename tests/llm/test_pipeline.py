@@ -89,3 +89,15 @@ def test_stages_on_odd_rows(spark):
     assert {1, 2, None, 11} <= set(ids) and {3, 4, 7}.isdisjoint(ids)
     assert len(ids) == len(set(ids)) < len(DOCUMENTS)
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), SF_DIR).count() == 0
+
+
+def test_near_duplicates_go_by_row(spark):
+    one, two, three = (" ".join(f"{word}{i}" for i in range(60)) for word in ("ab", "cd", "ef"))
+    rows = [
+        *((5, one), (5, two)),  # an id that leads two groups
+        *((1, three), (5, three)),  # and is a copy in a third
+        *((None, one), (None, "alone"), (None, "alone")),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, SF_DIR).collect()), key=repr)
+    assert kept == sorted([(5, one), (5, two), (1, three), (None, "alone")], key=repr)
