@@ -25,7 +25,7 @@ from receivables.llm.common import stored
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 3
-POSITION_BITS = 24  # 16 million words; the hash keeps 40 bits, and equal ones are compared
+POSITION_BITS = 24  # 16 million words; the hash keeps 40 bits
 ROUNDS = 25
 WEIGHT = 20.0  # documents that the first guesses count for
 THRESHOLD = 0.5
@@ -57,8 +57,10 @@ def _let(value: Column, body) -> Column:
 def _repeat_words(words: Column) -> Column:
     """How many words lie in windows that occur twice or more.
 
-    A window becomes one long: a hash above, its position in the low bits. Sorted, equal windows are neighbours; equal hashes are checked word by word. Of
-    the positions found, each covers the words up to the next, at most a window.
+    A window becomes one long: a hash above, its position in the low bits. Sorted, equal
+    windows are neighbours, unless positions do not fit their bits or different windows have
+    equal hashes, which is checked word by word; then whole windows are sorted instead. Of the
+    positions found, each covers the words up to the next, at most a window.
     """
 
     def counted(words: Column) -> Column:
@@ -83,12 +85,27 @@ def _covered(words: Column, windows: Column) -> Column:
         lambda i: F.shiftleft(key(i), POSITION_BITS).bitwiseOR(i.cast("long")),
     )
 
+    def same_hash(one: Column, other: Column) -> Column:
+        return F.shiftright(one, POSITION_BITS) == F.shiftright(other, POSITION_BITS)
+
+    def same_words(one: Column, other: Column) -> Column:
+        equal = F.lit(True)
+        for i in range(WINDOW):
+            equal &= word(place(one) + i) == word(place(other) + i)
+        return equal
+
+    def clash(packed: Column) -> Column:
+        """Whether different windows have equal hashes; two of them are neighbours then."""
+
+        def differ(x: Column, i: Column) -> Column:
+            behind = F.get(packed, i + 1)
+            return F.coalesce(same_hash(x, behind) & ~same_words(x, behind), F.lit(False))
+
+        return F.exists(F.transform(packed, differ), lambda found: found)
+
     def repeated(packed: Column) -> Column:
         def same(one: Column, other: Column) -> Column:
-            equal = F.shiftright(one, POSITION_BITS) == F.shiftright(other, POSITION_BITS)
-            for i in range(WINDOW):
-                equal &= word(place(one) + i) == word(place(other) + i)
-            return F.coalesce(equal, F.lit(False))
+            return F.coalesce(same_hash(one, other), F.lit(False))
 
         return F.transform(
             F.filter(
@@ -98,13 +115,39 @@ def _covered(words: Column, windows: Column) -> Column:
             place,
         )
 
+    whole = F.transform(
+        F.sequence(F.lit(0), windows - 1),
+        lambda i: F.struct(
+            F.struct(key(i).alias("hash"), *(word(i + k).alias(f"word{k}") for k in range(WINDOW))).alias("window"),
+            i.alias("place"),
+        ),
+    )
+
+    def repeated_whole(sorted_: Column) -> Column:
+        def same(one: Column, other: Column) -> Column:
+            return F.coalesce(one["window"] == other["window"], F.lit(False))
+
+        return F.transform(
+            F.filter(
+                sorted_,
+                lambda x, i: same(x, F.get(sorted_, i + 1)) | same(x, F.get(sorted_, i - 1)),
+            ),
+            lambda x: x["place"],
+        )
+
+    def starts(packed: Column) -> Column:
+        return F.when(
+            packed.isNull() | clash(packed), _let(F.array_sort(whole), repeated_whole)
+        ).otherwise(repeated(packed))
+
     def cover(starts: Column) -> Column:
         gaps = F.transform(
             starts, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(starts, i + 1) - p, F.lit(WINDOW)))
         )
         return F.aggregate(gaps, F.lit(0), lambda total, gap: total + gap)
 
-    return _let(F.array_sort(_let(F.array_sort(packed), repeated)), cover)
+    fitting = F.when(windows <= 1 << POSITION_BITS, F.array_sort(packed))
+    return _let(F.array_sort(_let(fitting, starts)), cover)
 
 
 def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

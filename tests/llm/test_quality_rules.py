@@ -47,6 +47,15 @@ def test_counts_by_hand(spark):
         assert tuple(row[name] for name in R.COUNTS[:5]) == expected, TEXTS[row.doc_id]
 
 
+def test_repeats_are_exact_whatever_the_hashes(spark, monkeypatch):
+    # The low 40 bits of the hashes of 'w2357113 b c' and 'w2753280 b c' are equal.
+    hidden = "w2357113 b c x1 x2 w2753280 b c x3 x4 w2357113 b c"
+    for bits, text in ((R.POSITION_BITS, hidden), (3, "p q r s t u v w x y z p q r"), (3, "a b c d " * 9)):
+        monkeypatch.setattr(R, "POSITION_BITS", bits)
+        row = R.counts(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert row.n_repeat_words == counts_by_hand(text)[4], text
+
+
 def model_by_hand(seen):
     """The rounds over combinations of votes, in plain Python; their posteriors."""
     kinds = [kind for kind, _ in R.rules().values()]
