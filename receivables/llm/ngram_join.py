@@ -272,15 +272,12 @@ def scan_tasks(listed: DataFrame, tile: int, least: int) -> DataFrame:
     return short.union(left).union(right)
 
 
-def near_pairs(
-    rows: dict[str, np.ndarray], most_light: int, least: int, nearest_only: bool
-) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs that may link, of rows sorted by task and size. ``nearest_only``: each
-    row with the one nearest by parity bits; otherwise all of different ``label``."""
-    task, n, c, pos, side, label = (rows[k] for k in ("task", "n", "c", "pos", "side", "label"))
-    sketch = rows["sketch"]
-    best, partner = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), -1)
-    found = []
+def _passing(
+    rows: dict[str, np.ndarray], most_light: int, least: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of pairs of different ``label`` that may link, in parts, each pair once, and in how
+    many parity bits they differ. Rows are sorted by task and size."""
+    task, n, pos, side, label, sketch = (rows[k] for k in ("task", "n", "pos", "side", "label", "sketch"))
     i, shift = np.arange(len(n)), 0
     while len(i):
         shift += 1
@@ -294,22 +291,39 @@ def near_pairs(
         open_ = (left >= need) & (n[j] > most_light) & (label[i] != label[j])
         open_ &= (side[i] < 0) | (side[i] != side[j])
         a, b, need = i[open_], j[open_], need[open_]
-        if not len(a):
-            continue
-        apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
-        near = apart <= n[a] + n[b] - 2 * need
-        a, b, apart = a[near], b[near], apart[near]
-        if not nearest_only:
-            found.append((a, b))
-            continue
+        if len(a):
+            apart = np.bitwise_count(sketch[a] ^ sketch[b]).sum(axis=1, dtype=np.int64)
+            near = apart <= n[a] + n[b] - 2 * need
+            yield a[near], b[near], apart[near]
+
+
+def near_pairs(
+    rows: dict[str, np.ndarray], most_light: int, least: int, leads_only: bool
+) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs that may link and whose labels differ. ``leads_only``: each row with the
+    partner that has most partners in the list itself, and with the nearest one."""
+    if not leads_only:
+        found = [(a, b) for a, b, _ in _passing(rows, most_light, least)]
+        nothing = np.zeros(0, np.int64)
+        return tuple(np.concatenate([nothing, *(pair[k] for pair in found)]) for k in (0, 1))
+    degree = np.zeros(len(rows["n"]), np.int64)
+    for a, b, _ in _passing(rows, most_light, least):
+        degree[a] += 1
+        degree[b] += 1
+    # By degree, then by place: a total order, so that leads form trees.
+    rank = np.empty(len(degree), np.int64)
+    rank[np.lexsort((np.arange(len(degree)), degree))] = np.arange(len(degree))
+    lead, most = np.arange(len(degree)), rank.copy()
+    close, least_apart = np.arange(len(degree)), np.full(len(degree), np.iinfo(np.int64).max)
+    for a, b, apart in _passing(rows, most_light, least):
         for x, y in ((a, b), (b, a)):
-            closer = apart < best[x]
-            best[x[closer]], partner[x[closer]] = apart[closer], y[closer]
-    if nearest_only:
-        x = np.flatnonzero(partner >= 0)
-        return x, partner[x]
-    nothing = np.zeros(0, np.int64)
-    return tuple(np.concatenate([nothing, *(pair[k] for pair in found)]) for k in (0, 1))
+            more = rank[y] > most[x]
+            most[x[more]], lead[x[more]] = rank[y[more]], y[more]
+            closer = apart < least_apart[x]
+            least_apart[x[closer]], close[x[closer]] = apart[closer], y[closer]
+    x = np.arange(len(degree))
+    x, y = np.concatenate([x, x]), np.concatenate([lead, close])
+    return x[x != y], y[x != y]
 
 
 def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -335,7 +349,7 @@ def candidates(
 ) -> DataFrame:
     """Distinct pairs ``(a, b)`` from the lists: nearest ones, or, with ``labels`` ``(node, root)``,
     all of different roots."""
-    about, nearest_only = classes.select("c", "sketch"), labels is None
+    about, leads_only = classes.select("c", "sketch"), labels is None
     if labels is not None:
         about = about.join(labels, F.col("c") == F.col("node"), "left").select(
             "c", "sketch", F.coalesce("root", "c").alias("label")
@@ -348,7 +362,7 @@ def candidates(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_tasks(batches):
-            x, y = near_pairs(part, most_light, least, nearest_only)
+            x, y = near_pairs(part, most_light, least, leads_only)
             one, two = part["c"][x], part["c"][y]
             columns = [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
