@@ -19,12 +19,12 @@ The boundary is the one of least cost: subsets of light sets against list entrie
 lengths of the others, as counted in the data.
 
 Heavy pairs are checked in two rounds, so that a group of n copies with small changes costs
-about n checks: first each set of a list with the one its parity bits put nearest, then all
-pairs whose sets are not yet known to be connected. Rarity is by counts of shingles in
-``BUCKETS`` buckets, over all documents: any order gives the same links. Lists longer than
-``TILE`` are cut into tiles by size and hash, and tiles are compared pair by pair. Whole sets
-are made again from the texts of documents that a pair needs; a bitmap of those texts'
-hashes leaves out most others, and a join on the digest settles the rest.
+about n checks: first each set of a list with the partner that has most partners there and
+with the one nearest by parity bits, then all pairs whose sets are not yet known to be
+connected. Rarity is by counts of shingles in ``BUCKETS`` buckets, over all documents: any
+order gives the same links. Lists longer than ``TILE`` are cut into tiles by size and hash,
+and tiles are compared pair by pair. For a check the whole texts of both sides are read
+again; a bitmap of their hashes leaves out most other texts.
 
 Results by case: a NULL or empty text, or one without words, has an empty set, links with
 nothing, not even its like, and is its own component; fewer words than a shingle make one
@@ -59,6 +59,7 @@ TILE = 4096
 #: Sets beyond this size are never light: they lack three shingles and more.
 LIGHT = 39
 FILTER_BITS = 24
+MEMBERS = 256
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
@@ -322,7 +323,9 @@ def near_pairs(
             closer = apart < least_apart[x]
             least_apart[x[closer]], close[x[closer]] = apart[closer], y[closer]
     x = np.arange(len(degree))
-    x, y = np.concatenate([x, x]), np.concatenate([lead, close])
+    # Not what is there as a lead already, in either direction, and mutual ones once.
+    new = (close != lead) & (lead[close] != x) & ((close[close] != x) | (close < x))
+    x, y = np.concatenate([x, x[new]]), np.concatenate([lead, close[new]])
     return x[x != y], y[x != y]
 
 
@@ -347,8 +350,8 @@ def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nda
 def candidates(
     tasks: DataFrame, classes: DataFrame, labels: DataFrame | None, most_light: int, least: int
 ) -> DataFrame:
-    """Distinct pairs ``(a, b)`` from the lists: nearest ones, or, with ``labels`` ``(node, root)``,
-    all of different roots."""
+    """Distinct pairs ``(lead, member)`` from the lists: each set with its leads, or, with
+    ``labels`` ``(node, root)``, all pairs of different roots."""
     about, leads_only = classes.select("c", "sketch"), labels is None
     if labels is not None:
         about = about.join(labels, F.col("c") == F.col("node"), "left").select(
@@ -363,68 +366,90 @@ def candidates(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_tasks(batches):
             x, y = near_pairs(part, most_light, least, leads_only)
-            one, two = part["c"][x], part["c"][y]
-            columns = [pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))]
-            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
+            columns = [pa.array(part["c"][y]), pa.array(part["c"][x])]
+            yield pa.RecordBatch.from_arrays(columns, ["lead", "member"])
 
     dealt = rows.repartition("task").sortWithinPartitions("task", "n", "c")
-    return dealt.mapInArrow(scan, "a long, b long").distinct()
+    return dealt.mapInArrow(scan, "lead long, member long").distinct()
 
 
-def whole_sets(docs: DataFrame, text_col: str, needed: DataFrame, width: int) -> DataFrame:
-    """``c`` and ``items`` (its hashes, packed) for the classes in ``needed``: ``c``, ``set`` and
-    the ``text`` hash of one of its documents."""
-    spark = docs.sparkSession
-    place = F.shiftrightunsigned("text", 64 - FILTER_BITS)
-    bits = needed.select(place.alias("p")).select(
+def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """``key`` and ``body``: the texts whose hash is in ``wanted``'s column ``text``, and, as a
+    bitmap is asked, some others. A copy may come several times."""
+    bits = wanted.select(F.shiftrightunsigned("text", 64 - FILTER_BITS).alias("p")).select(
         F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 AS int))").alias("bit")
     )
     found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    shared = share(spark, words.view(np.uint64))
+    shared = share(docs.sparkSession, words.view(np.uint64))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, seen = shared.value["model"], set()
         for batch in batches:
-            key = batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            on = (bitmap[(key >> np.uint64(6)).astype(np.int64)] >> (key & np.uint64(63))) & np.uint64(1)
-            kept = batch.filter(pa.array(on.astype(bool)))
-            for part, texts in _texts(iter([kept])):
-                out = {}
-                for text, name in zip(texts, part.column(0).to_pylist()):
-                    if name in seen or not text:
-                        continue
-                    if len(seen) > 1_000_000:
-                        seen.clear()
-                    seen.add(name)
-                    packed = shingles(text, width).tobytes()
-                    out[xxhash.xxh3_128_digest(packed)] = packed
-                columns = [pa.array(out.keys(), pa.binary()), pa.array(out.values(), pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["set", "items"])
+            keys = batch.column(0).to_numpy()
+            place = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
+            on = (bitmap[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63))) & np.uint64(1)
+            rows = [i for i in np.flatnonzero(on).tolist() if keys[i] not in seen]
+            if len(seen) > 100_000:
+                seen.clear()
+            seen.update(keys[rows].tolist())
+            yield batch.take(pa.array(rows, pa.int64()))
 
-    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text"))
-    made = texts.mapInArrow(make, "set binary, items binary").groupBy("set").agg(F.first("items").alias("items"))
-    return made.join(needed.select("c", "set"), "set").select("c", "items")
+    texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("body"))
+    return texts.mapInArrow(pick, "key long, body string")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, least: int) -> DataFrame:
-    """The pairs whose whole sets link."""
+def linked(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
+    """The pairs ``(lead, member)`` whose whole sets link, as ``(a, b)``.
+
+    A lead's text goes to one task with up to ``MEMBERS`` of its members' texts, to several
+    tasks if it has more members.
+    """
+    parts = pairs.groupBy("lead").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts"))
+    dealt = pairs.withColumn(KEY_HASH, key_hash(["lead"])).join(
+        parts.withColumn(KEY_HASH, key_hash(["lead"])), [KEY_HASH, "lead"]
+    )
+    members = dealt.select(
+        "lead",
+        F.pmod(F.xxhash64("member"), F.col("parts")).cast("int").alias("part"),
+        F.lit(1).alias("side"),
+        F.col("member").alias("c"),
+    )
+    leads = parts.select(
+        "lead", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"),
+        F.col("lead").alias("c"),
+    )
+    wanted = stored(members.union(leads).join(classes.select("c", "set", "text"), "c"), "wanted")
+    texts = _texts_of(docs, text_col, wanted)
+    rows = wanted.join(texts, wanted["text"] == texts["key"]).select("lead", "part", "side", "c", "set", "body")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, first, done = None, None, -1
         for batch in batches:
-            one, two = batch.column(2), batch.column(3)
-            on = []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(side[i].as_buffer(), np.uint64) for side in (one, two))
-                shared = len(x) + len(y) - len(np.union1d(x, y))
-                on.append(100 * shared >= least * (len(x) + len(y) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
+            found: list[tuple[int, int]] = []
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256).to_pydict()
+                for lead, number, c, name, body in zip(*(part[k] for k in ("lead", "part", "c", "set", "body"))):
+                    if (lead, number) != at:
+                        at, first, done = (lead, number), None, -1
+                    if c == done:  # a copy
+                        continue
+                    items = shingles(body, width)
+                    if xxhash.xxh3_128_digest(items.tobytes()) != name:  # another text of that hash
+                        continue
+                    done = c
+                    if first is None:
+                        first = items if c == lead else None
+                        continue
+                    shared = len(first) + len(items) - len(np.union1d(first, items))
+                    if 100 * shared >= least * (len(first) + len(items) - shared):
+                        found.append((lead, c))
+            columns = [pa.array([pair[k] for pair in found], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["a", "b"])
 
-    first = sets.select(F.col("c").alias("a"), F.col("items").alias("items_a"))
-    second = sets.select(F.col("c").alias("b"), F.col("items").alias("items_b"))
-    whole = pairs.join(first, "a").join(second, "b").select("a", "b", "items_a", "items_b")
-    return whole.mapInArrow(check, "a long, b long")
+    sorted_rows = rows.repartition("lead", "part").sortWithinPartitions("lead", "part", "side", "c")
+    return sorted_rows.mapInArrow(check, "a long, b long")
 
 
 def similar_documents(
@@ -461,15 +486,13 @@ def similar_documents(
     tasks = scan_tasks(listed.filter(100 * F.col("n") >= least * (light + 1)), tile, least)
 
     def checked(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-        needed = stored(classes.select("c", "set", "text").join(nodes, "c"), "needed")
-        sets = stored(whole_sets(docs, text_col, needed, width), "whole")
-        return stored(linked(pairs, sets, least), "links")
+        return stored(linked(docs, text_col, classes, pairs, width, least), "links")
 
     first = stored(candidates(tasks, classes, None, light, least), "pairs")
     links = links.union(checked(first))
     groups = stored(connected(links), "groups")
-    second = candidates(tasks, classes, groups, light, least).join(first, ["a", "b"], "left_anti")
+    known = first.union(first.select("member", "lead"))
+    second = candidates(tasks, classes, groups, light, least).join(known, ["lead", "member"], "left_anti")
     second = stored(second, "pairs")
     if not second.isEmpty():
         groups = stored(connected(links.union(checked(second))), "groups")
