@@ -298,35 +298,43 @@ def _passing(
             yield a[near], b[near], apart[near]
 
 
-def near_pairs(
-    rows: dict[str, np.ndarray], most_light: int, least: int, leads_only: bool
-) -> tuple[np.ndarray, np.ndarray]:
-    """Places of pairs that may link and whose labels differ. ``leads_only``: each row with the
-    partner that has most partners in the list itself, and with the nearest one."""
-    if not leads_only:
-        found = [(a, b) for a, b, _ in _passing(rows, most_light, least)]
-        nothing = np.zeros(0, np.int64)
-        return tuple(np.concatenate([nothing, *(pair[k] for pair in found)]) for k in (0, 1))
-    degree = np.zeros(len(rows["n"]), np.int64)
+def near_pairs(rows: dict[str, np.ndarray], most_light: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs that may link and whose labels differ."""
+    found = [(a, b) for a, b, _ in _passing(rows, most_light, least)]
+    nothing = np.zeros(0, np.int64)
+    return tuple(np.concatenate([nothing, *(pair[k] for pair in found)]) for k in (0, 1))
+
+
+def lead_pairs(
+    rows: dict[str, np.ndarray], most_light: int, least: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the pairs that may link, places of each row and of its leads: the partner that has most
+    partners in the list itself, and the nearest one. Also the tasks that have further pairs."""
+    n = len(rows["n"])
+    degree, left = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for a, b, _ in _passing(rows, most_light, least):
         degree[a] += 1
         degree[b] += 1
+        left[a] += 1
     # By degree, then by place: a total order, so that leads form trees.
-    rank = np.empty(len(degree), np.int64)
-    rank[np.lexsort((np.arange(len(degree)), degree))] = np.arange(len(degree))
-    lead, most = np.arange(len(degree)), rank.copy()
-    close, least_apart = np.arange(len(degree)), np.full(len(degree), np.iinfo(np.int64).max)
-    for a, b, apart in _passing(rows, most_light, least):
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort((np.arange(n), degree))] = np.arange(n)
+    lead, most = np.arange(n), rank.copy()
+    close, least_apart = np.arange(n), np.full(n, np.iinfo(np.int64).max)
+    for a, b, apart in _passing(rows, most_light, least) if left.any() else ():
         for x, y in ((a, b), (b, a)):
             more = rank[y] > most[x]
             most[x[more]], lead[x[more]] = rank[y[more]], y[more]
             closer = apart < least_apart[x]
             least_apart[x[closer]], close[x[closer]] = apart[closer], y[closer]
-    x = np.arange(len(degree))
+    x = np.arange(n)
     # Not what is there as a lead already, in either direction, and mutual ones once.
     new = (close != lead) & (lead[close] != x) & ((close[close] != x) | (close < x))
     x, y = np.concatenate([x, x[new]]), np.concatenate([lead, close[new]])
-    return x[x != y], y[x != y]
+    x, y = x[x != y], y[x != y]
+    tasks, place = np.unique(rows["task"], return_inverse=True)
+    further = np.bincount(place, left, len(tasks)) > np.bincount(place[x], minlength=len(tasks))
+    return x, y, tasks[further]
 
 
 def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
@@ -350,8 +358,9 @@ def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nda
 def candidates(
     tasks: DataFrame, classes: DataFrame, labels: DataFrame | None, most_light: int, least: int
 ) -> DataFrame:
-    """Distinct pairs ``(lead, member)`` from the lists: each set with its leads, or, with
-    ``labels`` ``(node, root)``, all pairs of different roots."""
+    """Distinct pairs ``(lead, member)`` from the lists: each set with its leads, and the tasks
+    with further pairs as leads without a member; or, with ``labels`` ``(node, root)``, all
+    pairs of different roots."""
     about, leads_only = classes.select("c", "sketch"), labels is None
     if labels is not None:
         about = about.join(labels, F.col("c") == F.col("node"), "left").select(
@@ -365,17 +374,21 @@ def candidates(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _whole_tasks(batches):
-            x, y = near_pairs(part, most_light, least, leads_only)
-            columns = [pa.array(part["c"][y]), pa.array(part["c"][x])]
-            yield pa.RecordBatch.from_arrays(columns, ["lead", "member"])
+            if leads_only:
+                x, y, open_ = lead_pairs(part, most_light, least)
+            else:
+                (x, y), open_ = near_pairs(part, most_light, least), np.zeros(0, np.int64)
+            leads = pa.array(np.concatenate([part["c"][y], open_]))
+            members = pa.concat_arrays([pa.array(part["c"][x]), pa.nulls(len(open_), pa.int64())])
+            yield pa.RecordBatch.from_arrays([leads, members], ["lead", "member"])
 
     dealt = rows.repartition("task").sortWithinPartitions("task", "n", "c")
     return dealt.mapInArrow(scan, "lead long, member long").distinct()
 
 
 def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``key`` and ``body``: the texts whose hash is in ``wanted``'s column ``text``, and, as a
-    bitmap is asked, some others. A copy may come several times."""
+    """``key`` and ``body``: a text of each hash in ``wanted``'s column ``text``, and, as a
+    bitmap is asked, some others."""
     bits = wanted.select(F.shiftrightunsigned("text", 64 - FILTER_BITS).alias("p")).select(
         F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 AS int))").alias("bit")
     )
@@ -397,7 +410,8 @@ def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
             yield batch.take(pa.array(rows, pa.int64()))
 
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("body"))
-    return texts.mapInArrow(pick, "key long, body string")
+    picked = texts.mapInArrow(pick, "key long, body string")
+    return picked.groupBy("key").agg(F.first("body").alias("body"))
 
 
 def linked(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame, width: int, least: int) -> DataFrame:
@@ -425,20 +439,17 @@ def linked(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame,
     rows = wanted.join(texts, wanted["text"] == texts["key"]).select("lead", "part", "side", "c", "set", "body")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, first, done = None, None, -1
+        at, first = None, None
         for batch in batches:
             found: list[tuple[int, int]] = []
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256).to_pydict()
                 for lead, number, c, name, body in zip(*(part[k] for k in ("lead", "part", "c", "set", "body"))):
                     if (lead, number) != at:
-                        at, first, done = (lead, number), None, -1
-                    if c == done:  # a copy
-                        continue
+                        at, first = (lead, number), None
                     items = shingles(body, width)
                     if xxhash.xxh3_128_digest(items.tobytes()) != name:  # another text of that hash
                         continue
-                    done = c
                     if first is None:
                         first = items if c == lead else None
                         continue
@@ -475,9 +486,10 @@ def similar_documents(
     )
     entries = classes.select("c", "n", F.posexplode("prefix").alias("pos", "token"))
     lengths = entries.groupBy("token").agg(F.count("*").alias("length")).filter("length > 1")
+    # As ``key_hash``, but in two bytes: there is an entry for a tenth of all shingles.
+    dealt = F.pmod(F.xxhash64("token"), F.lit(1 << 16)).alias(KEY_HASH)
     listed = stored(
-        entries.withColumn(KEY_HASH, key_hash(["token"]))
-        .join(lengths.withColumn(KEY_HASH, key_hash(["token"])), [KEY_HASH, "token"])
+        entries.withColumn(KEY_HASH, dealt).join(lengths.withColumn(KEY_HASH, dealt), [KEY_HASH, "token"])
         .select("c", "n", "pos", "token", "length"),
         "lists",
     )
@@ -488,9 +500,11 @@ def similar_documents(
     def checked(pairs: DataFrame) -> DataFrame:
         return stored(linked(docs, text_col, classes, pairs, width, least), "links")
 
-    first = stored(candidates(tasks, classes, None, light, least), "pairs")
+    found = stored(candidates(tasks, classes, None, light, least), "pairs")
+    first, further = found.filter("member IS NOT NULL"), found.filter("member IS NULL")
     links = links.union(checked(first))
     groups = stored(connected(links), "groups")
+    tasks = tasks.join(further.select(F.col("lead").alias("task")), "task", "left_semi")
     known = first.union(first.select("member", "lead"))
     second = candidates(tasks, classes, groups, light, least).join(known, ["lead", "member"], "left_anti")
     second = stored(second, "pairs")
