@@ -7,7 +7,6 @@ is exact throughout and becomes DOUBLE in the last projection.
 
 from __future__ import annotations
 
-import importlib.util
 import os
 import sys
 from collections.abc import Callable
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from receivables import operators, plans, sinks, sources
+from receivables import operators, plans, sinks, sources, versions
 from receivables.fixtures import (
     AS_AT_DATE,
     load_faulty_inputs,
@@ -42,10 +41,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 OTHER_LIMITS = (7, 14, 28)
 _ORDER_COLUMNS = ("o_orderkey", "o_custkey", "o_orderdate", "o_totalprice")
 
-# The operators on texts come and go as a whole with their folder.
-if importlib.util.find_spec("receivables.llm") and importlib.util.find_spec("receivables.llm.queries"):
+# The operators on texts come and go as a whole with their folder and what it needs.
+try:
     from receivables.llm import queries as llm
-else:
+except ImportError:
     llm = None
 
 
@@ -170,6 +169,80 @@ def report_other_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _staged_csv_inputs(spark: SparkSession, sf_dir: str, rejected: bool = False) -> dict[str, DataFrame]:
+    def path(table: str) -> str:
+        def write(folder: str) -> None:
+            load_inputs(spark, sf_dir)[table].write.options(**CSV_TEXT).csv(folder)
+
+        return staged(spark, f"csv-{table}", sf_dir, write)
+
+    paths = {table: path(table) for table in INPUT_SCHEMAS}
+    return sources.read_inputs(spark, paths, escape='"', rejected=rejected)
+
+
+def published_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published in one pass over CSV files, then read as committed."""
+    store = new_folder(spark, "store")
+    plans.publish_ageing_report(_staged_csv_inputs(spark, sf_dir, rejected=True), AS_AT_DATE, store)
+    return sources.read_report(spark, store, AS_AT_DATE)
+
+
+def published_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What publishing tells of inputs without some dates, counted while the report was made."""
+    warnings = plans.publish_ageing_report(
+        load_undated_inputs(spark, sf_dir), AS_AT_DATE, new_folder(spark, "store")
+    )
+    return spark.createDataFrame(
+        warnings,
+        "table_name string, check_name string, column_name string, severity string, violations long",
+    )
+
+
+def report_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A date written twice, first its invoices alone: both versions, by number."""
+    store, report = new_folder(spark, "store"), _report(spark, sf_dir)
+    for part in (report.filter("document_type = 'invoice'"), report):
+        version = versions.stage_version(part, store, AS_AT_DATE)
+        versions.commit_version(spark, store, AS_AT_DATE, version)
+    first = versions.read_version(spark, store, AS_AT_DATE, number=1)
+    latest = sources.read_report(spark, store, AS_AT_DATE)
+    return first.withColumn("number", F.lit(1)).unionByName(latest.withColumn("number", F.lit(2)))
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as invoices in a CSV of which four lines in ten have a fault, read with the
+    lines that did not parse."""
+
+    def write(path: str) -> None:
+        order = F.col("o_orderkey") % 10
+        date = F.col("o_orderdate").cast("date").cast("string")
+        amount = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+        start = [F.concat(F.lit("inv_"), "o_orderkey"), "o_orderpriority", "o_orderstatus", "o_custkey"]
+        line = (
+            F.when(order == 0, F.concat_ws(",", *start, date, F.lit("n/a")))
+            .when(order == 1, F.concat_ws(",", *start, F.lit("2001-13-45"), amount))
+            .when(order == 2, F.concat_ws(",", *start))
+            .when(order == 3, F.concat_ws(",", *start, date, amount, F.lit("EUR")))
+            .otherwise(F.concat_ws(",", *start, date, amount))
+        )
+        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+        # Lines as they are: nothing in them is quoted for a separator they do not have.
+        lines = orders.select(line.alias(",".join(INVOICES.names)))
+        lines.write.options(header=True, sep="\u0001", quote="").csv(path)
+
+    path = staged(spark, "csv-planted", sf_dir, write)
+    return sources.read_table(spark, path, "csv", INVOICES, rejected=True)
+
+
+def rejected_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = operators.rejected_lines(_planted(spark, sf_dir), "invoices")
+    return lines.withColumn("empty", F.array_join("empty", ","))
+
+
+def unparsed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return operators.check_table(_planted(spark, sf_dir), "invoices", INVOICES.names)
+
+
 def csv_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts of documents, with their line breaks, as a report's class ids."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -230,6 +303,11 @@ def queries() -> dict[str, Query]:
         "output_findings": output_findings,
         "missing_findings": missing_findings,
         "report_other_limits": report_other_limits,
+        "published_report": published_report,
+        "published_warnings": published_warnings,
+        "report_versions": report_versions,
+        "rejected_lines": rejected_lines,
+        "unparsed_findings": unparsed_findings,
         "csv_text_roundtrip": csv_text_roundtrip,
         "report_roundtrip": report_roundtrip,
         "report_csv_roundtrip": report_csv_roundtrip,
@@ -435,6 +513,32 @@ SELECT centre_id, class_id, document_id, document_date, student_id, {columns},
 FROM owed, (VALUES ('parquet'), ('csv')) AS kept(kept_as)"""
 
 
+# Lines with faults, see ``_planted``.
+_LINE_START = "'inv_' || o_orderkey || ',' || o_orderpriority || ',' || o_orderstatus || ',' || o_custkey"
+_LINE_DATE = "',' || CAST(CAST(o_orderdate AS DATE) AS VARCHAR)"
+_LINE_AMOUNT = "',' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR)"
+_FAULTY_LINES = f"""
+SELECT 'invoices' AS table_name,
+       {_LINE_START} || CASE o_orderkey % 10
+         WHEN 0 THEN {_LINE_DATE} || ',n/a'
+         WHEN 1 THEN ',2001-13-45' || {_LINE_AMOUNT}
+         WHEN 2 THEN ''
+         ELSE {_LINE_DATE} || {_LINE_AMOUNT} || ',EUR' END AS line,
+       CASE o_orderkey % 10 WHEN 0 THEN 'total_amount' WHEN 1 THEN 'invoice_date'
+         WHEN 2 THEN 'invoice_date,total_amount' ELSE '' END AS empty
+FROM orders WHERE o_orderkey % 10 < 4"""
+_PLANTED = """
+WITH planted AS (
+  SELECT 'inv_' || o_orderkey AS id, o_orderpriority AS centre_id, o_orderstatus AS class_id,
+         CAST(o_custkey AS VARCHAR) AS student_id,
+         CASE WHEN o_orderkey % 10 NOT IN (1, 2) THEN CAST(o_orderdate AS DATE) END AS invoice_date,
+         CASE WHEN o_orderkey % 10 NOT IN (0, 2) THEN CAST(o_totalprice AS DECIMAL(18,2)) END AS total_amount,
+         o_orderkey % 10 < 4 AS faulty
+  FROM orders
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     report = f"{_REPORT}\nSELECT * FROM report"
     sql = {
@@ -503,11 +607,38 @@ SELECT 'orders', 'missing', column_name, 'error', greatest(n, 1)
 FROM (SELECT count(*) AS n FROM orders),
      (VALUES ('o_orderdate'), ('o_totalprice'), ('o_comment_date')) AS lacking(column_name)""",
         "report_other_limits": _other_limits(),
+        "published_warnings": f"{_UNDATED}\n"
+        + "SELECT * FROM ("
+        + "\nUNION ALL\n".join(
+            [
+                _finding_counts("src_invoices", "invoices", INVOICES.names),
+                _finding_counts("src_credit_notes", "credit_notes", CREDIT_NOTES.names),
+                _finding_counts("src_payments", "payments", PAYMENTS.names),
+                _finding_counts("report", "ageing_report", report_columns()),
+            ]
+        )
+        + ") WHERE violations > 0",
+        "report_versions": f"""{_REPORT}
+SELECT *, 1 AS number FROM report WHERE document_type = 'invoice'
+UNION ALL
+SELECT *, 2 FROM report""",
+        "rejected_lines": _FAULTY_LINES,
+        "unparsed_findings": f"{_PLANTED}\n"
+        + _finding_counts("planted", "invoices", INVOICES.names, total_amount=("FALSE", "FALSE"))
+        + """
+UNION ALL
+SELECT 'invoices', 'unparsed', '*', 'warning', count(*) FILTER (WHERE faulty) FROM planted""",
         "csv_text_roundtrip": """
 SELECT lang AS centre_id, text AS class_id, CAST(doc_id AS VARCHAR) AS document_id,
        source AS student_id
 FROM documents""",
     }
-    for key in ("ageing_report", "report_via_views", "report_roundtrip", "report_csv_roundtrip"):
+    for key in (
+        "ageing_report",
+        "report_via_views",
+        "published_report",
+        "report_roundtrip",
+        "report_csv_roundtrip",
+    ):
         sql[key] = report
     return sql | (llm.oracle_sql() if llm else {})

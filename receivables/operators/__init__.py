@@ -27,6 +27,7 @@ from receivables.operators.quality import (
     enforce,
     null_profile,
     observe_checks,
+    rejected_lines,
     require_columns,
     type_findings,
     validate_inputs,
@@ -48,6 +49,7 @@ __all__ = [
     "outstanding",
     "outstanding_documents",
     "payment_totals",
+    "rejected_lines",
     "report_columns",
     "require_columns",
     "sort_report",

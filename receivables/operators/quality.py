@@ -8,16 +8,18 @@ included. The same checks can ride on a write, see ``observe_checks``.
 from __future__ import annotations
 
 import logging
+import threading
 from collections.abc import Callable, Iterable, Sequence
 from typing import NamedTuple
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, DoubleType, FloatType, StructType
 
 from receivables.functions import AGE_BUCKETS, AgeBucket, rounded_amounts, unfit_amounts
 from receivables.layout import report_columns
-from receivables.schemas import AMOUNTS, CREDIT_NOTES, INVOICES, MONEY, PAYMENTS
+from receivables.schemas import AMOUNTS, CREDIT_NOTES, INVOICES, MONEY, PAYMENTS, REJECTED
 
 logger = logging.getLogger(__name__)
 
@@ -102,6 +104,11 @@ def _checks(
         ),
         *_type_checks(df.schema),
         *_amount_checks(df, required, money),
+        *(
+            [_Check("unparsed", "*", WARNING, F.count(_column(REJECTED)))]
+            if REJECTED in present
+            else []
+        ),
     ]
 
 
@@ -168,6 +175,21 @@ def check_table(
     return _findings(df, table_name, _checks(df, required, money))
 
 
+def rejected_lines(df: DataFrame, table_name: str) -> DataFrame:
+    """The lines of a scan with ``REJECTED`` that did not parse: ``table_name``, ``line`` and
+    ``empty``, the columns that hold no value, among them those that did not parse.
+
+    A line of the right values but too many fields has none empty. Empty without that column.
+    """
+    if REJECTED not in df.columns:
+        return df.sparkSession.createDataFrame([], "table_name string, line string, empty array<string>")
+    names = [name for name in df.columns if name != REJECTED]
+    empty = F.array_compact(F.array(*(F.when(_column(n).isNull(), F.lit(n)) for n in names)))
+    return df.filter(_column(REJECTED).isNotNull()).select(
+        F.lit(table_name).alias("table_name"), _column(REJECTED).alias("line"), empty.alias("empty")
+    )
+
+
 def validate_inputs(
     invoices: DataFrame,
     credit_notes: DataFrame,
@@ -190,25 +212,41 @@ def validate_report(
 
 
 def observe_checks(
-    df: DataFrame, table_name: str, required: Sequence[str]
-) -> tuple[DataFrame, Callable[[], list[Finding]]]:
-    """``df`` with the checks riding along on whatever writes it.
-
-    Returns the DataFrame to write and a function that gives the findings once
-    the write is done. So a result is checked while it is computed, instead of
-    being computed a second time. Write the returned DataFrame as it is: behind
-    a further shuffle a repeated task would be counted twice.
+    df: DataFrame, table_name: str, required: Sequence[str], money: DecimalType = MONEY
+) -> tuple[DataFrame, Callable[[float | None], list[Finding] | None]]:
+    """``df`` with the checks riding along on whatever uses it.
+
+    Returns the DataFrame to go on with and a function that gives the findings once the job
+    is done. So a table is checked while it is computed, instead of a second time. The function
+    waits for the counts, with a number of seconds no longer than that, and then gives None:
+    Spark reports none of a part of the plan that it found it need not run.
+
+    Above a shuffle, what is written, counts are exact. Below one a task repeated after the loss
+    of an executor counts again, so a count may come out too high there; it is 0 or not 0 as it
+    should be, by which errors and warnings are told.
     """
-    checks = _checks(df, required)
+    checks = _checks(df, required, money)
     observation = Observation()
     observed = df.observe(
         observation, *(check.violations.alias(f"_{i}") for i, check in enumerate(checks))
     )
 
-    def findings() -> list[Finding]:
-        counts = observation.get
+    def findings(seconds: float | None = None) -> list[Finding] | None:
+        found: list[dict] = []
+
+        def wait() -> None:
+            try:
+                found.append(observation.get)
+            except Py4JJavaError:  # there are no counts
+                pass
+
+        waiting = threading.Thread(target=wait, daemon=True)
+        waiting.start()
+        waiting.join(seconds)
+        if not found:
+            return None
         return [
-            Finding(table_name, *check[:3], violations=counts[f"_{i}"])
+            Finding(table_name, *check[:3], violations=found[0][f"_{i}"])
             for i, check in enumerate(checks)
         ]
 
@@ -223,6 +261,8 @@ def _describe(error: Finding) -> str:
             f"{error.table_name}.{error.column_name} holds {error.violations} amounts that are "
             "no money or too large"
         )
+    if error.check_name == "unparsed":
+        return f"{error.table_name} holds {error.violations} lines that did not parse"
     return f"{error.table_name} lacks required column {error.column_name}"
 
 

@@ -3,7 +3,13 @@
 from receivables.plans.report import (
     ageing_report,
     ageing_report_from_views,
+    observed_report,
     publish_ageing_report,
 )
 
-__all__ = ["ageing_report", "ageing_report_from_views", "publish_ageing_report"]
+__all__ = [
+    "ageing_report",
+    "ageing_report_from_views",
+    "observed_report",
+    "publish_ageing_report",
+]

@@ -38,6 +38,8 @@ PAYMENTS = _schema(
     id=TEXT, document_id=TEXT, document_type=TEXT, amount_paid=MONEY, payment_date=DATE
 )
 AMOUNTS = ("total_amount", "amount_paid")
+#: Column of a scan for lines that did not parse.
+REJECTED = "_rejected"
 
 
 def input_schemas(money: DecimalType = MONEY) -> dict[str, StructType]:

@@ -35,11 +35,34 @@ def shared_folder(spark: SparkSession) -> str:
             _own[application] = tempfile.mkdtemp(prefix="receivables-")
             atexit.register(shutil.rmtree, _own[application], ignore_errors=True)
         base = _own[application]
-    elif base.startswith("file:") and not _one_machine(master):
+    elif not _one_machine(master) and _local(spark, base):
         raise RuntimeError(f"spark.checkpoint.dir names a local folder on a cluster: {base}")
     return base.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str, empty_above: int = 0) -> None:
+    """Removes a file or folder in any file system Spark knows, and up to ``empty_above`` of the
+    folders above it that are empty then. What is not there is no error."""
+    files = spark._jvm.org.apache.hadoop.fs
+    place = files.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(place, True)
+    for _ in range(empty_above):
+        place = place.getParent()
+        if not system.exists(place) or len(system.listStatus(place)):
+            return
+        system.delete(place, False)
+
+
+def _local(spark: SparkSession, path: str) -> bool:
+    """Whether the path lies in a file system of one machine, by its own or the default scheme."""
+    scheme, named, _ = path.partition(":")
+    if not named:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        scheme = place.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme()
+    return scheme == "file"
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path not used before, inside the shared folder."""
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"

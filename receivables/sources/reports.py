@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from receivables.functions import AGE_BUCKETS, AgeBucket
 from receivables.functions.ageing import as_date_text
 from receivables.layout import report_schema
+from receivables.versions import read_version
 
 # Text as ordinary CSV readers and writers have it: quotes doubled, blanks kept.
 CSV_TEXT = {
@@ -39,9 +40,13 @@ def read_report(
 ) -> DataFrame:
     """A report table, all dates or one; raises ``ValueError`` if its buckets are others.
 
-    For one date only its own folder is listed; a filter on the whole table
+    Of a store that was published to, the versions last committed; else Parquet partitioned
+    by date, as ``write_partitioned`` leaves it. There, for one date only its own folder is listed; a filter on the whole table
     would read no more, but would first list the folders of all dates.
     """
+    committed = read_version(spark, path, as_at_date, buckets)
+    if committed is not None:
+        return committed
     reader, folder = spark.read, path
     if as_at_date is not None:
         folder = f"{path}/as_at_date={as_date_text(as_at_date)}"
