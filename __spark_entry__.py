@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from receivables import operators, plans, sinks, sources, versions
+from receivables import keyed, operators, plans, sinks, sources, totals, versions
 from receivables.fixtures import (
     AS_AT_DATE,
     load_faulty_inputs,
@@ -209,6 +209,40 @@ def report_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("number", F.lit(1)).unionByName(latest.withColumn("number", F.lit(2)))
 
 
+def keyed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over tables stored by document, in two loads."""
+
+    def write(folder: str) -> None:
+        inputs = load_inputs(spark, sf_dir)
+        for part in (0, 1):
+            half = {
+                name: table.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == part)
+                for name, table in inputs.items()
+            }
+            keyed.load_keyed(half, folder, folder.rsplit("/", 1)[1].replace("-", "_"), 16)
+
+    folder = staged(spark, "keyed", sf_dir, write)
+    tables = keyed.open_keyed(spark, folder, folder.rsplit("/", 1)[1].replace("-", "_"))
+    return keyed.keyed_report(tables, AS_AT_DATE)
+
+
+def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Payments by year as batches, one of them delivered twice, folded half way."""
+    store, payments = new_folder(spark, "totals"), load_inputs(spark, sf_dir)["payments"]
+    years = list(range(1995, 2003))
+    for year in [*years[:4], years[1], *years[4:]]:
+        start, end = f"{year}-01-01", f"{year + 1}-01-01"
+        due = (F.col("payment_date") >= start) & (F.col("payment_date") < end)
+        if year == years[0]:
+            due = (F.col("payment_date") < end) | F.col("payment_date").isNull()
+        elif year == years[-1]:
+            due = F.col("payment_date") >= start
+        totals.add_batch(payments.filter(due), store, str(year))
+        if year == years[3]:
+            totals.fold(spark, store)
+    return _plain(totals.read_totals(spark, store))
+
+
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as invoices in a CSV of which four lines in ten have a fault, read with the
     lines that did not parse."""
@@ -306,6 +340,8 @@ def queries() -> dict[str, Query]:
         "published_report": published_report,
         "published_warnings": published_warnings,
         "report_versions": report_versions,
+        "keyed_report": keyed_report,
+        "running_totals": running_totals,
         "rejected_lines": rejected_lines,
         "unparsed_findings": unparsed_findings,
         "csv_text_roundtrip": csv_text_roundtrip,
@@ -559,6 +595,8 @@ FROM src_credit_notes""",
         "all_documents": f"{_DOCUMENTS}\nSELECT {_DOCUMENT_FIELDS} FROM docs",
         "document_types": f"{_DOCUMENTS}\nSELECT DISTINCT document_type FROM docs",
         "payments_by_document": f"""{_DOCUMENTS}
+SELECT document_id, document_type, CAST(total_paid AS DOUBLE) AS total_paid FROM totals""",
+        "running_totals": f"""{_DOCUMENTS}
 SELECT document_id, document_type, CAST(total_paid AS DOUBLE) AS total_paid FROM totals""",
         "documents_with_payments": f"""{_DOCUMENTS}
 SELECT {_DOCUMENT_FIELDS}, CAST(coalesce(total_paid, 0) AS DOUBLE) AS total_paid FROM joined""",
@@ -637,6 +675,7 @@ FROM documents""",
         "ageing_report",
         "report_via_views",
         "published_report",
+        "keyed_report",
         "report_roundtrip",
         "report_csv_roundtrip",
     ):

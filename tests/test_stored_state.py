@@ -1,0 +1,100 @@
+"""Tables stored by document, and totals kept up to date."""
+
+import datetime
+import re
+import uuid
+from decimal import Decimal
+
+import golden
+import pytest
+from helpers import credit_notes, in_any_order, invoices, payments
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from receivables import keyed, totals
+from receivables.operators import payment_totals
+from receivables.plans import ageing_report
+
+DATE = datetime.date(2025, 4, 7)
+
+
+def plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def some_inputs(spark, first, n):
+    ids = range(first, first + n)
+    return {
+        "invoices": invoices(spark, *((f"d{i}", "2025-01-01", i % 50 + 1) for i in ids), (None, "2025-01-01", 3)),
+        "credit_notes": credit_notes(spark, *((f"d{i}", "2025-03-01", i % 40 + 1) for i in ids)),
+        "payments": payments(
+            spark, *((f"d{i * 7 % (2 * n)}", ("invoice", "credit_note")[i % 2], i % 9) for i in ids), (None, None, 1)
+        ),
+    }
+
+
+def test_report_over_stored_tables_has_no_exchange(spark, tmp_path):
+    prefix, folder = f"t_{uuid.uuid4().hex}", str(tmp_path / "keyed")
+    loads = [some_inputs(spark, 0, 300), some_inputs(spark, 300, 200)]
+    for inputs in loads:
+        keyed.load_keyed(inputs, folder, prefix, 4)
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        report = keyed.keyed_report(keyed.open_keyed(spark, folder, prefix), DATE)
+        assert not re.search("Exchange", plan(report))
+    finally:
+        spark.conf.set(threshold, before)
+    whole = {name: loads[0][name].unionByName(loads[1][name]) for name in loads[0]}
+    expected = ageing_report(**whole, as_at_date=DATE)
+    assert report.columns == expected.columns
+    assert in_any_order(report.collect()) == in_any_order(expected.collect()) != []
+
+
+def test_another_session_opens_the_tables(spark, tmp_path):
+    prefix, folder = f"t_{uuid.uuid4().hex}", str(tmp_path / "keyed")
+    case = golden.SMALL
+    keyed.load_keyed(golden.tables(spark, case), folder, prefix, 3)
+    for table in keyed.TABLES:
+        spark.sql(f"DROP TABLE {prefix}_{table}")  # external: the files stay
+    report = keyed.keyed_report(keyed.open_keyed(spark, folder, prefix), case["as_at_date"])
+    assert in_any_order(report.collect()) == in_any_order(golden.report_rows(case))
+    with pytest.raises(ValueError, match="3 buckets, not 5"):
+        keyed.load_keyed(golden.tables(spark, case), folder, prefix, 5)
+
+
+def test_running_totals_are_those_of_all_payments(spark, tmp_path):
+    store = str(tmp_path / "totals")
+    assert totals.batches(spark, store) == set()
+    assert totals.read_totals(spark, store).collect() == []
+    rows = [(f"d{i % 17}", ("invoice", "credit_note")[i % 2], f"{i}.{i % 100:02}") for i in range(200)]
+    rows += [(None, "invoice", 5), ("d1", None, 7), ("d2", "invoice", None)]
+    parts = [payments(spark, *rows[i::5]) for i in range(5)]
+    for i in (0, 1, 0, 2, 1, 3, 4, 4):
+        added = totals.add_batch(parts[i], store, f"b{i}")
+        opened = totals.read_totals(spark, store)
+        if i == 2:
+            totals.fold(spark, store)
+            assert in_any_order(opened.collect()) == in_any_order(totals.read_totals(spark, store).collect())
+            assert not totals.add_batch(parts[0], store, "b0")
+    assert not added
+    assert totals.batches(spark, store) == {f"b{i}" for i in range(5)}
+    expected = payment_totals(payments(spark, *rows))
+    found = totals.read_totals(spark, store)
+    assert found.schema["total_paid"].dataType == expected.schema["total_paid"].dataType
+    assert in_any_order(found.collect()) == in_any_order(expected.collect())
+
+
+def test_a_failed_batch_can_be_delivered_again(spark, tmp_path):
+    store = str(tmp_path / "totals")
+    totals.add_batch(payments(spark, ("a", "invoice", 1)), store, "one")
+    bad = payments(spark, ("a", "invoice", 2), ("b", "invoice", 3)).withColumn(
+        "amount_paid", F.when(F.col("document_id") == "b", F.raise_error(F.lit("lost"))).otherwise(F.col("amount_paid"))
+    )
+    with pytest.raises(PySparkException, match="lost"):
+        totals.add_batch(bad, store, "two")
+    assert totals.batches(spark, store) == {"one"}
+    assert totals.add_batch(payments(spark, ("a", "invoice", 2)), store, "two")
+    assert [tuple(r) for r in totals.read_totals(spark, store).collect()] == [("a", "invoice", Decimal("3.00"))]
