@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from receivables.functions import plain_number
-from receivables.sources.reports import CSV_TEXT, csv_path
+from receivables.sources.reports import CSV_TEXT, MANIFEST, csv_files, csv_path, file_name
+
+#: About 100 MB of a report, which one task reads.
+ROWS_PER_FILE = 1_000_000
 
 
 def write_partitioned(report: DataFrame, path: str) -> None:
@@ -27,12 +30,17 @@ def write_partitioned(report: DataFrame, path: str) -> None:
     )
 
 
-def write_csv(report: DataFrame, base: str, as_at_date: datetime.date) -> None:
-    """Writes CSV with a header to ``{base}_YYYY-MM-DD.csv``, one file per task.
+def write_csv(
+    report: DataFrame, base: str, as_at_date: datetime.date, rows_per_file: int = ROWS_PER_FILE
+) -> None:
+    """Writes CSV with a header to ``{base}_YYYY-MM-DD.csv``, no file with more than
+    ``rows_per_file`` rows, and a manifest of the files in the folder's ``_manifest``.
 
     Amounts are written in plain digits, text exactly as it is: a field with a comma, a
-    quote or a line break is quoted, and a quote within it doubled.
+    quote or a line break is quoted, and a quote within it doubled. The manifest has for each
+    file its rows, bytes and SHA-256, which executors read from the files once written.
     """
+    path = csv_path(base, as_at_date)
     (
         report.select(
             *(
@@ -43,6 +51,13 @@ def write_csv(report: DataFrame, base: str, as_at_date: datetime.date) -> None:
             )
         )
         .write.mode("overwrite")
+        .option("maxRecordsPerFile", rows_per_file)
         .options(**CSV_TEXT)
-        .csv(csv_path(base, as_at_date))
+        .csv(path)
     )
+    spark = report.sparkSession
+    texts = spark.read.options(**CSV_TEXT, multiLine=True).schema(report.schema).csv(path)
+    rows = texts.groupBy(file_name(F.input_file_name()).alias("file")).agg(F.count("*").alias("rows"))
+    files = csv_files(spark, path).select("file", "bytes", F.sha2("content", 256).alias("sha256"))
+    manifest = files.join(rows, "file", "left").fillna(0, ["rows"])
+    manifest.select("file", "rows", "bytes", "sha256").coalesce(1).write.json(f"{path}/{MANIFEST}")

@@ -5,13 +5,17 @@ from __future__ import annotations
 import datetime
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from receivables.functions import AGE_BUCKETS, AgeBucket
 from receivables.functions.ageing import as_date_text
 from receivables.layout import report_schema
 from receivables.versions import read_version
 
+MANIFEST = "_manifest"
+
 # Text as ordinary CSV readers and writers have it: quotes doubled, blanks kept.
 CSV_TEXT = {
     "header": True,
@@ -60,19 +64,54 @@ def csv_path(base: str, as_at_date: datetime.date) -> str:
     return f"{base}_{as_date_text(as_at_date)}.csv"
 
 
+def file_name(path: Column) -> Column:
+    return F.url_decode(F.element_at(F.split(path, "/"), -1))
+
+
+def csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file``, ``bytes`` and ``content`` of the files of a CSV report; without the last a listing."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
+    return files.select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), "content"
+    )
+
+
+def check_csv_report(spark: SparkSession, path: str, digests: bool = False) -> None:
+    """``ValueError`` if files of a CSV report are gone, added or of another size than its
+    manifest says, with ``digests`` also if their bytes are others. A folder without a manifest
+    passes."""
+    try:
+        wanted = spark.read.schema("file STRING, rows LONG, bytes LONG, sha256 STRING").json(f"{path}/{MANIFEST}")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return
+        raise
+    digest = F.sha2("content", 256) if digests else F.lit(None).cast("string")
+    found = csv_files(spark, path).select("file", F.col("bytes").alias("now"), digest.alias("digest"))
+    differ = ~F.col("bytes").eqNullSafe(F.col("now"))
+    if digests:
+        differ |= ~F.col("sha256").eqNullSafe(F.col("digest"))
+    wrong = wanted.join(found, "file", "full").filter(differ).select("file").limit(5).collect()
+    if wrong:
+        raise ValueError(f"the report in {path} is not as it was written: {', '.join(r.file for r in wrong)}")
+
+
 def read_csv_report(
     spark: SparkSession,
     base: str,
     as_at_date: datetime.date,
     buckets: Sequence[AgeBucket] = AGE_BUCKETS,
+    digests: bool = False,
 ) -> DataFrame:
-    """A CSV report; raises ``ValueError`` if its buckets are others.
+    """A CSV report; raises ``ValueError`` if its buckets are others, or its files not those of
+    its manifest (``check_csv_report``).
 
-    Line breaks within a text are read as such, for which a file is read by one task; a
-    report has a file for each task that wrote it.
+    Line breaks within a text are read as such, for which a file is read by one task; files
+    have a bounded number of rows.
     """
     path = csv_path(base, as_at_date)
     reader = spark.read.options(**CSV_TEXT, multiLine=True)
     _checked(reader.csv(path).columns, buckets, path)  # from the header of one file
+    check_csv_report(spark, path, digests)
     # A declared schema must be the header's in name and order.
     return reader.schema(report_schema(buckets)).option("enforceSchema", False).csv(path)

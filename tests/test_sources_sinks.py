@@ -1,5 +1,6 @@
 import csv
 import datetime
+import hashlib
 from decimal import Decimal
 
 import golden
@@ -177,6 +178,36 @@ def test_csv_keeps_amounts_and_text(spark, tmp_path):
     assert in_any_order(back.collect()) == in_any_order(result.collect())
 
 
+def test_csv_files_are_bounded_and_known(spark, tmp_path):
+    rows = [(f"d{i}", "2025-01-01", 1) for i in range(95)]
+    result, base = report(spark, *rows).coalesce(2), str(tmp_path / "report")
+    write_csv(result, base, AS_AT, rows_per_file=20)
+    folder = tmp_path / f"report_{AS_AT}.csv"
+    parts = sorted(folder.glob("part-*.csv"))
+    sizes = {part.name: len(part.read_text().splitlines()) - 1 for part in parts}
+    assert max(sizes.values()) <= 20 and sum(sizes.values()) == 95
+    manifest = spark.read.json(f"{folder}/_manifest").collect()
+    assert {row.file: row.rows for row in manifest} == sizes
+    assert {row.file: (row.bytes, row.sha256) for row in manifest} == {
+        part.name: (part.stat().st_size, hashlib.sha256(part.read_bytes()).hexdigest()) for part in parts
+    }
+    assert read_csv_report(spark, base, AS_AT, digests=True).count() == 95
+    whole = parts[0].read_bytes()
+
+    def put(data):
+        parts[0].write_bytes(data)
+        (folder / f".{parts[0].name}.crc").unlink(missing_ok=True)
+
+    put(whole.replace(b"d1", b"e1"))  # of the same size
+    assert read_csv_report(spark, base, AS_AT).count() == 95
+    with pytest.raises(ValueError, match=parts[0].name):
+        read_csv_report(spark, base, AS_AT, digests=True)
+    for damage in (lambda: put(whole[:-40]), parts[0].unlink):
+        damage()
+        with pytest.raises(ValueError, match=parts[0].name):
+            read_csv_report(spark, base, AS_AT)
+
+
 TEXTS = ['a"b', '"', "back\\slash", "com,ma", "line\nbreak", "car\r\nriage", " both ", "\t", "#x", "ünï"]
 
 
