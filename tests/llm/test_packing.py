@@ -35,6 +35,12 @@ def test_ids_of_random_texts():
         assert IDS(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u00a0"])
+def test_ids_of_very_long_runs_of_blanks(blank):
+    for text in (blank * 1_200_000, "a b" + blank * 1_200_000 + "c d", blank * 999 + "x" + blank * 1001):
+        assert IDS(text) == TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
 def check_plan(histogram, capacity):
     plans = P.plan(dict(histogram), capacity)
     placed = Counter()
