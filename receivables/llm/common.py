@@ -86,17 +86,20 @@ def type_of(df: DataFrame, column: str) -> str:
 
 
 def sample_per_class(labelled: DataFrame, label: str, key: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows of each class, those with the smallest hashes of ``key``.
+    """At most ``rows`` keys of each class, those with the smallest hashes; copies are one.
 
-    ``labelled`` needs narrow rows only. Counts give each class a bound on the hash that
-    leaves about twice as many rows as wanted, so that just those are ranked.
+    ``labelled`` needs narrow rows only. Numbers of different keys, to within some hundredths,
+    give each class a bound on the hash that leaves about twice as many keys as wanted, so that
+    just those are told apart and ranked.
     """
-    counts = labelled.groupBy(label).count()
+    counts = labelled.groupBy(label).agg(F.approx_count_distinct(key).alias("count"))
     spread = F.pmod(F.xxhash64(key, F.lit(label)), F.lit(1 << 30)) / float(1 << 30)
     near = (
         labelled.join(F.broadcast(counts), label)  # a row for each class
         .withColumn("_spread", spread)
         .filter(F.col("_spread") * F.col("count") <= 2 * rows + 50)
+        .select(label, key, "_spread")
+        .distinct()
     )
     order = Window.partitionBy(label).orderBy("_spread", key)
     return near.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= rows).select(key, label)

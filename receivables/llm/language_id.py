@@ -36,6 +36,8 @@ from receivables.llm.common import (
 UNDETERMINED = "und"
 ORDER = 3
 ROWS_PER_LANGUAGE = 400
+# What Python's ``str.split`` takes for blanks, for the same words everywhere.
+BLANKS = r"\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 
 Contexts = dict[bytes, dict[int, int]]
 
@@ -134,17 +136,20 @@ def train(
     """The context tree of each language in ``labelled``.
 
     Fitted on the whole texts of at most ``rows`` rows a language, those whose ids have the
-    smallest hashes; only the counts of their words come to the driver.
+    smallest hashes; an id that occurs several times counts once, with the text of the smallest
+    hash. Only the counts of their words come to the driver.
     """
     usable = labelled.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     keys = usable.select(F.col(id_col).alias("_id"), F.col(label_col).alias("_class"))
-    chosen = sample_per_class(keys, "_class", "_id", rows).distinct()
+    chosen = sample_per_class(keys, "_class", "_id", rows)
     texts = usable.select(
         F.col(id_col).alias("_id"), F.col(label_col).alias("_class"), F.col(text_col).alias("_text")
     )
     words = (
         texts.join(F.broadcast(chosen), ["_id", "_class"], "left_semi")  # ``rows`` a language
-        .select("_class", F.explode(F.split("_text", r"\s+")).alias("_word"))
+        .groupBy("_id", "_class")
+        .agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
+        .select("_class", F.explode(F.split("_text", f"[{BLANKS}]+")).alias("_word"))
         .filter("_word != ''")
         .groupBy("_class", "_word")
         .count()

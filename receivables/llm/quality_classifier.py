@@ -23,7 +23,7 @@ from operator import eq
 from typing import NamedTuple
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from receivables.llm.common import (
@@ -39,6 +39,7 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 NGRAMS = (3, 4)
 ROWS_PER_LABEL = 600
+MOST_CHARS = 50_000_000
 EPOCHS = 5
 RATE = 0.5
 BATCH = 16
@@ -153,17 +154,24 @@ def train(
     rows: int = ROWS_PER_LABEL,
 ) -> Model:
     """Fits the model on the whole texts of at most ``rows`` labelled documents of each
-    class, those whose ids have the smallest hashes. Labels other than 0 and 1 are ignored."""
+    class, those whose ids have the smallest hashes. Labels other than 0 and 1 are ignored.
+
+    An id that occurs several times, in either table, counts once, with the text of the
+    smallest hash. Where the texts of a class come to more than ``MOST_CHARS`` characters, those
+    of the largest hashes of ids are left out, so the driver gets no more than that a class.
+    """
     usable = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     keys = usable.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_class"))
-    chosen = sample_per_class(keys, "_class", "_id", rows).distinct()
+    chosen = sample_per_class(keys, "_class", "_id", rows)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = (
+    one = (
         texts.join(F.broadcast(chosen), "_id")  # at most 2 * ``rows`` rows
-        .orderBy("_id", "_class", "_text")
-        .limit(4 * rows)  # copies of an id do not lift the bound
-        .collect()
+        .groupBy("_id", "_class")
+        .agg(F.min_by("_text", F.xxhash64("_text")).alias("_text"))
     )
+    order = Window.partitionBy("_class").orderBy(F.xxhash64("_id"), "_id")
+    chars = F.sum(F.coalesce(F.length("_text"), F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    found = one.withColumn("_chars", chars).filter(F.col("_chars") <= MOST_CHARS).orderBy("_id", "_class").collect()
     return fit([row["_text"] for row in found], [row["_class"] for row in found])
 
 

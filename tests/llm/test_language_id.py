@@ -82,7 +82,7 @@ def test_training_is_bounded_and_whole(spark):
     labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     trees = L.train(labelled, rows=20)
     assert sum(trees["x"][b" "].values()) == 2 * 20  # two words in each of 20 rows
-    assert trees["y"][b" "] == {ord("o"): 4}  # both words begin with it, in both rows
+    assert trees["y"][b" "] == {ord("o"): 2}  # both words begin with it; copies count once
 
 
 def test_held_out_accuracy(spark):
@@ -105,3 +105,19 @@ def test_same_answer_twice(spark):
     assert tuples(queries.op9_language_id(spark, sf_dir)) == tuples(
         queries.op9_language_id(spark, sf_dir)
     )
+
+
+def test_repeated_ids_count_once(spark):
+    rows = [(i, f"the cat {i} sat", "en") for i in range(60)] + [(100 + i, f"le chat {i} est", "fr") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    copies = spark.range(10_000).select(F.lit(3).cast("long").alias("doc_id")).join(docs, "doc_id")
+    plain = L.train(docs, rows=30)
+    assert plain and L.train(docs.union(copies.select(*docs.columns)), rows=30) == plain
+
+
+def test_words_are_the_same_in_training_and_prediction(spark):
+    blanks = [chr(c) for c in range(0x3100) if chr(c).isspace()]
+    text = "".join(f"w{i}{blank}" for i, blank in enumerate(blanks))
+    docs = spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string")
+    assert L.train(docs) == {"en": L.context_tree(Counter(text.split()), L.ORDER)}
+    assert len(text.split()) == len(blanks)

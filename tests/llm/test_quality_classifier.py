@@ -61,7 +61,35 @@ def test_training_sample_is_bounded(spark):
         Q.train(docs.union(docs), labels, rows=10)
     finally:
         Q.fit = fit
-    assert len(seen[0]) == 40 and sum(seen[0]) == 20  # two copies of ten ids of each class
+    assert len(seen[0]) == 20 and sum(seen[0]) == 10  # ten ids of each class, copies count once
+
+
+def test_repeated_ids_count_once(spark):
+    """The model is that of the table without the copies, in documents and in labels."""
+    texts = spark.range(300).select(
+        F.col("id").alias("doc_id"),
+        F.concat_ws(" ", F.when(F.col("id") % 2 == 0, "calm day").otherwise("BUY NOW!!"), F.col("id")).alias("text"),
+    )
+    labels = texts.select("doc_id", ((F.col("doc_id") + 1) % 2).cast("int").alias("quality"))
+    copies = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"))
+    more_texts = texts.union(copies.join(texts, "doc_id"))
+    more_labels = labels.union(copies.select("doc_id", F.lit(0)))
+    plain = Q.train(texts, labels, rows=60)
+    assert np.abs(plain.table).max() > 0
+    for other in (Q.train(more_texts, labels, rows=60), Q.train(texts, more_labels, rows=60)):
+        assert other.bias == plain.bias and (other.table == plain.table).all()
+
+
+def test_characters_of_the_sample_are_bounded(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 100).alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    seen = []
+    fit, most, Q.fit, Q.MOST_CHARS = Q.fit, Q.MOST_CHARS, lambda texts, labels: seen.append(texts) or fit(texts, labels), 1000
+    try:
+        Q.train(docs, labels)
+    finally:
+        Q.fit, Q.MOST_CHARS = fit, most
+    assert len(seen[0]) == 6  # three texts of 300 characters each, whole
 
 
 def test_held_out_accuracy(spark):
