@@ -12,7 +12,8 @@ Results by case: a row whose vector or id is NULL, whose vector is empty or hold
 NaN or infinite component takes no part; vectors of different lengths are compared as if
 the shorter ended in zeros; a repeated row is a candidate for its copies, not for itself;
 with fewer than k candidates all are returned, with none no row; an empty table gives an
-empty one; further columns of the input are ignored.
+empty one; further columns of the input are ignored. A component of ``MOST`` or more, and
+scores that may not fit a LONG, end the query with an error that names the row.
 """
 
 from __future__ import annotations
@@ -26,13 +27,17 @@ from receivables.llm.common import stored
 
 SCALE = 256
 BLOCK = 1 << 15
-CHUNK = 128
+CHUNK = 4096
+MOST = float(1 << 40)
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``row`` (its own number), ``id`` and ``q``, the whole-number components."""
     usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.col("id").isNotNull()
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    far = F.exists("v", lambda x: F.abs(x) >= MOST)
+    whole = F.transform("v", lambda x: F.floor(x * SCALE).cast("long"))
+    refused = F.raise_error(F.concat(F.lit(f"a component is {MOST} or more in row "), F.col("id").cast("string")))
     return (
         vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
         .filter(usable)
@@ -40,7 +45,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         .select(
             F.monotonically_increasing_id().alias("row"),
             "id",
-            F.transform("v", lambda x: F.floor(x * SCALE).cast("long")).alias("q"),
+            F.when(far, refused).otherwise(whole).alias("q"),
         )
     )
 
@@ -164,15 +169,18 @@ def search_top_k(
     """The k best rows for each row that ``query`` picks: ``query_id``, ``rank``, ``vec_id``
     and ``score``. Ids are integers.
 
-    Every chunk of queries meets every block of the index in a task of its own, whatever
-    their number; each returns at most k rows a query.
+    Every chunk of queries meets every block of the index in a task of its own, one query
+    after another, whatever their number; each returns at most k rows a query. The index is sent
+    once per ``chunk`` queries, or as often as it takes to give every core a task.
     """
     rows = stored(quantised(vectors, id_col, vector_col), "vectors")
     n = rows.count()
     blocks = max(1, -(-n // block))
     index = stored(build_index(rows, blocks), "index")
     picked = rows.withColumnRenamed("id", id_col).filter(query).withColumnRenamed(id_col, "id")
-    chunks = max(1, -(-picked.count() // chunk))
+    asking = picked.count()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, -(-asking // chunk), min(-(-asking // 128), -(-cores // blocks)))
     asked = picked.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)).cast("int"))
     asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     spread = index.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
@@ -191,6 +199,8 @@ def search_top_k(
             every = np.pad(every, (0, own[0][1].shape[1] * 8 - len(every))).view(np.uint64)
             for number, query_id, q in zip(queries["row"], queries["id"], queries["q"]):
                 constant, sums = add_slices([int(x) for x in q], own)
+                if len(sums) > 62 or abs(constant) >> 62:
+                    raise OverflowError(f"scores of row {query_id} may be beyond a LONG")
                 allowed = every.copy()
                 for i in np.flatnonzero(numbers == number):
                     allowed[i // 64] &= ~(np.uint64(1) << np.uint64(i % 64))

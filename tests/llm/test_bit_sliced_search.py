@@ -84,3 +84,9 @@ def test_sums_of_slices_are_exact():
         assert set(best) == set(np.flatnonzero(found >= boundary))
 
 
+def test_scores_beyond_a_long_are_refused(spark):
+    for far in (1e9, 1e30):
+        with pytest.raises(Exception, match="beyond a LONG|or more in row 50"):
+            search(spark, [(50, [far, 1.0]), (1, [far, 1.0])])
+    rows = [(0, [3e6, 1.0]), (1, [-3e6, 5.0]), (2, [3e6, 1.5])]
+    assert search(spark, rows) == by_hand(rows, 5, lambda i: i % 50 == 0)
