@@ -29,19 +29,21 @@ from receivables.llm.common import map_rows, type_of
 
 THRESHOLD = 0.15
 SHARED = 0.25
-MOST_DEPTH = 32  # of a path, from its lower end: what tells paths apart
 
 # Element names and the words that name parts around an article.
 SKIPPED = frozenset(
-    "script style noscript template svg math head title iframe object embed canvas audio video "
-    "nav aside form button select textarea input label menu dialog footer option datalist "
-    "fieldset map".split()
+    "script style noscript template svg head title iframe object embed canvas audio video "
+    "nav aside button select textarea input label menu dialog footer option datalist map "
+    "annotation annotation-xml".split()
 )
+FORMS = frozenset("form fieldset".split())
 RAW = frozenset("script style noscript template iframe textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr".split()
+    "samp small span strike strong sub sup time tt u var wbr "
+    "math semantics mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover "
+    "munderover mtable mtr mtd mmultiscripts mprescripts mpadded mphantom merror menclose".split()
 )
 ARTICLE = frozenset("article main".split())
 LISTS = frozenset("ul ol dl table".split())
@@ -63,6 +65,7 @@ AROUND = re.compile(
     r"ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|"
     r"popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|menu|nav|navbar|navigation|"
     r"breadcrumbs?|share|sharing|social|related|recommended|comments?|replies|reply|disqus|"
+    r"commentlist|discussion|respond|"
     r"footer|masthead|toolbar|topbar|site-header|page-header|pagination|pager|widget",
     re.IGNORECASE,
 )
@@ -73,17 +76,20 @@ PLACES = frozenset(
     "link links list outer panel post posts right section title top bottom widgets wrap wrapper".split()
 )
 NOT_SELF = frozenset("with has no".split())
+COMMENTS = frozenset("comment comments reply replies disqus commentlist discussion respond".split())
+REMAINS = 60  # characters and a mark of punctuation: what is a text of its own beside comments
 MOST = 0.5  # of a page's text and punctuation; what holds more is not left out by its name
 ONLY_LINKS = 0.8  # share of links in the text of a list that is one of links
 LINKED = 0.5  # share of links in the text of a part whose name only holds a telling word
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
+    # A quote counts behind an equals sign alone.
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*)(?:>|\Z)",
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。、，！？]")
-ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert".split())
+ROLES = frozenset("navigation banner contentinfo complementary search dialog alert".split())
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -112,9 +118,10 @@ def _hidden(attributes: dict[str, str]) -> bool:
     )
 
 
-def _out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    """Whether the element is never content by what it is, with all it holds."""
-    if tag in SKIPPED or tag == "header" and not in_article:
+def _out(tag: str, attributes: dict[str, str], in_article: bool, in_quote: bool) -> bool:
+    """Whether the element is never content by what it is, with all it holds. A quote's footer
+    names its author."""
+    if tag in SKIPPED and not (tag == "footer" and in_quote) or tag == "header" and not in_article:
         return True
     if not attributes or tag in ("html", "body", "article", "main"):
         return False
@@ -122,7 +129,7 @@ def _out(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
 
 
 class Named(NamedTuple):
-    """What an element's class and id say of it."""
+    """What an element's class and id say of it; of a form, that it is one."""
 
     words: frozenset[str]  # that tell of parts around an article
     sure: bool  # a name means such a part, instead of only holding its word
@@ -130,6 +137,8 @@ class Named(NamedTuple):
 
 
 def _named(tag: str, attributes: dict[str, str]) -> Named | None:
+    if tag in FORMS or attributes.get("role", "").strip().lower() == "form":
+        return Named(frozenset(["form"]), True, False)
     if not attributes or tag in ("html", "body", "article", "main"):
         return None
     names = " ".join(attributes.get(name, "") for name in ("class", "id")).lower().split()
@@ -162,17 +171,47 @@ class Element(NamedTuple):
     named: Named | None
 
 
+class Paths:
+    """Paths of block-level tags by number, each one tag longer than another; 0 is the empty one."""
+
+    def __init__(self):
+        self.above, self.tags, self.articles = [0], [""], [-1]
+        self.steps: dict[tuple[int, str], int] = {}
+
+    def step(self, path: int, tag: str) -> int:
+        place = self.steps.get((path, tag))
+        if place is None:
+            place = self.steps[path, tag] = len(self.tags)
+            self.above.append(path)
+            self.tags.append(tag)
+            inside = self.articles[path]
+            self.articles.append(inside if inside >= 0 or tag not in ARTICLE else place)
+        return place
+
+    def article(self, path: int) -> int:
+        """The path down to the outermost marked article, or the path itself."""
+        return self.articles[path] if self.articles[path] >= 0 else path
+
+    def spelt(self, path: int) -> tuple[str, ...]:
+        tags = []
+        while path:
+            tags.append(self.tags[path])
+            path = self.above[path]
+        return tuple(reversed(tags))
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]  # of block-level tags
+    path: int  # of block-level tags
     element: int
     pieces: list[tuple[int, str]]  # the element that holds each, and its text
 
 
-def read(page: str) -> tuple[list[Element], list[Block]]:
-    """The elements in page order, after the page itself, and the blocks of text."""
+def read(page: str) -> tuple[Paths, list[Element], list[Block]]:
+    """The paths, the elements in page order, after the page itself, and the blocks of text."""
+    known = Paths()
     elements = [Element(0, "", -1, -1, None)]
     found: list[Block] = []
-    paths: list[tuple[str, ...]] = [()]  # of the open block-level elements
+    paths = [0]  # of the open block-level elements
     places = [0]  # of the open block-level elements
     open_: list[tuple[str, bool, bool, int]] = []  # tag, whether a block, whether left out, place
     names: Counter[str] = Counter()  # of the open elements
@@ -240,7 +279,7 @@ def read(page: str) -> tuple[list[Element], list[Block]]:
             end_block()
         in_article = any(names[name] for name in ARTICLE)
         attributes = _attributes(token.group(3)) if token.group(3) and not out else {}
-        left_out = _out(tag, attributes, in_article)
+        left_out = _out(tag, attributes, in_article, names["blockquote"] > 0)
         if out or left_out:
             place = open_[-1][3] if open_ else 0  # holds no text
         else:
@@ -254,17 +293,14 @@ def read(page: str) -> tuple[list[Element], list[Block]]:
         names[tag] += 1
         out += left_out
         if block:
-            path = (*paths[-1], tag)
-            if len(path) > MOST_DEPTH:
-                path = ("article",) * in_article + path[-MOST_DEPTH + in_article :]
-            paths.append(path)
+            paths.append(known.step(paths[-1], tag))
             places.append(place)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else n
     close(0)
     end_block()
-    return elements, found
+    return known, elements, found
 
 
 def _text(pieces: Iterable[tuple[int, str]]) -> str:
@@ -278,6 +314,8 @@ def _left_out(elements: list[Element], found: list[Block]) -> list[bool]:
     text and punctuation is not left out, be it one element or all those of a word together;
     unless the page marks an article elsewhere and the name says nothing else. A name that
     only holds a telling word ('social-impact') needs most of the text to be links as well.
+    Readers' comments may outweigh the story: whatever their share, they are left out if a text
+    of its own remains beside them.
     """
     if not any(element.named for element in elements):
         return [False] * len(elements)
@@ -323,12 +361,24 @@ def _left_out(elements: list[Element], found: list[Block]) -> list[bool]:
             elsewhere = element.named.sure and element.named.alone and page[3] > sums[place][3]
             likely[place] = elsewhere or any(together[word] <= MOST for word in element.named.words)
         left_out[place] = likely[place] or place > 0 and left_out[element.parent]
-    return left_out
 
+    def comments(element: Element) -> bool:
+        return element.named is not None and element.named.sure and bool(element.named.words & COMMENTS)
 
-def parts(page: str) -> tuple[list[Element], list[tuple[Block, str]]]:
-    """The elements, and the blocks that no name leaves out, with their texts."""
-    elements, found = read(page)
+    # What remains beside what is left out and all comments.
+    remains, outside = [page[0], page[1]], [False] * len(elements)
+    for place, element in enumerate(elements):
+        outside[place] = left_out[place] or comments(element)
+        if place and outside[element.parent]:
+            outside[place] = True
+        elif outside[place]:
+            remains = [remains[i] - sums[place][i] for i in (0, 1)]
+    return outside if remains[0] >= REMAINS and remains[1] else left_out
+
+
+def parts(page: str) -> tuple[Paths, list[Element], list[tuple[Block, str]]]:
+    """The paths and elements, and the blocks that no name leaves out, with their texts."""
+    paths, elements, found = read(page)
     left_out = _left_out(elements, found)
     kept = []
     for block in found:
@@ -336,15 +386,16 @@ def parts(page: str) -> tuple[list[Element], list[tuple[Block, str]]]:
         text = _text(pieces)
         if text:
             kept.append((block._replace(pieces=pieces), text))
-    return elements, kept
+    return paths, elements, kept
 
 
 def blocks(page: str) -> list[tuple[tuple[str, ...], str]]:
     """The blocks of text in page order, each with its path of block-level tags."""
-    return [(block.path, text) for block, text in parts(page)[1]]
+    paths, _, kept = parts(page)
+    return [(paths.spelt(block.path), text) for block, text in kept]
 
 
-def _link_lists(elements: list[Element], kept: list[tuple[Block, str]]) -> list[bool]:
+def _link_lists(paths: Paths, elements: list[Element], kept: list[tuple[Block, str]]) -> list[bool]:
     """For each block whether it lies in a list, or is a run, of nothing much but links."""
     lists = [0] * len(elements)  # the innermost list around each element
     for place, element in enumerate(elements):
@@ -363,12 +414,12 @@ def _link_lists(elements: list[Element], kept: list[tuple[Block, str]]) -> list[
     return [
         len(links[group]) > 1
         and linked[group] >= ONLY_LINKS * chars[group]
-        and block.path[-1:] not in {(tag,) for tag in HEADINGS}
+        and paths.tags[block.path] not in HEADINGS
         for group, (block, _) in zip(groups, kept)
     ]
 
 
-def _ratios(sums: dict[tuple[str, ...], tuple[int, int]]) -> dict[tuple[str, ...], float]:
+def _ratios(sums: dict[int, tuple[int, int]]) -> dict[int, float]:
     """For each path its characters and punctuation against the most of any, 1 at best."""
     longest = max(n for n, _ in sums.values())
     most = max(max(m for _, m in sums.values()), 1)
@@ -377,41 +428,42 @@ def _ratios(sums: dict[tuple[str, ...], tuple[int, int]]) -> dict[tuple[str, ...
     return {path: own / best for path, own in ratio.items()}
 
 
-def content(elements: list[Element], kept: list[tuple[Block, str]]) -> list[str]:
+def content(paths: Paths, elements: list[Element], kept: list[tuple[Block, str]]) -> list[str]:
     """The texts of the blocks that are content."""
     if not kept:
         return []
-    length: Counter[tuple[str, ...]] = Counter()
-    marks: Counter[tuple[str, ...]] = Counter()
+    length: Counter[int] = Counter()
+    marks: Counter[int] = Counter()
     for block, text in kept:
         length[block.path] += len(text)
         marks[block.path] += len(PUNCTUATION.findall(text))
     sums = {path: (length[path], marks[path]) for path in length}
     ratio = _ratios(sums)
     # What a page marks as its article counts once more, by its part of all that is marked.
-    marked = {path: own for path, own in sums.items() if ARTICLE & set(path)}
+    marked = {path: own for path, own in sums.items() if paths.articles[path] >= 0}
     if marked:
         for path, own in _ratios(marked).items():
             ratio[path] += own
     # What belongs together shares its ratio: a heading with the paragraphs beside it, and
     # lists, quotes and tables with what holds the content; lists of links stand alone.
-    around: dict[tuple[str, ...], float] = defaultdict(float)
+    around: dict[int, float] = defaultdict(float)
+    beside = {path: {path, paths.above[path], paths.article(path)} for path in ratio}
     for path, own in ratio.items():
-        for near in {path, path[:-1], _article(path)}:
+        for near in beside[path]:
             around[near] = max(around[near], own)
-    beside = {path: max(around[near] for near in (path, path[:-1], _article(path))) for path in ratio}
+    shares = {path: max(around[near] for near in places) for path, places in beside.items()}
     inside = _inside(elements, kept, ratio)
     least = THRESHOLD * max(ratio.values())
     texts = []
-    for (block, text), within, alone in zip(kept, inside, _link_lists(elements, kept)):
-        shared = SHARED * max(beside[block.path], within)
+    for (block, text), within, alone in zip(kept, inside, _link_lists(paths, elements, kept)):
+        shared = SHARED * max(shares[block.path], within)
         if ratio[block.path] >= least or not alone and shared >= least:
             texts.append(text)
     return texts
 
 
 def _inside(
-    elements: list[Element], kept: list[tuple[Block, str]], ratio: dict[tuple[str, ...], float]
+    elements: list[Element], kept: list[tuple[Block, str]], ratio: dict[int, float]
 ) -> list[float]:
     """For each block the best ratio of what lies right in an element around it; between the
     first and the last block of the best path, also that of the element around these two.
@@ -445,11 +497,6 @@ def _inside(
     return [best if i in between else shared[block.element] for i, (block, _) in enumerate(kept)]
 
 
-def _article(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path down to the outermost marked article, or the path itself."""
-    return next((path[: i + 1] for i, tag in enumerate(path) if tag in ARTICLE), path)
-
-
 def extract(page: str | None) -> str:
     return " ".join(content(*parts(page or "")))
 

@@ -1,3 +1,4 @@
+import random
 import re
 from html import unescape
 
@@ -46,6 +47,88 @@ def test_pages(page, text):
     assert H.extract(page) == text
 
 
+STORY = "First, a sentence with words, and more of them. Second one, as long as the first, or so."
+COMMENTS = "".join(f"<li><p>I do not think so, not at all, and say it at length. Number {i}.</p></li>" for i in range(9))
+
+
+@pytest.mark.parametrize("around", ["<form id=aspnetForm>{}</form>", "<div role=form>{}</div>", "<fieldset>{}</fieldset>"])
+def test_a_form_around_the_page_is_kept_without_its_controls(around):
+    page = f"<input><div>{ARTICLE}</div><button>Go on.</button><label>Name.</label>"
+    assert H.extract(f"<body>{around.format(page)}</body>") == STORY
+    small = around.format("Search, if you like.<input>")
+    assert H.extract(f"<body>{small}<div>{ARTICLE}</div>{small}</body>") == STORY
+
+
+@pytest.mark.parametrize("tag", ['<div class="x"">', "<div class='x''>", '<div "x">', '<div a=b" c>', "<div it's>"])
+def test_stray_quotes_in_a_tag(tag):
+    assert H.extract(f'{tag}{ARTICLE}</div><a href="y">z</a>') .startswith(STORY)
+    assert H.extract(f'<div title="a > b" data-x = \'>\'>{ARTICLE}</div>') == STORY
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        '<div id="comments" class="comments-area"><ul>{}</ul></div>',
+        '<ol class="commentlist">{}</ol>',
+        '<section class="discussion">{}</section>',
+        '<div id="respond">{}</div>',
+        '<div class="replies">{}</div>',
+    ],
+)
+def test_comments_that_outweigh_the_story(part):
+    comments = part.format(COMMENTS)
+    assert H.extract(f"<body><div>{ARTICLE}</div>{comments}</body>") == STORY
+    assert H.extract(f"<body><article>{ARTICLE}{comments}</article></body>") == STORY
+    alone = H.extract(f"<body><nav>Menu.</nav>{comments}</body>")  # the page has nothing else
+    assert alone.count("Number") == 9
+
+
+def test_formulas_and_footers_of_quotes():
+    formula = "<math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>"
+    assert H.extract(f"<article><p>Let {formula} hold.</p></article>") == "Let x=1 hold."
+    quote = "<blockquote><p>To be.</p><footer>Hamlet</footer></blockquote>"
+    assert H.extract(f"<article>{ARTICLE}{quote}</article><footer>f</footer>") == f"{STORY} To be. Hamlet"
+
+
+def test_paths_are_told_apart_however_deep():
+    deep = "<div>" * 40 + "<p>{}</p>" + "</div>" * 40
+    page = f"<section>{deep.format('a')}</section><main>{deep.format('b')}</main>"
+    assert [path[0] for path, _ in H.blocks(page)] == ["section", "main"]
+    assert {len(path) for path, _ in H.blocks(page)} == {42}
+
+
+def test_ratios_by_sums_over_spelt_paths():
+    """Brute force: every block's path spelt out, its text and punctuation summed up anew."""
+    rng = random.Random(8)
+    for _ in range(60):
+        page, open_ = "", []
+        for _ in range(rng.randrange(5, 60)):
+            if rng.random() < 0.5:
+                open_.append(rng.choice(["div", "section", "p", "ul", "li", "article", "blockquote"]))
+                page += f"<{open_[-1]}>"
+            elif open_ and rng.random() < 0.5:
+                page += f"</{open_.pop()}>"
+            else:
+                page += rng.choice(["One, two. ", "three ", "<b>four!</b> ", "five; six, seven. "]) * rng.randrange(1, 9)
+        paths, _, kept = H.parts(page)
+        sums = {}
+        for block, text in kept:
+            n, marks = sums.get(block.path, (0, 0))
+            sums[block.path] = n + len(text), marks + len(re.findall("[.,;:!?]", text))
+        found = {paths.spelt(path): ratio for path, ratio in H._ratios(sums).items()} if sums else {}
+        spelt = [path for path, _ in H.blocks(page)]
+        texts = [text for _, text in H.blocks(page)]
+        best, expected = 0, {}
+        for path in set(spelt):
+            own = [t for p, t in zip(spelt, texts) if p == path]
+            expected[path] = sum(map(len, own)), sum(len(re.findall("[.,;:!?]", t)) for t in own)
+        longest = max((n for n, _ in expected.values()), default=1)
+        most = max(1, max((m for _, m in expected.values()), default=1))
+        fused = {path: n / longest + m / most for path, (n, m) in expected.items()}
+        best = max(fused.values(), default=1)
+        assert found == pytest.approx({path: value / best for path, value in fused.items()})
+
+
 def test_deep_and_long_pages():
     assert H.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
     text = "word, and more. " * 50_000
