@@ -43,6 +43,7 @@ from math import comb, log
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -387,7 +388,7 @@ def candidates(
 
 
 def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """``key`` and ``body``: a text of each hash in ``wanted``'s column ``text``, and, as a
+    """``key`` and ``body``, packed: a text of each hash in ``wanted``'s column ``text``, and, as a
     bitmap is asked, some others."""
     bits = wanted.select(F.shiftrightunsigned("text", 64 - FILTER_BITS).alias("p")).select(
         F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 AS int))").alias("bit")
@@ -398,7 +399,7 @@ def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
     shared = share(docs.sparkSession, words.view(np.uint64))
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap, seen = shared.value["model"], set()
+        bitmap, seen, packer = shared.value["model"], set(), zstandard.ZstdCompressor()
         for batch in batches:
             keys = batch.column(0).to_numpy()
             place = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
@@ -407,10 +408,13 @@ def _texts_of(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
             if len(seen) > 100_000:
                 seen.clear()
             seen.update(keys[rows].tolist())
-            yield batch.take(pa.array(rows, pa.int64()))
+            for first in range(0, len(rows), 256):
+                part = batch.take(pa.array(rows[first : first + 256], pa.int64()))
+                bodies = [packer.compress((text or "").encode()) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(bodies, pa.binary())], ["key", "body"])
 
     texts = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("body"))
-    picked = texts.mapInArrow(pick, "key long, body string")
+    picked = texts.mapInArrow(pick, "key long, body binary")
     return picked.groupBy("key").agg(F.first("body").alias("body"))
 
 
@@ -439,7 +443,7 @@ def linked(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame,
     rows = wanted.join(texts, wanted["text"] == texts["key"]).select("lead", "part", "side", "c", "set", "body")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, first = None, None
+        at, first, unpacker = None, None, zstandard.ZstdDecompressor()
         for batch in batches:
             found: list[tuple[int, int]] = []
             for start in range(0, batch.num_rows, 256):
@@ -447,7 +451,7 @@ def linked(docs: DataFrame, text_col: str, classes: DataFrame, pairs: DataFrame,
                 for lead, number, c, name, body in zip(*(part[k] for k in ("lead", "part", "c", "set", "body"))):
                     if (lead, number) != at:
                         at, first = (lead, number), None
-                    items = shingles(body, width)
+                    items = shingles(unpacker.decompress(body).decode(), width)
                     if xxhash.xxh3_128_digest(items.tobytes()) != name:  # another text of that hash
                         continue
                     if first is None:
