@@ -13,8 +13,9 @@ ways that leave the path become new sets, one for each node. The inclusion score
 segmentation is the probability that its perturbed value lies above that of the first one
 not drawn.
 
-Pieces never cross from a word to the blank mark of the next or over a line break, so the
-lattice is made of chunks that are worked out once per worker. The model is a merge list
+Where two characters stand side by side in no piece, every path has a node between them, so a
+text is cut there into chunks (at the latest before a blank and around a line break), whose
+lattices are worked out once per worker and remembered. The model is a merge list
 without probabilities; a piece of rank r is given weight 1 / (r + 3). Random numbers
 depend on the seed, the row's key and the place in the text alone.
 
@@ -26,13 +27,12 @@ table gives an empty one; further columns of the input are ignored.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator, Sequence
-from math import inf, log
+from math import exp, inf, log
 from typing import NamedTuple
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 
 from receivables.llm.common import map_rows, per_worker, share, type_of
@@ -40,7 +40,8 @@ from receivables.llm.common import map_rows, per_worker, share, type_of
 SAMPLES = 2
 SEED = 1
 MARK = "▁"
-CHUNK = re.compile("▁+[^▁\n]*|[^▁\n]+|\n")
+#: Chunks, and the steps of a walk, that go on when so few others do are done one by one.
+FEW = 12
 AT_ONCE = 1 << 20  # characters sampled side by side
 MOST_CHUNKS = 200_000  # about 170 MB
 
@@ -73,8 +74,6 @@ class Vocabulary:
         steps: dict[int, int] = {}
         for rank, i in enumerate(ranked):
             piece = self.pieces[i]
-            if CHUNK.fullmatch(piece) is None:
-                raise ValueError(f"piece {piece!r} reaches over chunks")
             self.weights[i] = -log((rank + 3) * total)
             for end in range(1, len(piece) + 1):
                 if piece[:end] not in states:
@@ -82,14 +81,66 @@ class Vocabulary:
                     steps[states[piece[: end - 1]] << 21 | ord(piece[end - 1])] = len(ends)
                     ends.append(-1)
             ends[states[piece]] = i
-        self.step_keys = np.array(sorted(steps), np.int64)
-        self.step_to = np.array([steps[k] for k in self.step_keys.tolist()], np.int64)
+        self._hash_steps(np.array(list(steps), np.int64), np.array(list(steps.values()), np.int64))
+        held = {pair for i in ranked for pair in zip(self.pieces[i], self.pieces[i][1:])}
+        letters = sorted({c for pair in held for c in pair})
+        self.letter = np.zeros(0x110000, np.int32)  # 0: in no pair
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        place = {c: i for i, c in enumerate(letters, 1)}
+        self.held = np.zeros((len(letters) + 1, len(letters) + 1), bool)
+        for one, other in held:
+            self.held[place[one], place[other]] = True
         self.ends = np.array(ends, np.int64)
         self.bytes = {int(self.pieces[i][3:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_weight = -log((len(ranked) + 3) * total)
         self.spelt = [piece.encode() for piece in self.pieces]
         for byte, i in self.bytes.items():
             self.spelt[i] = bytes([byte])
+        self.letters = np.frombuffer(b"".join(self.spelt), np.uint8)
+        self.spelt_sizes = np.array([len(piece) for piece in self.spelt], np.int64)
+        self.spelt_from = np.cumsum(self.spelt_sizes) - self.spelt_sizes
+
+    def _hash_steps(self, keys: np.ndarray, to: np.ndarray) -> None:
+        """A table of the steps by a hash of (state, character); a key lies at its hash's place
+        or one of the next ``reach``."""
+        size = 1 << max(4, (4 * len(keys)).bit_length())
+        self.mask, self.reach = size - 1, 0
+        self.step_keys, self.step_to = np.full(2 * size, -1), np.zeros(2 * size, np.int64)
+        place, left = self._place(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.step_keys[place[left]] < 0]
+            _, first = np.unique(place[free], return_index=True)
+            put = free[first]
+            self.step_keys[place[put]], self.step_to[place[put]] = keys[put], to[put]
+            left = np.setdiff1d(left, put)
+            place[left] += 1
+            self.reach += 1
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * _MIX[2]) >> np.uint64(40)).astype(np.int64) & self.mask
+
+    def _step(self, keys: np.ndarray) -> np.ndarray:
+        """The states that the steps lead to, -1 where there is none."""
+        place = self._place(keys)
+        found = np.where(self.step_keys[place] == keys, self.step_to[place], -1)
+        open_ = np.flatnonzero((found < 0) & (self.step_keys[place] >= 0))
+        for i in range(1, self.reach):
+            if not len(open_):
+                break
+            at = place[open_] + i
+            here = self.step_keys[at]
+            on = here == keys[open_]
+            found[open_[on]] = self.step_to[at[on]]
+            open_ = open_[~on & (here >= 0)]
+        return found
+
+    def cuts(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a chunk begins at each character: no piece holds it and the one before."""
+        letter = self.letter[codes]
+        begins = np.ones(len(codes), bool)
+        begins[1:] = ~self.held[letter[:-1], letter[1:]]
+        return begins
 
     def matches(self, codes: np.ndarray, behind: np.ndarray) -> tuple[np.ndarray, ...]:
         """Every piece that lies in the characters: first place, length and id. ``behind``
@@ -97,10 +148,9 @@ class Vocabulary:
         at, state, found = np.arange(len(codes)), np.zeros(len(codes), np.int64), []
         length = 0
         while len(at):
-            key = state << 21 | codes[at + length]
-            place = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
-            known = self.step_keys[place] == key
-            at, state, length = at[known], self.step_to[place[known]], length + 1
+            state = self._step(state << 21 | codes[at + length])
+            known = state >= 0
+            at, state, length = at[known], state[known], length + 1
             piece = self.ends[state]
             ending = piece >= 0
             found.append((at[ending], np.full(ending.sum(), length), piece[ending]))
@@ -108,6 +158,15 @@ class Vocabulary:
             at, state = at[inside], state[inside]
         return tuple(np.concatenate(x) for x in zip(*found))
 
+    def spells(self, ids: np.ndarray, text: bytes) -> bool:
+        """Whether the ids spell the text."""
+        sizes = self.spelt_sizes[ids]
+        ends = np.cumsum(sizes)
+        if not len(ids) or ends[-1] != len(text):
+            return len(ids) == len(text) == 0
+        places = np.repeat(self.spelt_from[ids] - (ends - sizes), sizes) + np.arange(len(text))
+        return self.letters[places].tobytes() == text
+
     def spell(self, ids: Sequence[int]) -> bytes:
         return b"".join(map(self.spelt.__getitem__, ids))
 
@@ -123,19 +182,32 @@ class Lattices(dict):
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
         self.vocabulary = vocabulary
+        self._room: dict[str, np.ndarray] = {}
         self.start_over()
 
     def start_over(self) -> None:
         self.clear()
         self.new: list[str] = []
         self.n_nodes = 0
-        self.first = np.zeros(1, np.int64)  # a node's first edge; one more at the end
+        self.first = np.zeros(1, np.int32)  # a node's first edge; one more at the end
         self.up_to = np.zeros(0)  # summed probability
         self.chance = np.zeros(0)
         self.next = np.zeros(0, np.int32)  # node, or -1 behind the chunk
-        self.id_from = np.zeros(1, np.int64)  # an edge's first id; one more at the end
+        self.id_from = np.zeros(1, np.int32)  # an edge's first id; one more at the end
         self.ids = np.zeros(0, np.int32)
 
+    def _extend(self, name: str, new: np.ndarray) -> None:
+        """Puts ``new`` behind a table, in room kept for it."""
+        known = getattr(self, name)
+        room, n = self._room.get(name), len(known) + len(new)
+        if room is None or len(room) < n:
+            room = self._room[name] = np.empty(max(n, 3 * n // 2), known.dtype)
+            room[: len(known)] = known
+        elif known.base is not room:
+            room[: len(known)] = known
+        room[len(known) : n] = new
+        setattr(self, name, room[:n])
+
     def __missing__(self, chunk: str) -> int:
         self[chunk] = node = self.n_nodes
         self.n_nodes += len(chunk)
@@ -173,19 +245,26 @@ class Lattices(dict):
         to = start + length
         last = to == behind[start]
         counts = np.bincount(start, minlength=n)
-        # Backward sums, all nodes equally far from their chunks' ends at once.
+        # Backward sums, all nodes equally far from their chunks' ends at once, and what is left
+        # of a few long chunks one by one.
         below_, total = np.zeros(n + 1), weight.copy()
         far = behind[start] - start
         by_far = np.argsort(far, kind="stable")
         bounds = np.searchsorted(far[by_far], np.arange(far.max() + 2))
-        for d in range(1, len(bounds) - 1):
+        sizes_by_far = np.diff(bounds[1:])
+        crowded = np.flatnonzero(sizes_by_far > 4 * FEW)
+        together = int(crowded[-1]) + 2 if len(crowded) else 1
+        for d in range(1, together):
             edges = by_far[bounds[d] : bounds[d + 1]]
+            if not len(edges):
+                continue
             x = weight[edges] + np.where(last[edges], 0.0, below_[to[edges]])
             total[edges] = x
             cuts = np.flatnonzero(np.diff(start[edges], prepend=-1))
             top = np.maximum.reduceat(x, cuts)
             of = np.repeat(np.arange(len(cuts)), np.diff(cuts, append=len(edges)))
             below_[start[edges[cuts]]] = top + np.log(np.add.reduceat(np.exp(x - top[of]), cuts))
+        self._one_by_one(by_far[bounds[together] :], start, to, last, weight, below_, total)
         chance = np.exp(total - below_[start])
         ends = np.cumsum(counts)
         summed = np.cumsum(chance)
@@ -198,14 +277,39 @@ class Lattices(dict):
         from_ = np.concatenate([[0], np.cumsum(n_ids)])
         flat = np.concatenate([piece, np.array(sum(letters, []), np.int64)]).astype(np.int32)
         ids = flat[np.repeat(own - from_[:-1], n_ids) + np.arange(from_[-1])]
-        self.first = np.concatenate([self.first, self.first[-1] + ends])
-        self.up_to = np.concatenate([self.up_to, up_to])
-        self.chance = np.concatenate([self.chance, chance])
-        self.next = np.concatenate([self.next, np.where(last, -1, base + to).astype(np.int32)])
-        self.id_from = np.concatenate([self.id_from, self.id_from[-1] + from_[1:]])
-        self.ids = np.concatenate([self.ids, ids])
+        self._extend("first", self.first[-1] + ends)
+        self._extend("up_to", up_to)
+        self._extend("chance", chance)
+        self._extend("next", np.where(last, -1, base + to))
+        self._extend("id_from", self.id_from[-1] + from_[1:])
+        self._extend("ids", ids)
         self.new = []
 
+    @staticmethod
+    def _one_by_one(edges, start, to, last, weight, below_, total) -> None:
+        """Backward sums over ``edges``, those nearest to their chunks' ends first."""
+        sums: dict[int, float] = {}
+        rows = zip(*(x[edges].tolist() for x in (start, to, last, weight)), below_[to[edges]].tolist())
+        node, own, numbers = -1, [], edges.tolist()
+        found = []
+
+        def close() -> None:
+            top = max(own)
+            sums[node] = top + log(sum(exp(x - top) for x in own))
+
+        for begin, end, is_last, w, known in rows:
+            if begin != node:
+                if own:
+                    close()
+                node, own = begin, []
+            x = w if is_last else w + sums.get(end, known)
+            own.append(x)
+            found.append(x)
+        if own:
+            close()
+        total[numbers] = found
+        below_[list(sums)] = list(sums.values())
+
     def ids_of(self, edges: np.ndarray) -> np.ndarray:
         first, n = self.id_from[edges], self.id_from[edges + 1] - self.id_from[edges]
         if (n == 1).all():
@@ -266,7 +370,7 @@ class Sampler:
         lattices = self.lattices
         at, steps, step = np.arange(len(nodes)), [], 0
         node = nodes
-        while len(at):
+        while len(at) > FEW:
             u = uniform(keys[at], draw, parts[at], step)
             edge = lattices.first[node]
             later = np.flatnonzero(u >= lattices.up_to[edge])
@@ -279,22 +383,50 @@ class Sampler:
             at, node, step = at[going], node[going], step + 1
         # A part has an entry in each step up to its last one.
         counts = np.zeros(len(nodes), np.int64)
-        for at, _, _ in steps:
-            counts[at] += 1
+        for some, _, _ in steps:
+            counts[some] += 1
+        ends = [self._walk_on(keys[i : i + 1], draw, parts[i], n, step) for i, n in zip(at.tolist(), node.tolist())]
+        counts[at] += np.array([len(edges) for _, edges in ends], np.int64)
         before = np.cumsum(counts) - counts
         all_nodes, all_edges = np.empty((2, counts.sum()), np.int64)
-        for step, (at, node, edge) in enumerate(steps):
-            places = before[at] + step
+        for i, (some, node, edge) in enumerate(steps):
+            places = before[some] + i
             all_nodes[places], all_edges[places] = node, edge
+        for i, (own_nodes, own_edges) in zip(at.tolist(), ends):
+            place = slice(before[i] + step, before[i] + step + len(own_edges))
+            all_nodes[place], all_edges[place] = own_nodes, own_edges
         return np.repeat(np.arange(len(nodes)), counts), all_nodes, all_edges
 
+    def _walk_on(self, key, draw: int, part, node: int, step: int) -> tuple[list[int], list[int]]:
+        """The rest of one part's walk: nodes and edges, with the same numbers as ``_walk``."""
+        first, up_to, next_ = self.lattices.first, self.lattices.up_to, self.lattices.next
+        nodes, edges, ahead = [], [], 8
+        while node >= 0:
+            for u in uniform(key, draw, part, np.arange(step, step + ahead)).tolist():
+                edge = int(first[node])
+                while u >= up_to[edge]:
+                    edge += 1
+                nodes.append(node)
+                edges.append(edge)
+                node = int(next_[edge])
+                if node < 0:
+                    break
+            step, ahead = step + ahead, min(2 * ahead, 4096)
+        return nodes, edges
+
     def sample(self, texts: Sequence[str], keys: Sequence[int], k: int) -> list[list[Sample]]:
         """For each text its k samples, best first."""
         texts = [normalised(text) for text in texts]
-        chunks = [CHUNK.findall(text) for text in texts]
-        sizes = np.array([len(found) for found in chunks], np.int64)
-        starts = np.cumsum(sizes) - sizes
-        first = self.lattices.nodes([chunk for found in chunks for chunk in found])
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        begins = self.vocabulary.cuts(codes)
+        ends = np.cumsum([len(text) for text in texts])
+        begins[ends[ends < len(codes)]] = True
+        at = np.flatnonzero(begins)
+        starts = np.searchsorted(at, np.concatenate([[0], ends[:-1]]))
+        sizes = np.diff(starts, append=len(at))
+        bounds = [*at.tolist(), len(joined)]
+        first = self.lattices.nodes([joined[a:b] for a, b in zip(bounds, bounds[1:])])
         key = np.array([(self.seed * 0x9E3779B97F4A7C15 + x) % 2**64 for x in keys], np.uint64)
         text_of = np.repeat(np.arange(len(texts)), sizes)
         part = np.arange(len(first)) - starts[text_of]
@@ -304,10 +436,12 @@ class Sampler:
         waiting: list[list[tuple]] = [[] for _ in texts]  # (-priority, path, step, edges left out)
         places, nodes, edges = self._walk(key[text_of], 1, part, first)
         owner = text_of[places]
-        cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
+        cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
+        found = []
         for i in range(len(texts)):
             own = slice(cuts[i], cuts[i + 1])
-            self._add(drawn[i], waiting[i], key[i], k, float(top[i]), None, 0, edges[own], nodes[own], part[places[own]])
+            found.append((i, float(top[i]), None, 0, edges[own], nodes[own], part[places[own]], ()))
+        self._add(drawn, waiting, key, k, 0, found)
         for draw in range(1, k):
             ways = [(i, *waiting[i].pop(0)) for i in range(len(texts)) if waiting[i]]
             if not ways:
@@ -321,22 +455,23 @@ class Sampler:
             parts = np.concatenate([tail[2] for tail in tails]).astype(np.int64)
             begin = np.concatenate([tail[3] for tail in tails]).astype(np.int64)
             places, nodes, edges = self._walk(keys_of, draw + 1, parts, begin)
-            cuts = np.searchsorted(places, np.concatenate([[0], np.cumsum(n)]))
+            cuts = np.searchsorted(places, np.concatenate([[0], np.cumsum(n)])).tolist()
+            found = []
             for w, ((i, minus, number, step, out), tail) in enumerate(zip(ways, tails)):
                 path, own = drawn[i][number], slice(cuts[w], cuts[w + 1])
-                self._add(
-                    drawn[i],
-                    waiting[i],
-                    key[i],
-                    k,
-                    -minus,
-                    path,
-                    step,
-                    np.concatenate([[tail[0]], edges[own]]).astype(np.int64),
-                    np.concatenate([[path.nodes[step]], nodes[own]]).astype(np.int64),
-                    np.concatenate([[path.parts[step]], parts[places[own]]]).astype(np.int64),
-                    (*out, tail[0]),
+                found.append(
+                    (
+                        i,
+                        -minus,
+                        path,
+                        step,
+                        np.concatenate([[tail[0]], edges[own]]).astype(np.int64),
+                        np.concatenate([[path.nodes[step]], nodes[own]]).astype(np.int64),
+                        np.concatenate([[path.parts[step]], parts[places[own]]]).astype(np.int64),
+                        (*out, tail[0]),
+                    )
                 )
+            self._add(drawn, waiting, key, k, draw, found)
         return [
             [
                 Sample(
@@ -369,38 +504,64 @@ class Sampler:
             begin = np.concatenate([[lattices.next[edge]], begin])
         return edge, step, parts, begin
 
-    def _add(self, drawn, waiting, key, k, perturbed, path, step, edges, nodes, parts, out=()) -> None:
-        """Keeps a drawn path and the sets that leave it, as many as can still be wanted."""
-        lattices = self.lattices
+    def _add(self, drawn, waiting, key, k: int, number: int, found: list[tuple]) -> None:
+        """Keeps a drawn path for each text in ``found`` and the sets that leave it, as many as can
+        still be wanted. All texts have ``number`` paths already."""
+        lattices, wanted = self.lattices, k - number
+        sizes = np.array([len(new[4]) for new in found], np.int64)
+        ends = np.cumsum(sizes)
+        starts = ends - sizes
+        edges = np.concatenate([new[4] for new in found])
+        nodes = np.concatenate([new[5] for new in found])
         chance = lattices.chance[edges]
-        start = path.before[step] if path else 0.0
-        before = start + np.concatenate([[0.0], np.cumsum(np.log(chance))])
-        number = len(drawn)
+        logs = np.log(chance)
+        before = np.empty(len(edges))  # of each edge, the log probability of what comes before it
         left = 1 - chance
         left[lattices.first[nodes + 1] - lattices.first[nodes] == 1] = 0.0
-        if out:  # at the node where it left another path, more than one edge is out
-            ways = [e for e in range(lattices.first[nodes[0]], lattices.first[nodes[0] + 1]) if e not in out]
-            left[0] = lattices.chance[ways].sum()
+        whole = []
+        for new, start, end in zip(found, starts.tolist(), ends.tolist()):
+            _, _, path, step, _, _, _, out = new
+            sums = np.concatenate([[0.0], np.cumsum(logs[start:end])])
+            if path:
+                sums += path.before[step]
+            before[start:end] = sums[:-1]
+            whole.append(sums)
+            if out:  # at the node where it left another path, more than one edge is out
+                node = nodes[start]
+                ways = [e for e in range(lattices.first[node], lattices.first[node + 1]) if e not in out]
+                left[start] = lattices.chance[ways].sum()
         open_ = np.flatnonzero(left > 0)
-        u = uniform(key, number + 1, -1, open_ + step)
-        priority = below(before[open_] + np.log(left[open_]), perturbed, u)
-        wanted = k - number
-        if len(priority) > wanted:
-            keep = np.argpartition(-priority, wanted)[:wanted]
-        else:
-            keep = np.arange(len(priority))
-        if path:
-            edges, nodes, parts, chance = (
-                np.concatenate([a[:step], b])
-                for a, b in ((path.edges, edges), (path.nodes, nodes), (path.parts, parts), (path.chance, chance))
-            )
-            before = np.concatenate([path.before[:step], before])
-        drawn.append(_Path(edges, nodes, parts, chance, perturbed, before))
-        for j in keep.tolist():
-            at = int(open_[j])
-            waiting.append((-float(priority[j]), number, at + step, out if out and at == 0 else (int(edges[at + step]),)))
-        waiting.sort(key=lambda way: way[:3])
-        del waiting[wanted:]
+        of = np.repeat(np.arange(len(found)), sizes)[open_]
+        steps = open_ - starts[of] + np.array([new[3] for new in found], np.int64)[of]
+        u = uniform(key[np.array([new[0] for new in found], np.int64)][of], number + 1, -1, steps)
+        top = np.array([new[1] for new in found])[of]
+        priority = below(before[open_] + np.log(left[open_]), top, u)
+        cuts = np.searchsorted(of, np.arange(len(found) + 1)).tolist()
+        for j, (i, perturbed, path, step, own_edges, own_nodes, own_parts, out) in enumerate(found):
+            own, sums = priority[cuts[j] : cuts[j + 1]], whole[j]
+            own_chance = chance[starts[j] : ends[j]]
+            if len(own) > wanted:
+                keep = np.argpartition(-own, wanted)[:wanted]
+            else:
+                keep = np.arange(len(own))
+            if path:
+                own_edges, own_nodes, own_parts, own_chance = (
+                    np.concatenate([a[:step], b])
+                    for a, b in (
+                        (path.edges, own_edges),
+                        (path.nodes, own_nodes),
+                        (path.parts, own_parts),
+                        (path.chance, own_chance),
+                    )
+                )
+                sums = np.concatenate([path.before[:step], sums])
+            drawn[i].append(_Path(own_edges, own_nodes, own_parts, own_chance, perturbed, sums))
+            for place in keep.tolist():
+                at = int(steps[cuts[j] + place])
+                left_out = out if out and at == step else (int(own_edges[at]),)
+                waiting[i].append((-float(own[place]), number, at, left_out))
+            waiting[i].sort(key=lambda way: way[:3])
+            del waiting[i][wanted:]
 
 
 def sample_segmentations(
@@ -423,7 +584,7 @@ def sample_segmentations(
             sizes = np.cumsum([len(text) for text in texts]) // AT_ONCE
             for group in np.unique(sizes):
                 rows = np.flatnonzero(sizes == group).tolist()
-                keys = [zlib.crc32(str(doc_ids[i]).encode()) for i in rows]
+                keys = [xxhash.xxh64_intdigest(str(doc_ids[i])) for i in rows]
                 found = sampler.sample([texts[i] for i in rows], keys, k)
                 out = []
                 for i, samples in zip(rows, found):
@@ -439,7 +600,7 @@ def sample_segmentations(
                             one.log_prob,
                             one.perturbed,
                             one.log_inclusion,
-                            not marked and sampler.vocabulary.spell(one.ids.tolist()) == spelt,
+                            not marked and sampler.vocabulary.spells(one.ids, spelt),
                         )
                         for place, one in enumerate(samples, 1)
                     ]

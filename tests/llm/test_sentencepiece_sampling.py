@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 from itertools import permutations
 from math import exp, log
@@ -124,3 +125,58 @@ def test_whole_table(spark):
     assert tuples(back) == tuples(docs)
     assert result.filter("NOT round_trip OR log_inclusion > 0 OR log_prob > 0 OR log_inclusion < log_prob - 100").count() == 0
     assert result.groupBy("doc_id").count().filter("count > 2").count() == 0
+
+
+def test_chunks_are_cut_where_no_piece_reaches():
+    """Every piece lies within a chunk, whatever stands around it."""
+    v = SAMPLER.vocabulary
+    ranked = sorted((i for i in range(len(v.pieces)) if v.weights[i]), key=lambda i: -v.weights[i])
+    pieces = [v.pieces[i] for i in ranked]
+    codes = [np.array([ord(c) for c in piece], np.int64) for piece in pieces]
+    assert not any(v.cuts(code)[1:].any() for code in codes)
+    keys = [(state, ord(c)) for state, c in [(0, "t"), (0, "日"), (0, "\U0001f600"), (5, "x")]]
+    steps = {}
+    states = {"": 0}
+    for piece in pieces:  # the steps once more, by a plain dictionary
+        for end in range(1, len(piece) + 1):
+            if piece[:end] not in states:
+                states[piece[:end]] = len(states)
+                steps[states[piece[: end - 1]], ord(piece[end - 1])] = states[piece[:end]]
+    assert len(states) == len(v.ends)
+    for state, code in [*keys, *list(steps)[:5000], *((s, c + 1) for s, c in list(steps)[:3000])]:
+        found = int(v._step(np.array([state << 21 | code]))[0])
+        assert found == steps.get((state, code), -1)
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000, "日本語" * 333_334, "abcdefgh" * 125_000])
+def test_a_long_text_without_blanks(text):
+    start = time.perf_counter()
+    (samples,) = SAMPLER.sample([text], [1], 2)
+    assert time.perf_counter() - start < 60
+    assert len(samples) == (1 if "日" in text else 2)  # no piece holds two of those
+    assert all(SAMPLER.vocabulary.spells(one.ids, S.normalised(text).encode()) for one in samples)
+    assert len({one.ids.tobytes() for one in samples}) == len(samples)
+    SAMPLER.lattices.start_over()
+
+
+def test_sums_one_by_one_are_those_of_all_at_once(monkeypatch):
+    texts = ["unbelievable " * 3 + "x" * 90 + "supercalifragilistic", "é日x" * 20 + "thethethe" * 30, "a b"]
+    found = []
+    for few in (0, 3, 12, 10**6):
+        monkeypatch.setattr(S, "FEW", few)
+        SAMPLER.lattices.start_over()
+        found.append([[(o.ids.tolist(), o.log_prob, o.perturbed) for o in one] for one in SAMPLER.sample(texts, [1, 2, 3], 3)])
+    SAMPLER.lattices.start_over()
+    for other in found[1:]:
+        for one, two in zip(found[0], other):
+            assert [a[0] for a in one] == [a[0] for a in two]
+            assert [x for a in one for x in a[1:]] == pytest.approx([x for a in two for x in a[1:]])
+
+
+def test_spelling():
+    v = SAMPLER.vocabulary
+    ids = np.array(SAMPLER.sample(["né\n日x"], [1], 1)[0][0].ids)
+    text = S.normalised("né\n日x").encode()
+    assert v.spells(ids, text) and v.spell(ids.tolist()) == text
+    assert not v.spells(ids, text + b"x") and not v.spells(ids[:-1], text) and not v.spells(ids, text[:-1] + b"z")
+    assert v.spells(np.zeros(0, np.int32), b"") and not v.spells(np.zeros(0, np.int32), b"a")
