@@ -226,6 +226,29 @@ def keyed_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keyed.keyed_report(tables, AS_AT_DATE)
 
 
+def report_of_known_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With two payments in three for documents that are not there, left out before the shuffle."""
+    inputs = load_inputs(spark, sf_dir)
+    paid = inputs["payments"]
+    lost = F.explode(F.array(F.lit(""), F.lit("lost_"), F.lit("gone_")))
+    many = paid.withColumn("lost", lost).withColumn("document_id", F.concat("lost", "document_id")).drop("lost")
+    known = operators.payments_for(many, _documents(inputs))
+    return plans.ageing_report(inputs["invoices"], inputs["credit_notes"], known, AS_AT_DATE)
+
+
+def clustered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One centre of a report that is stored centre by centre."""
+
+    def write(folder: str) -> None:
+        report = sinks.clustered(_report(spark, sf_dir))
+        versions.commit_version(
+            spark, folder, AS_AT_DATE, versions.stage_version(report, folder, AS_AT_DATE)
+        )
+
+    store = staged(spark, "clustered", sf_dir, write)
+    return sources.read_report(spark, store, AS_AT_DATE).filter("centre_id = 'r1'")
+
+
 def running_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Payments by year as batches, one of them delivered twice, folded half way."""
     store, payments = new_folder(spark, "totals"), load_inputs(spark, sf_dir)["payments"]
@@ -341,6 +364,8 @@ def queries() -> dict[str, Query]:
         "published_warnings": published_warnings,
         "report_versions": report_versions,
         "keyed_report": keyed_report,
+        "report_of_known_payments": report_of_known_payments,
+        "clustered_report": clustered_report,
         "running_totals": running_totals,
         "rejected_lines": rejected_lines,
         "unparsed_findings": unparsed_findings,
@@ -660,6 +685,7 @@ FROM (SELECT count(*) AS n FROM orders),
 SELECT *, 1 AS number FROM report WHERE document_type = 'invoice'
 UNION ALL
 SELECT *, 2 FROM report""",
+        "clustered_report": f"{report} WHERE centre_id = 'r1'",
         "rejected_lines": _FAULTY_LINES,
         "unparsed_findings": f"{_PLANTED}\n"
         + _finding_counts("planted", "invoices", INVOICES.names, total_amount=("FALSE", "FALSE"))
@@ -676,6 +702,7 @@ FROM documents""",
         "report_via_views",
         "published_report",
         "keyed_report",
+        "report_of_known_payments",
         "report_roundtrip",
         "report_csv_roundtrip",
     ):

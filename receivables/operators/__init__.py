@@ -33,6 +33,7 @@ from receivables.operators.quality import (
     validate_inputs,
     validate_report,
 )
+from receivables.operators.reduction import key_filter, payments_for
 
 __all__ = [
     "Finding",
@@ -44,11 +45,13 @@ __all__ = [
     "enforce",
     "invoice_documents",
     "join_payments",
+    "key_filter",
     "null_profile",
     "observe_checks",
     "outstanding",
     "outstanding_documents",
     "payment_totals",
+    "payments_for",
     "rejected_lines",
     "report_columns",
     "require_columns",

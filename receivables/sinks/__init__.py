@@ -1,5 +1,5 @@
 """Writing reports. All writing is done by the executors."""
 
-from receivables.sinks.reports import write_csv, write_partitioned
+from receivables.sinks.reports import clustered, write_csv, write_partitioned
 
-__all__ = ["write_csv", "write_partitioned"]
+__all__ = ["clustered", "write_csv", "write_partitioned"]
