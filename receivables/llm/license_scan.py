@@ -143,6 +143,60 @@ for _terms in ("BY", "BY-SA", "BY-NC", "BY-NC-SA", "BY-ND", "BY-NC-ND"):
             f"This work is licensed under a Creative Commons {_long} {_version} License."
         )
         NEEDED[f"{_name}-notice"] = f"{_long} {_version}".lower().replace("-", " ")
+# License of the templates whose name is not its own: what stands behind it names the template.
+KINDS = ("notice", "grant", "short", "header", "named", "spdx", "spdx-only", "spdx-later")
+# How licenses are called in headings and in passing, and what must be matched.
+for _name, _kind, _text, _must in (
+    ("MIT", "header", "MIT License", "mit license"),
+    ("ISC", "header", "ISC License", "isc license"),
+    ("BSD-2-Clause", "header", "BSD 2-Clause License", "bsd 2 clause license"),
+    ("BSD-3-Clause", "header", "BSD 3-Clause License", "bsd 3 clause license"),
+    ("Apache-2.0", "header", "Apache License Version 2.0, January 2004", "apache 2.0"),
+    ("Apache-2.0", "named", "Licensed under Apache 2.0", "apache 2.0"),
+    ("GPL-2.0", "header", "GNU General Public License Version 2, June 1991", "general 2"),
+    ("GPL-3.0", "header", "GNU General Public License Version 3, 29 June 2007", "general 3"),
+    ("LGPL-2.1", "header", "GNU Lesser General Public License Version 2.1, February 1999", "lesser general 2.1"),
+    ("LGPL-3.0", "header", "GNU Lesser General Public License Version 3, 29 June 2007", "lesser general 3"),
+    ("AGPL-3.0", "header", "GNU Affero General Public License Version 3, 19 November 2007", "affero general 3"),
+    ("MPL-2.0", "header", "Mozilla Public License Version 2.0", "mozilla 2.0"),
+    ("EPL-2.0", "named", "Licensed under the Eclipse Public License, Version 2.0.", "eclipse 2.0"),
+    ("EPL-2.0", "header", "Eclipse Public License - v 2.0", "eclipse public license 2.0"),
+    ("EPL-1.0", "named", "Licensed under the Eclipse Public License, Version 1.0.", "eclipse 1.0"),
+    ("EUPL-1.2", "named", "Licensed under the EUPL, Version 1.2.", "eupl 1.2"),
+    ("EUPL-1.2", "header", "European Union Public Licence v. 1.2", "european union public 1.2"),
+    ("Zlib", "named", "Released under the zlib License.", "zlib"),
+    (
+        "Zlib",
+        "grant",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will "
+        "the authors be held liable for any damages arising from the use of this software. Permission "
+        "is granted to anyone to use this software for any purpose, including commercial applications, "
+        "and to alter it and redistribute it freely, subject to the following restrictions:",
+        "",
+    ),
+):
+    TEMPLATES[f"{_name}-{_kind}"] = _text
+    if _must:
+        NEEDED[f"{_name}-{_kind}"] = _must
+for _name in (
+    "MIT ISC Zlib Unlicense Apache-2.0 MPL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 CC0-1.0 BSD-2-Clause BSD-3-Clause "
+    "GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0"
+).split():
+    _ends = {"spdx": ""} | ({"spdx-only": "-only", "spdx-later": "-or-later"} if "GPL" in _name else {})
+    for _kind, _end in _ends.items():
+        _text = f"SPDX-License-Identifier: {_name}{_end}"
+        TEMPLATES[f"{_name}-{_kind}"] = _text
+        NEEDED[f"{_name}-{_kind}"] = _text.lower().replace("-", " ").replace(":", "")
+
+
+def license_of(template: str) -> str:
+    """The license a template names; of a template of one's own, its name."""
+    if template in TEMPLATES:
+        for kind in KINDS:
+            template = template.removesuffix(f"-{kind}")
+    return template
+
+
 # Words that make another license of a short form if they stand within it.
 OTHERWISE = frozenset(
     "lesser library affero nc sa nd noncommercial sharealike noderivatives noderivs commercial "
@@ -388,7 +442,7 @@ def scan_licenses(
     least: float = LEAST_COVERAGE,
 ) -> DataFrame:
     """A row for each document and template covered by at least ``least``: ``license``,
-    ``coverage``, ``n_copies``, and ``spans``, the first word and the one behind the last of
+    ``template``, ``coverage``, ``n_copies``, and ``spans``, the first word and the one behind the last of
     each copy, counted in words from 0."""
     shared = share(docs.sparkSession, (templates or TEMPLATES, least))
 
@@ -396,15 +450,15 @@ def scan_licenses(
         scanner = per_worker(shared, lambda given: Scanner(*given))
         for batch in batches:
             out = [
-                (doc_id, name, coverage, len(copies), [{"first": a, "behind": b} for a, b in copies])
+                (doc_id, license_of(name), name, coverage, len(copies), [{"first": a, "behind": b} for a, b in copies])
                 for doc_id, text in zip(batch[id_col], batch[text_col])
                 for name, coverage, copies in scanner.scan(text)
             ]
-            yield list(zip(*out)) if out else [[]] * 5
+            yield list(zip(*out)) if out else [[]] * 6
 
     return map_rows(
         docs.select(id_col, text_col),
-        f"`{id_col}` {type_of(docs, id_col)}, license string, coverage double, n_copies long, "
-        "spans array<struct<first: long, behind: long>>",
+        f"`{id_col}` {type_of(docs, id_col)}, license string, template string, coverage double, "
+        "n_copies long, spans array<struct<first: long, behind: long>>",
         work,
     )

@@ -113,6 +113,18 @@ NEAR = {
     "Released under CC0 1.0 Universal": {"CC0-1.0"},
     "Released under the Unlicense": {"Unlicense"},
     "Released under the X License": set(),
+    "MIT License": {"MIT-header"},
+    "Copyright (c) 2020 The MIT License (MIT)": {"MIT-header"},
+    "Apache License Version 2.0, January 2004": {"Apache-2.0-header"},
+    "SPDX-License-Identifier: MIT": {"MIT-spdx"},
+    "SPDX-License-Identifier: GPL-3.0-or-later": {"GPL-3.0-spdx-later"},
+    "SPDX-License-Identifier: GPL-2.0-only": {"GPL-2.0-spdx-only"},
+    "SPDX-License-Identifier: BSD-3-Clause": {"BSD-3-Clause-spdx"},
+    "SPDX-License-Identifier: LicenseRef-X": set(),
+    "Licensed under Apache 2.0": {"Apache-2.0-named"},
+    "Licensed under the Eclipse Public License, Version 2.0": {"EPL-2.0-named"},
+    "Licensed under the EUPL, Version 1.2": {"EUPL-1.2-named"},
+    "Released under the zlib License": {"Zlib-named"},
     "Licensed under the MIT License or the Apache License, Version 2.0": {"MIT", "Apache-2.0"},
 }
 
@@ -133,6 +145,7 @@ def test_odd_rows(spark):
     assert L.scan_licenses(documents(spark)).count() == 0
     rows = [(1, "All rights reserved."), (None, "ALL RIGHTS, RESERVED!"), (1, "All rights reserved.")]
     found = L.scan_licenses(documents(spark, rows)).collect()
+    assert found[0].__fields__ == ["doc_id", "license", "template", "coverage", "n_copies", "spans"]
     assert [(r.license, r.coverage, r.n_copies) for r in found] == [("all-rights-reserved", 1.0, 1)] * 3
     assert L.scan_licenses(no_documents(spark)).count() == 0
     own = L.scan_licenses(documents(spark), {"cat": "the cat sat on the mat", "none": "..."})
@@ -149,5 +162,47 @@ def test_query_finds_the_planted_lines(spark):
     names = {text: name for name, text in L.TEMPLATES.items()}
     expected = {(row.doc_id, names[line]) for row in texts for line in lines if line in row.text}
     found = queries.op10_license_scan(spark, sf_dir).collect()
-    assert expected and expected <= {(row.doc_id, row.license) for row in found}
-    assert {(r.doc_id, r.license) for r in found if r.coverage == 1} == expected
+    assert expected and expected <= {(row.doc_id, row.template) for row in found}
+    assert {(r.doc_id, r.template) for r in found if r.coverage == 1} == expected
+    assert all(r.license == L.license_of(r.template) for r in found)
+
+
+def test_one_name_a_license():
+    assert {L.license_of(name) for name in L.TEMPLATES if name.startswith(("GPL-3", "MIT"))} == {"GPL-3.0", "MIT"}
+    assert {L.license_of(name) for name in L.TEMPLATES if "BSD-3" in name} == {"BSD-3-Clause"}
+    assert L.license_of("own-notice") == "own-notice"
+
+
+def whole_copies(words, template, needed):
+    """Brute force over all starts: the stretches of as many words as the template that share a
+    common subsequence of ``needed`` words or more with it, begun by a word matched."""
+    n = len(template)
+    found = []
+    for start in range(len(words)):
+        pairs = L._common(words[start : start + n + 1], template)
+        if len(pairs) >= needed and pairs[0][0] == 0:
+            found.append((start, start + pairs[-1][0] + 1))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_copies_against_all_starts(seed):
+    """On random texts a copy is found wherever some start holds one, and nowhere else."""
+    rng = random.Random(seed)
+    template = [rng.choice("abcdefghijklmnop") + str(i % 3) for i in range(rng.randrange(6, 16))]
+    scanner = L.Scanner({"t": " ".join(template)})
+    for _ in range(25):
+        words = []
+        for _ in range(rng.randrange(1, 4)):
+            words += [f"z{rng.randrange(9)}" for _ in range(rng.randrange(20, 30))]
+            copy = list(template)
+            for _ in range(rng.randrange(4)):
+                copy[rng.randrange(len(copy))] = "other"
+            words += copy
+        words += [f"z{rng.randrange(9)}" for _ in range(20)]
+        spans = [span for _, _, spans in scanner.scan(" ".join(words)) for span in spans]
+        every = whole_copies(words, template, scanner.needed("t"))
+        for first, behind in every:
+            assert any(a < behind and first < b for a, b in spans), (words, every, spans)
+        for a, b in spans:
+            assert any(a < behind and first < b for first, behind in every), (words, every, spans)
