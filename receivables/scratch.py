@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -12,6 +13,7 @@ from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}  # application -> its temporary folder
 _staged: dict[tuple[str, str], str] = {}
+_made: dict[str, object] = {}  # path -> the JVM that can remove it
 
 
 def _one_machine(master: str) -> bool:
@@ -47,6 +49,7 @@ def remove(spark: SparkSession, path: str, empty_above: int = 0) -> None:
     place = files.Path(path)
     system = place.getFileSystem(spark._jsc.hadoopConfiguration())
     system.delete(place, True)
+    _made.pop(path, None)
     for _ in range(empty_above):
         place = place.getParent()
         if not system.exists(place) or len(system.listStatus(place)):
@@ -64,14 +67,30 @@ def _local(spark: SparkSession, path: str) -> bool:
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A path not used before, inside the shared folder."""
-    return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A path not used before, inside the shared folder. Removed when the program ends, or
+    before that by ``remove`` once nothing reads it any more."""
+    path = f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+    jvm = getattr(spark, "_jvm", None)
+    if jvm is not None:
+        if not _made:
+            atexit.register(clean_up)
+        _made[path] = jvm
+    return path
+
+
+def clean_up() -> None:
+    """Removes the folders of this program; those that cannot be reached any more stay."""
+    while _made:
+        path, jvm = _made.popitem()
+        with contextlib.suppress(Exception):
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(place, True)
 
 
 def staged(spark: SparkSession, purpose: str, source: str, write: Callable[[str], None]) -> str:
     """The path of what ``write`` makes of ``source``; made once per application.
 
-    ``write`` gets a new path. It is removed with the shared folder, or by the caller.
+    ``write`` gets a new path. It is removed when the program ends.
     """
     key = (spark.sparkContext.applicationId, f"{purpose}:{source}")
     if key not in _staged:

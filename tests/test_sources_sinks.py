@@ -1,6 +1,7 @@
 import csv
 import datetime
 import hashlib
+import os
 from decimal import Decimal
 
 import golden
@@ -9,6 +10,7 @@ from helpers import AS_AT, REPORT, credit_notes, day, in_any_order, invoices, pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
+from receivables import scratch
 from receivables.functions import age_buckets, plain_number
 from receivables.operators import sort_report
 from receivables.plans import ageing_report, ageing_report_from_views, publish_ageing_report
@@ -350,3 +352,20 @@ def test_tables_are_staged_once(spark):
     made = []
     paths = [staged(spark, "t", "source", made.append) for _ in range(2)]
     assert paths[0] == paths[1] == made[0] and len(made) == 1
+
+
+def test_scratch_folders_are_removed(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_made", {})
+    first, second, third = (new_folder(spark, "gone") for _ in range(3))
+    for path in (first, second):
+        spark.range(3).write.parquet(path)
+    scratch.remove(spark, first)
+    scratch.remove(spark, first)  # what is not there is no error
+    assert not os.path.exists(first) and os.path.exists(second)
+    scratch.clean_up()
+    assert not os.path.exists(second) and not os.path.exists(third) and not scratch._made
+
+
+def test_local_folders_are_told_by_their_file_system(spark):
+    assert scratch._local(spark, "file:/tmp/x") and not scratch._local(spark, "hdfs://a/tmp")
+    assert scratch._local(spark, "/tmp/x")  # the default file system here is a local one
