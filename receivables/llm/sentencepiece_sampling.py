@@ -43,7 +43,7 @@ MARK = "▁"
 #: Chunks, and the steps of a walk, that go on when so few others do are done one by one.
 FEW = 12
 AT_ONCE = 1 << 20  # characters sampled side by side
-MOST_CHUNKS = 200_000  # about 170 MB
+MOST_CHUNKS = 300_000  # about 300 MB
 
 
 def model_file() -> str:
@@ -191,7 +191,8 @@ class Lattices(dict):
         self.n_nodes = 0
         self.first = np.zeros(1, np.int32)  # a node's first edge; one more at the end
         self.up_to = np.zeros(0)  # summed probability
-        self.chance = np.zeros(0)
+        self.logs = np.zeros(0)  # of an edge's probability
+        self.others = np.zeros(0)  # log of the probability of the node's other edges
         self.next = np.zeros(0, np.int32)  # node, or -1 behind the chunk
         self.id_from = np.zeros(1, np.int32)  # an edge's first id; one more at the end
         self.ids = np.zeros(0, np.int32)
@@ -265,7 +266,8 @@ class Lattices(dict):
             of = np.repeat(np.arange(len(cuts)), np.diff(cuts, append=len(edges)))
             below_[start[edges[cuts]]] = top + np.log(np.add.reduceat(np.exp(x - top[of]), cuts))
         self._one_by_one(by_far[bounds[together] :], start, to, last, weight, below_, total)
-        chance = np.exp(total - below_[start])
+        logs = total - below_[start]
+        chance = np.exp(logs)
         ends = np.cumsum(counts)
         summed = np.cumsum(chance)
         up_to = summed - np.concatenate([[0.0], summed])[(ends - counts)[start]]
@@ -279,7 +281,11 @@ class Lattices(dict):
         ids = flat[np.repeat(own - from_[:-1], n_ids) + np.arange(from_[-1])]
         self._extend("first", self.first[-1] + ends)
         self._extend("up_to", up_to)
-        self._extend("chance", chance)
+        self._extend("logs", logs)
+        with np.errstate(divide="ignore"):
+            others = np.log(np.maximum(-np.expm1(logs), 0.0))
+        others[counts[start] == 1] = -inf
+        self._extend("others", others)
         self._extend("next", np.where(last, -1, base + to))
         self._extend("id_from", self.id_from[-1] + from_[1:])
         self._extend("ids", ids)
@@ -328,12 +334,17 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def uniform(key: np.ndarray, *places: np.ndarray | int) -> np.ndarray:
-    """Numbers between 0 and 1, both excluded, fixed by the key and the places."""
+def stirred(key: np.ndarray, *places: np.ndarray | int) -> np.ndarray:
+    """The key with the places worked in, one after another."""
     with np.errstate(over="ignore"):
         for place in places:
             key = _mixed(key + (np.asarray(place).astype(np.uint64) + np.uint64(1)) * _MIX[2])
-    return ((key >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
+    return key
+
+
+def uniform(key: np.ndarray, *places: np.ndarray | int) -> np.ndarray:
+    """Numbers between 0 and 1, both excluded, fixed by the key and the places."""
+    return ((stirred(key, *places) >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
 
 
 def below(location: np.ndarray, top: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -352,9 +363,9 @@ class Sample(NamedTuple):
 class _Path:
     """One drawn segmentation of one text."""
 
-    def __init__(self, edges, nodes, parts, chance, perturbed: float, before: np.ndarray):
+    def __init__(self, edges, nodes, parts, perturbed: float, before: np.ndarray):
         self.edges, self.nodes, self.parts = edges, nodes, parts
-        self.chance, self.perturbed, self.before = chance, perturbed, before
+        self.perturbed, self.before = perturbed, before
         self.log_prob = float(before[-1])  # before[t]: log probability of the first t edges
 
 
@@ -364,14 +375,15 @@ class Sampler:
         self.lattices = Lattices(self.vocabulary)
         self.seed = seed
 
-    def _walk(self, keys, draw: int, parts, nodes) -> tuple[np.ndarray, ...]:
-        """From each node to the end of its chunk: part's place in the arguments, node and
+    def _walk(self, keys, parts, nodes) -> tuple[np.ndarray, ...]:
+        """``keys`` have the number of the draw in them. From each node to the end of its chunk: part's place in the arguments, node and
         edge of every step, by part."""
         lattices = self.lattices
         at, steps, step = np.arange(len(nodes)), [], 0
         node = nodes
+        keys = stirred(keys, parts)
         while len(at) > FEW:
-            u = uniform(keys[at], draw, parts[at], step)
+            u = uniform(keys[at], step)
             edge = lattices.first[node]
             later = np.flatnonzero(u >= lattices.up_to[edge])
             while len(later):
@@ -385,7 +397,7 @@ class Sampler:
         counts = np.zeros(len(nodes), np.int64)
         for some, _, _ in steps:
             counts[some] += 1
-        ends = [self._walk_on(keys[i : i + 1], draw, parts[i], n, step) for i, n in zip(at.tolist(), node.tolist())]
+        ends = [self._walk_on(keys[i : i + 1], n, step) for i, n in zip(at.tolist(), node.tolist())]
         counts[at] += np.array([len(edges) for _, edges in ends], np.int64)
         before = np.cumsum(counts) - counts
         all_nodes, all_edges = np.empty((2, counts.sum()), np.int64)
@@ -397,12 +409,12 @@ class Sampler:
             all_nodes[place], all_edges[place] = own_nodes, own_edges
         return np.repeat(np.arange(len(nodes)), counts), all_nodes, all_edges
 
-    def _walk_on(self, key, draw: int, part, node: int, step: int) -> tuple[list[int], list[int]]:
+    def _walk_on(self, key, node: int, step: int) -> tuple[list[int], list[int]]:
         """The rest of one part's walk: nodes and edges, with the same numbers as ``_walk``."""
         first, up_to, next_ = self.lattices.first, self.lattices.up_to, self.lattices.next
         nodes, edges, ahead = [], [], 8
         while node >= 0:
-            for u in uniform(key, draw, part, np.arange(step, step + ahead)).tolist():
+            for u in uniform(key, np.arange(step, step + ahead)).tolist():
                 edge = int(first[node])
                 while u >= up_to[edge]:
                     edge += 1
@@ -434,7 +446,7 @@ class Sampler:
 
         drawn: list[list[_Path]] = [[] for _ in texts]
         waiting: list[list[tuple]] = [[] for _ in texts]  # (-priority, path, step, edges left out)
-        places, nodes, edges = self._walk(key[text_of], 1, part, first)
+        places, nodes, edges = self._walk(stirred(key, 1)[text_of], part, first)
         owner = text_of[places]
         cuts = np.searchsorted(owner, np.arange(len(texts) + 1)).tolist()
         found = []
@@ -451,10 +463,10 @@ class Sampler:
                 path = drawn[i][number]
                 tails.append(self._leave(path, key[i], step, out, draw, starts[i], sizes[i], first))
             n = np.array([len(tail[2]) for tail in tails])
-            keys_of = key[np.repeat([way[0] for way in ways], n)]
+            keys_of = stirred(key, draw + 1)[np.repeat([way[0] for way in ways], n)]
             parts = np.concatenate([tail[2] for tail in tails]).astype(np.int64)
             begin = np.concatenate([tail[3] for tail in tails]).astype(np.int64)
-            places, nodes, edges = self._walk(keys_of, draw + 1, parts, begin)
+            places, nodes, edges = self._walk(keys_of, parts, begin)
             cuts = np.searchsorted(places, np.concatenate([[0], np.cumsum(n)])).tolist()
             found = []
             for w, ((i, minus, number, step, out), tail) in enumerate(zip(ways, tails)):
@@ -495,7 +507,7 @@ class Sampler:
         """Another edge at a node of a path, and the parts still to walk from there on."""
         lattices, node, part = self.lattices, path.nodes[step], int(path.parts[step])
         ways = [e for e in range(lattices.first[node], lattices.first[node + 1]) if e not in out]
-        chances = np.cumsum(lattices.chance[ways])
+        chances = np.cumsum(np.exp(lattices.logs[ways]))
         u = float(uniform(key, -draw - 1, part, step))
         edge = ways[min(int(np.searchsorted(chances, u * chances[-1], side="right")), len(ways) - 1)]
         parts, begin = np.arange(part + 1, size), first[start + part + 1 : start + size]
@@ -512,50 +524,41 @@ class Sampler:
         ends = np.cumsum(sizes)
         starts = ends - sizes
         edges = np.concatenate([new[4] for new in found])
-        nodes = np.concatenate([new[5] for new in found])
-        chance = lattices.chance[edges]
-        logs = np.log(chance)
+        logs, left = lattices.logs[edges], lattices.others[edges]
         before = np.empty(len(edges))  # of each edge, the log probability of what comes before it
-        left = 1 - chance
-        left[lattices.first[nodes + 1] - lattices.first[nodes] == 1] = 0.0
         whole = []
         for new, start, end in zip(found, starts.tolist(), ends.tolist()):
-            _, _, path, step, _, _, _, out = new
+            _, _, path, step, _, nodes, _, out = new
             sums = np.concatenate([[0.0], np.cumsum(logs[start:end])])
             if path:
                 sums += path.before[step]
             before[start:end] = sums[:-1]
             whole.append(sums)
             if out:  # at the node where it left another path, more than one edge is out
-                node = nodes[start]
+                node = nodes[0]
                 ways = [e for e in range(lattices.first[node], lattices.first[node + 1]) if e not in out]
-                left[start] = lattices.chance[ways].sum()
-        open_ = np.flatnonzero(left > 0)
+                left[start] = log(np.exp(lattices.logs[ways]).sum()) if ways else -inf
+        open_ = np.flatnonzero(left > -inf)
         of = np.repeat(np.arange(len(found)), sizes)[open_]
         steps = open_ - starts[of] + np.array([new[3] for new in found], np.int64)[of]
-        u = uniform(key[np.array([new[0] for new in found], np.int64)][of], number + 1, -1, steps)
+        keys = stirred(key[np.array([new[0] for new in found], np.int64)], number + 1, -1)
+        u = uniform(keys[of], steps)
         top = np.array([new[1] for new in found])[of]
-        priority = below(before[open_] + np.log(left[open_]), top, u)
+        priority = below(before[open_] + left[open_], top, u)
         cuts = np.searchsorted(of, np.arange(len(found) + 1)).tolist()
         for j, (i, perturbed, path, step, own_edges, own_nodes, own_parts, out) in enumerate(found):
             own, sums = priority[cuts[j] : cuts[j + 1]], whole[j]
-            own_chance = chance[starts[j] : ends[j]]
             if len(own) > wanted:
                 keep = np.argpartition(-own, wanted)[:wanted]
             else:
                 keep = np.arange(len(own))
             if path:
-                own_edges, own_nodes, own_parts, own_chance = (
+                own_edges, own_nodes, own_parts = (
                     np.concatenate([a[:step], b])
-                    for a, b in (
-                        (path.edges, own_edges),
-                        (path.nodes, own_nodes),
-                        (path.parts, own_parts),
-                        (path.chance, own_chance),
-                    )
+                    for a, b in ((path.edges, own_edges), (path.nodes, own_nodes), (path.parts, own_parts))
                 )
                 sums = np.concatenate([path.before[:step], sums])
-            drawn[i].append(_Path(own_edges, own_nodes, own_parts, own_chance, perturbed, sums))
+            drawn[i].append(_Path(own_edges, own_nodes, own_parts, perturbed, sums))
             for place in keep.tolist():
                 at = int(steps[cuts[j] + place])
                 left_out = out if out and at == step else (int(own_edges[at]),)
