@@ -43,7 +43,7 @@ MARK = "▁"
 #: Chunks, and the steps of a walk, that go on when so few others do are done one by one.
 FEW = 12
 AT_ONCE = 1 << 20  # characters sampled side by side
-MOST_CHUNKS = 300_000  # about 300 MB
+MOST_CHUNKS = 200_000  # about 200 MB
 
 
 def model_file() -> str:
