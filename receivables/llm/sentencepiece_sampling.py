@@ -43,7 +43,7 @@ MARK = "▁"
 #: Chunks, and the steps of a walk, that go on when so few others do are done one by one.
 FEW = 12
 AT_ONCE = 1 << 20  # characters sampled side by side
-MOST_CHUNKS = 200_000  # about 200 MB
+MOST_CHUNKS = 150_000  # about 150 MB
 
 
 def model_file() -> str:
@@ -202,7 +202,7 @@ class Lattices(dict):
         known = getattr(self, name)
         room, n = self._room.get(name), len(known) + len(new)
         if room is None or len(room) < n:
-            room = self._room[name] = np.empty(max(n, 3 * n // 2), known.dtype)
+            room = self._room[name] = np.empty(n + n // 8, known.dtype)
             room[: len(known)] = known
         elif known.base is not room:
             room[: len(known)] = known
