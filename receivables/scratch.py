@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 _own: dict[str, str] = {}  # application -> its temporary folder
 _staged: dict[tuple[str, str], str] = {}
 _made: dict[str, object] = {}  # path -> the JVM that can remove it
+_seen: set[tuple[str, str, int]] = set()  # application, folder and cores for which it was tried
 
 
 def _one_machine(master: str) -> bool:
@@ -24,8 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
     Where that is unset, a ``local`` session gets a temporary folder, removed when the
-    program ends. On a cluster a machine-local folder would be lost with its machine, so
-    both a missing setting and one that names a local path raise instead.
+    program ends. On a cluster a machine-local folder would be lost with its machine, so a
+    missing setting raises instead, and so does one that names a folder of a local file system
+    unless that is mounted on all machines, which a small job finds out.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     master = spark.conf.get("spark.master", "")
@@ -38,7 +40,7 @@ def shared_folder(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, _own[application], ignore_errors=True)
         base = _own[application]
     elif not _one_machine(master) and _local(spark, base):
-        raise RuntimeError(f"spark.checkpoint.dir names a local folder on a cluster: {base}")
+        _require_mounted(spark, base.rstrip("/"))
     return base.rstrip("/")
 
 
@@ -66,6 +68,32 @@ def _local(spark: SparkSession, path: str) -> bool:
     return scheme == "file"
 
 
+def _require_mounted(spark: SparkSession, folder: str) -> None:
+    """``RuntimeError`` unless the driver finds in ``folder`` what tasks on all cores write there.
+
+    A machine without the mount keeps its tasks' files to itself, so that they are missing.
+    Tried anew when the cluster has another number of cores, so that machines that came later
+    are tried as well.
+    """
+    refusal = f"spark.checkpoint.dir names a local folder on a cluster: {folder}"
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        key = (spark.sparkContext.applicationId, folder, cores)
+        if key in _seen:
+            return
+        path = f"{folder}/mounted-{uuid.uuid4().hex}"
+        try:
+            spark.range(0, cores, 1, cores).write.parquet(path)
+            found = spark.read.schema("id LONG").parquet(path).count()
+        finally:
+            remove(spark, path)
+    except Exception as error:
+        raise RuntimeError(refusal) from error
+    if found != cores:
+        raise RuntimeError(f"{refusal}; the files of {cores - found} of {cores} tasks are missing")
+    _seen.add(key)
+
+
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A path not used before, inside the shared folder. Removed when the program ends, or
     before that by ``remove`` once nothing reads it any more."""

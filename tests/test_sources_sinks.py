@@ -8,6 +8,7 @@ import golden
 import pytest
 from helpers import AS_AT, REPORT, credit_notes, day, in_any_order, invoices, payments
 from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from receivables import scratch
@@ -336,6 +337,42 @@ def test_scratch_folder_on_a_cluster():
     assert new_folder(one, "scan").startswith("file:///x/scan-")
 
 
+@pytest.fixture
+def as_on_a_cluster(monkeypatch):
+    monkeypatch.setattr(scratch, "_one_machine", lambda master: False)
+    monkeypatch.setattr(scratch, "_seen", set())
+
+
+def test_scratch_folder_in_a_mount_on_a_cluster(spark, as_on_a_cluster):
+    """What every machine has mounted is of a local file system by its scheme."""
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = os.listdir(shared) if os.path.exists(shared) else []
+    assert scratch._local(spark, shared)
+    assert new_folder(spark, "scan").startswith(f"{shared}/scan-")
+    assert [cores for _, _, cores in scratch._seen] == [spark.sparkContext.defaultParallelism]
+    assert os.listdir(shared) == before  # nothing stays of the trial
+
+
+def test_scratch_folder_that_some_tasks_do_not_share(spark, as_on_a_cluster, monkeypatch):
+    write = DataFrameWriter.parquet
+
+    def lossy(writer, path, *more, **options):
+        write(writer, path, *more, **options)
+        lost = next(name for name in os.listdir(path) if name.startswith("part-"))
+        os.remove(f"{path}/{lost}")
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", lossy)
+    with pytest.raises(RuntimeError, match="1 of 4 tasks"):
+        new_folder(spark, "scan")
+    assert not scratch._seen
+
+
+def test_scratch_folder_that_cannot_be_written_on_a_cluster(spark, as_on_a_cluster, tmp_path):
+    (tmp_path / "file").write_text("no folder")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch._require_mounted(spark, str(tmp_path / "file"))
+
+
 def test_own_scratch_folder_is_one_per_application():
     session = FakeSession(spark_master="local[2]")
     assert new_folder(session, "a").rsplit("/", 1)[0] == new_folder(session, "b").rsplit("/", 1)[0]
